@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def chi2_tail(statistic: np.ndarray, dof: np.ndarray) -> np.ndarray:
@@ -48,6 +49,6 @@ def chi2_tail(statistic: np.ndarray, dof: np.ndarray) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_p_value(statistic: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series(chi2_tail(statistic.to_numpy(float), dof.to_numpy(float)))
