@@ -199,10 +199,9 @@ def predicted_negative_rate(d: Domain):
     "predictions",
 )
 def evaluate_binary(d: Domain):
-    from ..plans.training import areas
-
-    roc, pr = areas(d.predictions.select("label", "score"), "score", num_bins=0)
-    return d.spark.createDataFrame([(round(roc, 6), round(pr, 6))], "area_under_ROC double, area_under_PR double")
+    scored = d.predictions.select(F.lit("all").alias("model"), "label", "prediction", "score")
+    report = metrics.binary_areas(metrics.score_histogram(scored, ["model"], bins=1000), ["model"])
+    return rounded(report.drop("model"), ["area_under_ROC", "area_under_PR"])
 
 
 # ------------------------------------------------------------ top-k rankings

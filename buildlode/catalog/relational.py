@@ -94,11 +94,9 @@ def filter_processed(d: Domain):
     "sonar_analyses",
 )
 def filter_keys_not_null(d: Domain):
-    keyed = d.sonar_analyses.withColumns(
-        {
-            "closed_key": F.when(F.col("project_version") != "5-LOW", F.col("analysis_key")),
-        }
-    ).select("closed_key", F.col("closed_key").alias("analysis_key"))
+    low = F.col("project_version").eqNullSafe("5-LOW")
+    closed = F.when(~low, F.col("analysis_key"))
+    keyed = d.sonar_analyses.select(closed.alias("closed_key"), closed.alias("analysis_key"))
     return filters.filter_keys(keyed, "sonar_analyses")
 
 

@@ -1 +1,195 @@
-"""Pipelines, training and end-to-end jobs."""
+"""Feature pipelines, saved models and end-to-end jobs."""
+
+from __future__ import annotations
+
+from pyspark.ml.feature import StringIndexerModel
+from pyspark.sql import functions as F
+
+from .. import schemas
+from ..domain import Domain
+from ..operators import features, issues, quality, rules
+from ..plans import jobs, pipelines, training
+from ..session import shared_dir
+from ..sources.sinks import LABEL_INDEXER, Artefacts, ParquetResults
+from .learning import CATEGORY_INDEX, IMPUTED, KEYS, ML1_VIEWS, SCALED, quality_table, rounded
+from .registry import query
+from .relational import RULE_EVENTS
+from .sqltext import TOTALS_SQL, columns
+
+
+class _DomainTables:
+    def __init__(self, d: Domain):
+        self.d = d
+
+    def table(self, name: str):
+        return self.d.view(name)
+
+
+def study(d: Domain) -> jobs.Study:
+    """A study over the derived tables with its own artefact and result folders."""
+    return jobs.Study(
+        d.spark,
+        _DomainTables(d),
+        Artefacts(d.spark, shared_dir(d.spark, "artefacts")),
+        ParquetResults(d.spark, shared_dir(d.spark, "results")),
+    )
+
+
+LABEL = "CASE WHEN result = 'SUCCESS' THEN 0.0 ELSE 1.0 END::DOUBLE AS label"
+NUMERICS = schemas.QUALITY_NUMERICS
+ALERTS = [f"alert_status_index_{i}" for i in range(3)]
+
+
+@query(
+    "quality_features",
+    f"""SELECT {columns(KEYS)}, {LABEL},
+        {', '.join(f"CASE WHEN COALESCE(i, 2) = {i} THEN 1.0 ELSE 0.0 END::DOUBLE AS {a}" for i, a in enumerate(ALERTS))},
+        {', '.join(f'ROUND({c}, 6) AS {c}' for c in NUMERICS)}
+        FROM (SELECT {columns(KEYS)}, result, alert_status, {SCALED} FROM ({IMPUTED}) i) s
+        LEFT JOIN {CATEGORY_INDEX.replace('FROM sonar_measures', f'FROM ({IMPUTED}) m')} c ON alert_status = s.s""".replace(
+        "ON alert_status = s.s", "ON s.alert_status = c.s"
+    ),
+    ML1_VIEWS,
+)
+def quality_features(d: Domain):
+    table = quality_table(d)
+    fitted = pipelines.quality_features(table, "first", study(d).artefacts)
+    packed = fitted.model.transform(table).select(*KEYS, "label", "features")
+    return rounded(features.spread(packed, "features", fitted.names), NUMERICS)
+
+
+FLOW_ROWS = f"""SELECT b.job, b.build_number, CASE WHEN b.result = 'SUCCESS' THEN 'SUCCESS' ELSE 'FAIL' END AS result,
+    {columns(schemas.FLOW_FEATURES, 't.')} FROM ({TOTALS_SQL}) t
+    JOIN sonar_analyses a ON t.analysis_key = a.analysis_key JOIN jenkins_builds b ON a.revision = b.revision_number"""
+FLOW_SCALED = ", ".join(
+    f"""ROUND(CASE WHEN MAX({c}) OVER () = MIN({c}) OVER () THEN 0.5
+        ELSE CAST({c} - MIN({c}) OVER () AS DOUBLE) / (MAX({c}) OVER () - MIN({c}) OVER ()) END, 9) AS {c}"""
+    for c in schemas.FLOW_FEATURES
+)
+
+
+@query(
+    "issue_flow_features",
+    f"SELECT {columns(KEYS)}, {LABEL}, {FLOW_SCALED} FROM ({FLOW_ROWS}) f",
+    "sonar_issues sonar_analyses jenkins_builds",
+)
+def issue_flow_features(d: Domain):
+    totals = issues.running_issue_totals(issues.issue_flow_counts(d.sonar_issues))
+    table = quality.builds_x_flows(quality.label_builds(d.jenkins_builds), totals, d.sonar_analyses, KEYS)
+    fitted = pipelines.issue_flow_features(table, "first", study(d).artefacts)
+    packed = fitted.model.transform(table).select(*KEYS, "label", "features")
+    return rounded(features.spread(packed, "features", fitted.names), fitted.names, 9)
+
+
+@query(
+    "rule_vector_features",
+    f"""SELECT analysis_key, concat(direction, '_', rule) AS feature, CAST(COUNT(*) AS DOUBLE) AS value
+        FROM ({RULE_EVENTS}) e GROUP BY ALL""",
+    "sonar_issues",
+)
+def rule_vector_features(d: Domain):
+    """Vectors taken apart again: every non-zero slot with its name."""
+    s = study(d)
+    vocabulary = jobs.rule_vocabulary(s, d.sonar_issues, "first")
+    names = rules.feature_names(vocabulary)
+    vectors = rules.rule_vectors(rules.rule_cells(rules.rule_counts(d.sonar_issues), vocabulary), len(names))
+    slots = vectors.select("analysis_key", F.posexplode(features.vector_to_array("features")).alias("slot", "value"))
+    lookup = F.array(*[F.lit(n) for n in names])
+    return slots.where("value > 0").select("analysis_key", lookup[F.col("slot")].alias("feature"), "value")
+
+
+@query(
+    "rule_index",
+    """SELECT rule, COUNT(*) AS frequency, CAST(ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, rule) - 1 AS INT) AS slot
+       FROM sonar_issues GROUP BY rule""",
+    "sonar_issues",
+)
+def rule_index(d: Domain):
+    vocabulary = jobs.rule_vocabulary(study(d), d.sonar_issues, "first")
+    slots = d.spark.createDataFrame([(r, i) for i, r in enumerate(vocabulary)], "rule string, slot int")
+    return rules.rule_index(d.sonar_issues).join(slots, "rule")
+
+
+@query(
+    "artefact_store",
+    """SELECT result, label, COUNT(*) AS builds FROM
+       (SELECT CASE WHEN result = 'SUCCESS' THEN 'SUCCESS' ELSE 'FAIL' END AS result,
+               CASE WHEN result = 'SUCCESS' THEN 0.0 ELSE 1.0 END::DOUBLE AS label FROM jenkins_builds) b
+       GROUP BY result, label""",
+    "jenkins_builds",
+)
+def artefact_store(d: Domain):
+    """A saved label indexer, overwritten once, loaded and applied."""
+    artefacts = study(d).artefacts
+    for _ in range(2):
+        artefacts.save(LABEL_INDEXER, features.label_indexer())
+    model = artefacts.load(LABEL_INDEXER, StringIndexerModel)
+    return model.transform(quality.label_builds(d.jenkins_builds)).groupBy("result", "label").agg(F.count("*").alias("builds"))
+
+
+@query("fit_or_load")
+def fit_or_load(d: Domain):
+    """Features of the loaded pipeline, row by row equal to those of the fitted one."""
+    artefacts, table = study(d).artefacts, quality_table(d)
+    pipelines.quality_features(table, "first", artefacts)
+    loaded = pipelines.quality_features(table, "incremental", artefacts)
+    packed = loaded.model.transform(table).select(*KEYS, "label", "features")
+    return rounded(features.spread(packed, "features", loaded.names), NUMERICS)
+
+
+@query("chi2_select")
+def chi2_select(d: Domain):
+    """The ten quality features that tell most about the outcome."""
+    s = study(d)
+    table = quality_table(d)
+    fitted = pipelines.quality_features(table, "first", s.artefacts)
+    samples = fitted.model.transform(table).select("label", "features")
+    tests = training.chi2.top10_chi2(training.dense_tests(samples), [])
+    names = F.array(*[F.lit(n) for n in fitted.names])
+    return tests.select("rank", names[F.col("feature")].alias("feature"), "statistic", "dof", "p_value")
+
+
+@query("job_ml1")
+def job_ml1(d: Domain):
+    return jobs.job_ml1(study(d))
+
+
+@query("job_ml2")
+def job_ml2(d: Domain):
+    return jobs.job_ml2(study(d))
+
+
+@query("job_ml3")
+def job_ml3(d: Domain):
+    return jobs.job_ml3(study(d))
+
+
+@query("train_classifiers")
+def train_classifiers(d: Domain):
+    """Train metrics and ranked importances of the issue flow classifiers."""
+    s = study(d)
+    jobs.job_ml2(s)
+    return s.results.table("model_info").drop("processing_date")
+
+
+@query("score_incremental")
+def score_incremental(d: Domain):
+    """Saved issue flow classifiers on the rows that touch unprocessed data."""
+    s = study(d)
+    jobs.job_ml2(s)
+    return jobs.job_ml2(s, "incremental")
+
+
+@query("run_all")
+def run_all(d: Domain):
+    """All studies; without saved artefacts the incremental run becomes a first one."""
+    s = study(d)
+    jobs.run_all(s, "incremental")
+    return s.results.table("model_performance").drop("processing_date")
+
+
+@query("issue_impact_by_project")
+def issue_impact_by_project(d: Domain):
+    s = study(d)
+    jobs.rule_vocabulary(s, d.sonar_issues, "first")
+    return jobs.issue_impact_by_project(s)

@@ -21,7 +21,7 @@ def unprocessed(df: DataFrame) -> DataFrame:
     return df.where(is_new(df))
 
 
-def incremental_delta(builds: DataFrame, measures: DataFrame, analyses: DataFrame) -> DataFrame:
+def incremental_delta(builds: DataFrame, measures: DataFrame, analyses: DataFrame, on: list[str] = ()) -> DataFrame:
     """Joined rows in which the build, the analysis or the measure is new, each once.
 
     Three disjoint terms, each led by its new side: new builds with everything,
@@ -30,20 +30,21 @@ def incremental_delta(builds: DataFrame, measures: DataFrame, analyses: DataFram
     adaptive planner can broadcast it instead of shuffling the full tables.
     """
     features = schemas.MEASURE_NUMERICS + schemas.MEASURE_CATEGORIES
-    scope = ["server", *schemas.BOOKKEEPING]
-    b = label_builds(builds).withColumn("build_new", is_new(builds))
-    b = b.drop(*scope).withColumnRenamed("revision_number", "revision")
+    by_revision, by_key = [*on, "revision"], [*on, "analysis_key"]
+    b = label_builds(builds).withColumn("build_new", is_new(builds)).drop(*schemas.BOOKKEEPING)
+    b = b.withColumnRenamed("revision_number", "revision")
     a = analyses.where(F.col("analysis_key").isNotNull()).select(
-        "analysis_key", "revision", is_new(analyses).alias("analysis_new")
+        *by_key, "revision", is_new(analyses).alias("analysis_new")
     )
     m = measures.where(F.col("analysis_key").isNotNull()).select(
-        "analysis_key", *features, is_new(measures).alias("measure_new")
+        *by_key, *features, is_new(measures).alias("measure_new")
     )
     known_b = b.where(~F.col("build_new"))
+    known_a = a.where(~F.col("analysis_new"))
     terms = [
-        b.where("build_new").join(a, "revision").join(m, "analysis_key"),
-        a.where("analysis_new").join(known_b, "revision").join(m, "analysis_key"),
-        m.where("measure_new").join(a.where(~F.col("analysis_new")), "analysis_key").join(known_b, "revision"),
+        b.where("build_new").join(a, by_revision).join(m, by_key),
+        a.where("analysis_new").join(known_b, by_revision).join(m, by_key),
+        m.where("measure_new").join(known_a, by_key).join(known_b, by_revision),
     ]
     columns = [c for c in b.columns if c != "build_new"] + features
     return reduce(DataFrame.unionByName, [t.select(*columns) for t in terms])

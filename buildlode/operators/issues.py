@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import schemas
 from ..schemas import CURRENT, FLOW_COUNTS, INTRODUCED, ISSUE_TYPES, REMOVED, SEVERITIES
@@ -24,45 +26,44 @@ def _cells(prefix: str) -> list[Column]:
     return cells
 
 
-def introduced_counts(issues: DataFrame, *extra: Column) -> DataFrame:
+def introduced_counts(issues: DataFrame, *extra: Column, keys: list[str] = ()) -> DataFrame:
     """Open issues counted at the analysis that created them."""
-    return open_issues(issues).groupBy("project", "creation_analysis_key").agg(
+    return open_issues(issues).groupBy(*keys, "project", "creation_analysis_key").agg(
         F.max("creation_date").alias("creation_date"), *_cells("introduced"), *extra
     )
 
 
-def removed_counts(issues: DataFrame, *extra: Column) -> DataFrame:
+def removed_counts(issues: DataFrame, *extra: Column, keys: list[str] = ()) -> DataFrame:
     """Closed issues counted at the analysis that last saw them."""
-    return closed_issues(issues).groupBy("project", "current_analysis_key").agg(
+    return closed_issues(issues).groupBy(*keys, "project", "current_analysis_key").agg(
         F.max("update_date").alias("update_date"), *_cells("removed"), *extra
     )
 
 
-def issue_flow_counts(issues: DataFrame, with_new_flag: bool = False) -> DataFrame:
+def issue_flow_counts(issues: DataFrame, with_new_flag: bool = False, keys: list[str] = ()) -> DataFrame:
     """Introduced and removed counts side by side, one row per analysis.
 
     The sides meet on the analysis key only and a NULL key meets nothing, so both
     sides are counted first and then full-outer joined: what is shuffled is one
     row per analysis, never single issues. ``with_new_flag`` adds ``has_new``:
-    whether any unprocessed issue went into the row.
+    whether any unprocessed issue went into the row. ``keys`` (never NULL, such as a
+    batch number) keep groups of issues apart.
     """
     fresh = [F.bool_or(~F.col("processed")).alias("fresh")] if with_new_flag else []
-    left = introduced_counts(issues, *fresh).alias("i")
-    right = removed_counts(issues, *fresh).alias("r")
-    joined = left.join(
-        right, F.col("i.creation_analysis_key") == F.col("r.current_analysis_key"), "full_outer"
-    )
-    flag = (
-        [F.coalesce(F.col("i.fresh") | F.col("r.fresh"), F.col("i.fresh"), F.col("r.fresh"), F.lit(False)).alias("has_new")]
-        if with_new_flag
-        else []
-    )
+    left = introduced_counts(issues, *fresh, keys=keys).alias("i")
+    right = removed_counts(issues, *fresh, keys=keys).alias("r")
+    same = F.col("i.creation_analysis_key") == F.col("r.current_analysis_key")
+    for k in keys:
+        same = same & (F.col(f"i.{k}") == F.col(f"r.{k}"))
+    joined = left.join(right, same, "full_outer")
+    is_fresh = F.coalesce(F.col("i.fresh"), F.lit(False)) | F.coalesce(F.col("r.fresh"), F.lit(False))
     return joined.select(
+        *[F.coalesce(f"i.{k}", f"r.{k}").alias(k) for k in keys],
         F.coalesce("i.project", "r.project").alias("project"),
         F.coalesce("creation_analysis_key", "current_analysis_key").alias("analysis_key"),
         F.coalesce("creation_date", "update_date").alias("date"),
         *[F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c) for c in FLOW_COUNTS],
-        *flag,
+        *([is_fresh.alias("has_new")] if with_new_flag else []),
     )
 
 
@@ -72,7 +73,7 @@ def _net_flows() -> list[Column]:
     ]
 
 
-def running_totals_by_date(flows: DataFrame) -> DataFrame:
+def running_totals_by_date(flows: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Net issues per (project, date), accumulated over all earlier dates.
 
     A project may hold a large part of all analyses, so no window runs over a
@@ -82,28 +83,27 @@ def running_totals_by_date(flows: DataFrame) -> DataFrame:
     day. A window group is thus bounded by the distinct times of one day or the
     days of one project, whatever the number of rows. NULL dates come first.
     """
-    by_date = flows.groupBy("project", "date").agg(*_net_flows())
-    days_only = isinstance(flows.schema["date"].dataType, T.DateType)
-    by_date = by_date.withColumn("day", F.col("date").cast("date"))
-
-    by_day = by_date.groupBy("project", "day").agg(*[F.sum(c).alias(c) for c in CURRENT])
-    earlier_days = Window.partitionBy("project").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    group = [*keys, "project"]
+    by_date = flows.groupBy(*group, "date").agg(*_net_flows()).withColumn("day", F.col("date").cast("date"))
+    by_day = by_date.groupBy(*group, "day").agg(*[F.sum(c).alias(c) for c in CURRENT])
+    earlier_days = Window.partitionBy(*group).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     opening = by_day.select(
-        F.col("project").alias("p"),
-        F.col("day").alias("d"),
+        *[F.col(k).alias(f"opening_{k}") for k in [*group, "day"]],
         *[F.coalesce(F.sum(c).over(earlier_days), F.lit(0).cast("bigint")).alias(f"opening_{c}") for c in CURRENT],
     )
-    if not days_only:
-        same_day = Window.partitionBy("project", "day").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-        by_date = by_date.select("project", "day", "date", *[F.sum(c).over(same_day).alias(c) for c in CURRENT])
-    return by_date.join(
-        opening, F.col("project").eqNullSafe(F.col("p")) & F.col("day").eqNullSafe(F.col("d"))
-    ).select("project", "date", *[(F.col(c) + F.col(f"opening_{c}")).alias(c) for c in CURRENT])
+    same_day = Window.partitionBy(*group, "day").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    in_day = by_date.select(*group, "day", "date", *[F.sum(c).over(same_day).alias(c) for c in CURRENT])
+    return in_day.join(opening, _null_safe([*group, "day"], "opening_")).select(
+        *group, "date", *[(F.col(c) + F.col(f"opening_{c}")).alias(c) for c in CURRENT]
+    )
+
+
+def _null_safe(names: list[str], prefix: str) -> Column:
+    return reduce(and_, [F.col(n).eqNullSafe(F.col(prefix + n)) for n in names])
 
 
-def running_issue_totals(flows: DataFrame) -> DataFrame:
+def running_issue_totals(flows: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Flow rows with the 24 current totals; rows of one date share a total."""
-    totals = running_totals_by_date(flows).withColumnsRenamed({"project": "p", "date": "d"})
-    return flows.join(
-        totals, flows["project"].eqNullSafe(totals["p"]) & flows["date"].eqNullSafe(totals["d"])
-    ).drop("p", "d")
+    group = [*keys, "project", "date"]
+    totals = running_totals_by_date(flows, keys).withColumnsRenamed({k: f"total_{k}" for k in group})
+    return flows.join(totals, _null_safe(group, "total_")).drop(*[f"total_{k}" for k in group])

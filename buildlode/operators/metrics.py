@@ -6,7 +6,7 @@ An optional weight stands for repeated rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,7 +14,10 @@ def confusion_counts(scored: DataFrame, keys: list[str] = (), weight: Column | N
     """Row, actual, predicted and hit counts of both classes, in a single pass."""
     w = F.lit(1) if weight is None else weight
     label, prediction = F.col("label"), F.col("prediction")
-    total = lambda cond: F.coalesce(F.sum(F.when(cond, w)), F.lit(0)).cast("bigint")
+
+    def total(cond: Column) -> Column:
+        return F.coalesce(F.sum(F.when(cond, w)), F.lit(0)).cast("bigint")
+
     return scored.groupBy(*keys).agg(
         total(F.lit(True)).alias("n"),
         total(label == 0.0).alias("actual_ok"),
@@ -53,3 +56,60 @@ def multiclass_metrics(counts: DataFrame, keys: list[str] = ()) -> DataFrame:
 def predicted_negative_rate() -> Column:
     """Share of failed builds that were predicted to fail; NULL without any."""
     return F.when(F.col("actual_failed") > 0, F.col("hit_failed") / F.col("actual_failed"))
+
+
+def score_histogram(scored: DataFrame, keys: list[str], bins: int, weight: Column | None = None) -> DataFrame:
+    """Weighted rows per (keys..., bin, label, prediction): all a report needs.
+
+    ``score`` in [0, 1] is cut to ``bins`` steps, so the result is small whatever the
+    number of rows, and every metric comes from one pass over the scored data.
+    """
+    w = F.lit(1) if weight is None else weight
+    binned = scored.withColumn("bin", F.round(F.col("score") * bins).cast("int"))
+    return binned.groupBy(*keys, "bin", "label", "prediction").agg(F.sum(w).cast("bigint").alias("rows"))
+
+
+def binary_areas(histogram: DataFrame, keys: list[str]) -> DataFrame:
+    """Areas under the ROC and precision/recall curve per key, by trapezoids.
+
+    Windows run over the bins of a key, at most ``bins`` + 1 rows. The curves start
+    at (0, 0) and at recall 0 with the first precision.
+    """
+    per_bin = histogram.groupBy(*keys, "bin").agg(
+        F.sum(F.when(F.col("label") == 1.0, F.col("rows")).otherwise(0)).alias("pos"),
+        F.sum(F.when(F.col("label") == 0.0, F.col("rows")).otherwise(0)).alias("neg"),
+    )
+    down = Window.partitionBy(*keys).orderBy(F.desc("bin"))
+    whole = Window.partitionBy(*keys)
+    curve = per_bin.select(
+        *keys,
+        "bin",
+        F.sum("pos").over(down).alias("tp"),
+        F.sum("neg").over(down).alias("fp"),
+        F.sum("pos").over(whole).alias("all_pos"),
+        F.sum("neg").over(whole).alias("all_neg"),
+    ).select(
+        *keys,
+        "bin",
+        _share(F.col("tp"), F.col("all_pos")).alias("recall"),
+        _share(F.col("fp"), F.col("all_neg")).alias("fall_out"),
+        (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
+    )
+    steps = curve.select(
+        *keys,
+        "recall",
+        "fall_out",
+        "precision",
+        F.lag("recall", 1, 0.0).over(down).alias("last_recall"),
+        F.lag("fall_out", 1, 0.0).over(down).alias("last_fall_out"),
+        F.coalesce(F.lag("precision").over(down), F.col("precision")).alias("last_precision"),
+    )
+    roc = (F.col("fall_out") - F.col("last_fall_out")) * (F.col("recall") + F.col("last_recall")) / 2
+    pr = (F.col("recall") - F.col("last_recall")) * (F.col("precision") + F.col("last_precision")) / 2
+    return steps.groupBy(*keys).agg(F.sum(roc).alias("area_under_ROC"), F.sum(pr).alias("area_under_PR"))
+
+
+def full_report(histogram: DataFrame, keys: list[str]) -> DataFrame:
+    """All seven metrics and the row count ``n`` per key."""
+    counts = confusion_counts(histogram, keys, F.col("rows"))
+    return multiclass_metrics(counts, keys).join(binary_areas(histogram, keys), keys)

@@ -10,31 +10,40 @@ from ..functions.scalars import binary_result
 from ..session import is_small
 
 
-def measures_x_analyses(measures: DataFrame, analyses: DataFrame, keep: list[str] = ()) -> DataFrame:
-    """Measure features with the revision their analysis looked at."""
+def measures_x_analyses(measures: DataFrame, analyses: DataFrame, on: list[str] = ()) -> DataFrame:
+    """Measure features with the revision their analysis looked at.
+
+    ``on`` names further join keys both sides carry, such as a batch number.
+    """
     features = schemas.MEASURE_NUMERICS + schemas.MEASURE_CATEGORIES
-    return measures.select("analysis_key", *features).join(
-        analyses.select("analysis_key", "revision", *keep), "analysis_key"
-    ).select("revision", *keep, *features)
+    return measures.select(*on, "analysis_key", *features).join(
+        analyses.select(*on, "analysis_key", "revision"), [*on, "analysis_key"]
+    ).select(*on, "revision", *features)
 
 
-def builds_x_measures(builds: DataFrame, measures: DataFrame, analyses: DataFrame) -> DataFrame:
+def builds_x_measures(builds: DataFrame, measures: DataFrame, analyses: DataFrame, on: list[str] = ()) -> DataFrame:
     """Build rows with the quality features of the revision they built."""
-    quality = measures_x_analyses(measures, analyses)
-    return builds.join(quality, builds["revision_number"] == quality["revision"])
+    quality = measures_x_analyses(measures, analyses, on).withColumnRenamed("revision", "revision_number")
+    return builds.join(quality, [*on, "revision_number"])
 
 
-def flows_x_analyses(flows: DataFrame, analyses: DataFrame) -> DataFrame:
+def flows_x_analyses(flows: DataFrame, analyses: DataFrame, on: list[str] = (), keep: list[str] = ()) -> DataFrame:
     """Issue flow rows with the revision of their analysis."""
-    return flows.join(analyses.select("analysis_key", "revision"), "analysis_key")
+    return flows.join(analyses.select(*on, "analysis_key", "revision", *keep), [*on, "analysis_key"])
+
 
+def builds_x_flows(
+    builds: DataFrame, flows: DataFrame, analyses: DataFrame, keys: list[str] = (), on: list[str] = (), keep: list[str] = ()
+) -> DataFrame:
+    """Build outcome with the 72 issue flow features of the built revision.
 
-def builds_x_flows(builds: DataFrame, flows: DataFrame, analyses: DataFrame, keys: list[str] = ()) -> DataFrame:
-    """Build outcome with the 72 issue flow features of the built revision."""
-    quality = flows_x_analyses(flows, analyses)
+    ``keys`` are build columns and ``keep`` analysis columns to carry along.
+    """
+    quality = flows_x_analyses(flows, analyses, on, keep).withColumnRenamed("revision", "revision_number")
+    extra = [c for c in flows.columns if c == "has_new"]
     return quality.join(
-        builds.select("revision_number", "result", *keys), quality["revision"] == F.col("revision_number")
-    ).select(*keys, "result", *schemas.FLOW_FEATURES)
+        builds.select(*on, "revision_number", "result", *keys), [*on, "revision_number"]
+    ).select(*on, *keys, "result", *keep, *extra, *schemas.FLOW_FEATURES)
 
 
 def builds_of_projects(builds: DataFrame, analyses: DataFrame) -> DataFrame:
@@ -66,11 +75,9 @@ def union_batches(builds: DataFrame, measures: DataFrame, analyses: DataFrame, r
     Batch membership is part of the join keys, so the plan holds each table once
     whatever the number of batches.
     """
-    b = by_batch(builds, registry, "jenkins_builds")
-    m = by_batch(measures, registry, "sonar_measures")
-    a = by_batch(analyses, registry, "sonar_analyses")
-    features = schemas.MEASURE_NUMERICS + schemas.MEASURE_CATEGORIES
-    quality = m.select("batch_number", "analysis_key", *features).join(
-        a.select("batch_number", "analysis_key", "revision"), ["batch_number", "analysis_key"]
-    ).drop("analysis_key").withColumnRenamed("revision", "revision_number")
-    return b.join(quality, ["batch_number", "revision_number"])
+    return builds_x_measures(
+        by_batch(builds, registry, "jenkins_builds"),
+        by_batch(measures, registry, "sonar_measures"),
+        by_batch(analyses, registry, "sonar_analyses"),
+        on=["batch_number"],
+    )
