@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..domain import Domain
 from ..operators import balance, chi2, features, issues, metrics, quality, reports
+from ..operators.filters import cast_double
+from ..session import cut_lineage
 from .registry import query
 from .relational import FEATURES_SQL, ML1_JOIN
 from .sqltext import FLOWS_SQL, columns
@@ -21,12 +23,13 @@ FULL_ML1 = f"""SELECT {KEYS_SQL}, CASE WHEN b.result = 'SUCCESS' THEN 'SUCCESS'
 
 def quality_table(d: Domain):
     joined = quality.builds_x_measures(quality.label_builds(d.jenkins_builds), d.sonar_measures, d.sonar_analyses)
-    return joined.select(*KEYS, "result", *[F.col(c).cast("double").alias(c) for c in NUMERICS], "alert_status")
+    rows = cast_double(joined.select(*KEYS, "result", *NUMERICS, "alert_status"), NUMERICS)
+    return cut_lineage(rows, "quality")
 
 
 def rounded(df, names, digits: int = 6):
     names = set(names)
-    return df.select(*[F.round(c, digits).alias(c) if c in names else c for c in df.columns])
+    return df.selectExpr(*[f"round({c}, {digits}) AS {c}" if c in names else c for c in df.columns])
 
 
 IMPUTED = f"""SELECT {columns(KEYS)}, result, alert_status,

@@ -9,7 +9,7 @@ from .. import schemas
 from ..domain import Domain
 from ..operators import features, issues, quality, rules
 from ..plans import jobs, pipelines, training
-from ..session import shared_dir
+from ..session import cut_lineage, shared_dir
 from ..sources.sinks import LABEL_INDEXER, Artefacts, ParquetResults
 from .learning import CATEGORY_INDEX, IMPUTED, KEYS, ML1_VIEWS, SCALED, quality_table, rounded
 from .registry import query
@@ -75,7 +75,7 @@ FLOW_SCALED = ", ".join(
 )
 def issue_flow_features(d: Domain):
     totals = issues.running_issue_totals(issues.issue_flow_counts(d.sonar_issues))
-    table = quality.builds_x_flows(quality.label_builds(d.jenkins_builds), totals, d.sonar_analyses, KEYS)
+    table = cut_lineage(quality.builds_x_flows(quality.label_builds(d.jenkins_builds), totals, d.sonar_analyses, KEYS), "flows")
     fitted = pipelines.issue_flow_features(table, "first", study(d).artefacts)
     packed = fitted.model.transform(table).select(*KEYS, "label", "features")
     return rounded(features.spread(packed, "features", fitted.names), fitted.names, 9)
@@ -143,7 +143,7 @@ def chi2_select(d: Domain):
     s = study(d)
     table = quality_table(d)
     fitted = pipelines.quality_features(table, "first", s.artefacts)
-    samples = fitted.model.transform(table).select("label", "features")
+    samples = cut_lineage(fitted.model.transform(table).select("label", "features"), "samples")
     tests = training.chi2.top10_chi2(training.dense_tests(samples), [])
     names = F.array(*[F.lit(n) for n in fitted.names])
     return tests.select("rank", names[F.col("feature")].alias("feature"), "statistic", "dof", "p_value")

@@ -67,7 +67,7 @@ def with_p_value(tests: DataFrame) -> DataFrame:
 
 def value_cells(samples: DataFrame, features: list[str], keys: list[str] = ()) -> DataFrame:
     """Cells of wide samples: (keys..., feature, value, ok, failed)."""
-    narrow = samples.select(*keys, "label", *[F.col(f).cast("double").alias(f) for f in features])
+    narrow = samples.selectExpr(*keys, "label", *[f"cast(`{f}` AS double) AS `{f}`" for f in features])
     return (
         narrow.unpivot([*keys, "label"], features, "feature", "value")
         .groupBy(*keys, "feature", "value")
@@ -93,6 +93,6 @@ def widen_ranked(ranked: DataFrame, keys: list[str], name: str, value: str, out_
     """One row per group with (name_1, value_1) ... (name_10, value_10), NULL-padded."""
     cells = []
     for i, (n, v) in enumerate(ranked_pairs(out_name, out_value), 1):
-        cells.append(F.max(F.when(F.col("rank") == i, F.col(name))).alias(n))
-        cells.append(F.max(F.when(F.col("rank") == i, F.col(value).cast("double"))).alias(v))
+        cells.append(F.expr(f"max({name}) FILTER (WHERE rank = {i}) AS {n}"))
+        cells.append(F.expr(f"max(cast({value} AS double)) FILTER (WHERE rank = {i}) AS {v}"))
     return ranked.groupBy(*keys).agg(*cells)

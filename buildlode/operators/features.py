@@ -19,7 +19,7 @@ from ..schemas import FAIL, SUCCESS
 
 def all_null_columns(df: DataFrame, columns: list[str]) -> list[str]:
     """Columns without a single value, found in one pass."""
-    counts = df.agg(*[F.count(c).alias(c) for c in columns]).first()
+    counts = df.agg(*[F.expr(f"count(`{c}`) AS `{c}`") for c in columns]).first()
     return [c for c in columns if counts[c] == 0]
 
 
@@ -75,8 +75,8 @@ def spread(df: DataFrame, vector: str, names: list[str]) -> DataFrame:
     """Vector slots as plain double columns."""
     slots = vector_to_array(F.col(vector))
     rest = [c for c in df.columns if c != vector]
-    return df.withColumn("__slots", slots).select(
-        *rest, *[F.col("__slots")[i].alias(n) for i, n in enumerate(names)]
+    return df.withColumn("__slots", slots).selectExpr(
+        *rest, *[f"__slots[{i}] AS `{n}`" for i, n in enumerate(names)]
     )
 
 

@@ -63,7 +63,7 @@ def drop_sparse_measures(measures: DataFrame) -> DataFrame:
 
 def null_shares(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, null_share), one pass over the data."""
-    shares = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in columns])
+    shares = df.agg(*[F.expr(f"avg(cast(`{c}` IS NULL AS double)) AS `{c}`") for c in columns])
     return shares.unpivot([], columns, "column", "null_share")
 
 
@@ -76,4 +76,4 @@ def drop_sparse_columns(df: DataFrame, columns: list[str], max_null_share: float
 def cast_double(df: DataFrame, columns: list[str]) -> DataFrame:
     """One projection for all columns, not a chain of single-column steps."""
     wanted = set(columns)
-    return df.select(*[F.col(c).cast("double").alias(c) if c in wanted else c for c in df.columns])
+    return df.selectExpr(*[f"cast(`{c}` AS double) AS `{c}`" if c in wanted else f"`{c}`" for c in df.columns])

@@ -5,38 +5,47 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .. import schemas
 from ..schemas import CURRENT, FLOW_COUNTS, INTRODUCED, ISSUE_TYPES, REMOVED, SEVERITIES
 from .filters import closed_issues, open_issues
 
 
-def _cells(prefix: str) -> list[Column]:
+# Wide lists of near-equal columns are given as SQL expressions: one call into the
+# JVM per column, where chained Column objects would take a dozen.
+
+
+def _cell() -> str:
+    """Number of an issue's type and severity bucket; NULL for an unlisted one."""
+    kinds = " ".join(f"WHEN '{t}' THEN {len(SEVERITIES) * i}" for i, t in enumerate(ISSUE_TYPES))
+    named = " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(SEVERITIES) if s)
+    missing = SEVERITIES.index(None)
+    return f"CASE type {kinds} END + CASE WHEN severity IS NULL THEN {missing} ELSE CASE severity {named} END END"
+
+
+def with_cell(issues: DataFrame) -> DataFrame:
+    """Adds ``cell``: the texts are compared once per issue, the 24 counts then
+    compare a small integer. An issue without a cell is counted nowhere."""
+    return issues.selectExpr("*", f"{_cell()} AS cell")
+
+
+def _cells(names: list[str]) -> list[Column]:
     """One conditional count per issue type and severity bucket."""
-    cells = []
-    for kind in ISSUE_TYPES:
-        for severity in SEVERITIES:
-            hit = (F.col("type") == kind) & (
-                F.col("severity").isNull() if severity is None else F.col("severity") == severity
-            )
-            name = f"{prefix}_{severity or schemas.NULL_SEVERITY_LABEL}_{kind}".lower()
-            cells.append(F.count_if(hit).alias(name))
-    return cells
+    return [F.expr(f"count_if(cell = {i}) AS {name}") for i, name in enumerate(names)]
 
 
 def introduced_counts(issues: DataFrame, *extra: Column, keys: list[str] = ()) -> DataFrame:
     """Open issues counted at the analysis that created them."""
-    return open_issues(issues).groupBy(*keys, "project", "creation_analysis_key").agg(
-        F.max("creation_date").alias("creation_date"), *_cells("introduced"), *extra
+    return with_cell(open_issues(issues)).groupBy(*keys, "project", "creation_analysis_key").agg(
+        F.max("creation_date").alias("creation_date"), *_cells(INTRODUCED), *extra
     )
 
 
 def removed_counts(issues: DataFrame, *extra: Column, keys: list[str] = ()) -> DataFrame:
     """Closed issues counted at the analysis that last saw them."""
-    return closed_issues(issues).groupBy(*keys, "project", "current_analysis_key").agg(
-        F.max("update_date").alias("update_date"), *_cells("removed"), *extra
+    return with_cell(closed_issues(issues)).groupBy(*keys, "project", "current_analysis_key").agg(
+        F.max("update_date").alias("update_date"), *_cells(REMOVED), *extra
     )
 
 
@@ -56,21 +65,19 @@ def issue_flow_counts(issues: DataFrame, with_new_flag: bool = False, keys: list
     for k in keys:
         same = same & (F.col(f"i.{k}") == F.col(f"r.{k}"))
     joined = left.join(right, same, "full_outer")
-    is_fresh = F.coalesce(F.col("i.fresh"), F.lit(False)) | F.coalesce(F.col("r.fresh"), F.lit(False))
-    return joined.select(
-        *[F.coalesce(f"i.{k}", f"r.{k}").alias(k) for k in keys],
-        F.coalesce("i.project", "r.project").alias("project"),
-        F.coalesce("creation_analysis_key", "current_analysis_key").alias("analysis_key"),
-        F.coalesce("creation_date", "update_date").alias("date"),
-        *[F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c) for c in FLOW_COUNTS],
-        *([is_fresh.alias("has_new")] if with_new_flag else []),
+    is_fresh = "coalesce(i.fresh, false) OR coalesce(r.fresh, false) AS has_new"
+    return joined.selectExpr(
+        *[f"coalesce(i.{k}, r.{k}) AS {k}" for k in keys],
+        "coalesce(i.project, r.project) AS project",
+        "coalesce(creation_analysis_key, current_analysis_key) AS analysis_key",
+        "coalesce(creation_date, update_date) AS date",
+        *[f"coalesce({c}, 0L) AS {c}" for c in FLOW_COUNTS],
+        *([is_fresh] if with_new_flag else []),
     )
 
 
 def _net_flows() -> list[Column]:
-    return [
-        F.sum(F.col(i) - F.col(r)).alias(c) for i, r, c in zip(INTRODUCED, REMOVED, CURRENT)
-    ]
+    return [F.expr(f"sum({i} - {r}) AS {c}") for i, r, c in zip(INTRODUCED, REMOVED, CURRENT)]
 
 
 def running_totals_by_date(flows: DataFrame, keys: list[str] = ()) -> DataFrame:
@@ -84,17 +91,18 @@ def running_totals_by_date(flows: DataFrame, keys: list[str] = ()) -> DataFrame:
     days of one project, whatever the number of rows. NULL dates come first.
     """
     group = [*keys, "project"]
+    names = ", ".join(group)
     by_date = flows.groupBy(*group, "date").agg(*_net_flows()).withColumn("day", F.col("date").cast("date"))
-    by_day = by_date.groupBy(*group, "day").agg(*[F.sum(c).alias(c) for c in CURRENT])
-    earlier_days = Window.partitionBy(*group).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    opening = by_day.select(
-        *[F.col(k).alias(f"opening_{k}") for k in [*group, "day"]],
-        *[F.coalesce(F.sum(c).over(earlier_days), F.lit(0).cast("bigint")).alias(f"opening_{c}") for c in CURRENT],
+    by_day = by_date.groupBy(*group, "day").agg(*[F.expr(f"sum({c}) AS {c}") for c in CURRENT])
+    earlier_days = f"(PARTITION BY {names} ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    opening = by_day.selectExpr(
+        *[f"{k} AS opening_{k}" for k in [*group, "day"]],
+        *[f"coalesce(sum({c}) OVER {earlier_days}, 0L) AS opening_{c}" for c in CURRENT],
     )
-    same_day = Window.partitionBy(*group, "day").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    in_day = by_date.select(*group, "day", "date", *[F.sum(c).over(same_day).alias(c) for c in CURRENT])
-    return in_day.join(opening, _null_safe([*group, "day"], "opening_")).select(
-        *group, "date", *[(F.col(c) + F.col(f"opening_{c}")).alias(c) for c in CURRENT]
+    same_day = f"(PARTITION BY {names}, day ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    in_day = by_date.selectExpr(*group, "day", "date", *[f"sum({c}) OVER {same_day} AS {c}" for c in CURRENT])
+    return in_day.join(opening, _null_safe([*group, "day"], "opening_")).selectExpr(
+        *group, "date", *[f"{c} + opening_{c} AS {c}" for c in CURRENT]
     )
 
 

@@ -11,12 +11,10 @@ from ..functions.scalars import severity_bucket
 
 def _unpivot_pairs(df: DataFrame, keep: list, name: str, value: str, out_name: str, out_value: str) -> DataFrame:
     """Ten (name, value) column pairs to rows, identical rows once; one scan."""
-    pairs = F.array(
-        *[
-            F.struct(F.col(n).alias(out_name), F.col(v).alias(out_value))
-            for n, v in schemas.ranked_pairs(name, value)
-        ]
-    )
+    structs = [
+        f"named_struct('{out_name}', {n}, '{out_value}', {v})" for n, v in schemas.ranked_pairs(name, value)
+    ]
+    pairs = F.expr(f"array({', '.join(structs)})")
     return df.select(*keep, F.inline(pairs)).distinct()
 
 
@@ -38,7 +36,7 @@ def feature_importance_report(model_info: DataFrame) -> DataFrame:
 
 
 def _unpivot_metrics(df: DataFrame, keep: list[str], prefix: str) -> DataFrame:
-    named = df.select(*keep, *[F.col(prefix + m).alias(m.lower()) for m in schemas.METRICS])
+    named = df.selectExpr(*keep, *[f"{prefix}{m} AS {m.lower()}" for m in schemas.METRICS])
     return named.unpivot(keep, [m.lower() for m in schemas.METRICS], "metric", "measure").distinct()
 
 

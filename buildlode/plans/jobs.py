@@ -18,7 +18,7 @@ from .. import schemas
 from ..operators import chi2, issues, rules, trees
 from ..operators.delta import incremental_delta, is_new
 from ..operators.features import label_indexer
-from ..operators.filters import drop_sparse_measures
+from ..operators.filters import cast_double, drop_sparse_measures
 from ..operators.quality import builds_x_flows, builds_x_measures, by_batch, label_builds
 from ..session import cut_lineage
 from ..sources.sinks import LABEL_INDEXER, Artefacts, pipeline_name, result_rows
@@ -63,8 +63,8 @@ def quality_rows(study: Study, mode: str) -> DataFrame:
         joined = incremental_delta(builds, measures, analyses, on=BATCH)
     else:
         joined = builds_x_measures(label_builds(builds), measures, analyses, on=BATCH)
-    numerics = [F.col(c).cast("double").alias(c) for c in schemas.QUALITY_NUMERICS]
-    return joined.select(_row_key(), "result", *numerics, *schemas.MEASURE_CATEGORIES)
+    rows = joined.select(_row_key(), "result", *schemas.QUALITY_NUMERICS, *schemas.MEASURE_CATEGORIES)
+    return cast_double(rows, schemas.QUALITY_NUMERICS)
 
 
 def issue_flow_rows(study: Study, mode: str) -> DataFrame:
@@ -73,7 +73,8 @@ def issue_flow_rows(study: Study, mode: str) -> DataFrame:
     Totals always run over the whole history; an incremental run then keeps the rows
     in which the build, the analysis or any of the counted issues is new.
     """
-    flows = issues.issue_flow_counts(study.by_batch("sonar_issues"), with_new_flag=True, keys=BATCH)
+    # The totals read the flows several times; they are small next to the issues.
+    flows = cut_lineage(issues.issue_flow_counts(study.by_batch("sonar_issues"), with_new_flag=True, keys=BATCH), "flows")
     totals = issues.running_issue_totals(flows, keys=BATCH)
     builds = label_builds(study.by_batch("jenkins_builds"))
     builds = builds.select(*BATCH, "revision_number", "result", _row_key(), is_new(builds).alias("build_new"))
@@ -82,7 +83,7 @@ def issue_flow_rows(study: Study, mode: str) -> DataFrame:
     joined = builds_x_flows(builds, totals, analyses, ["row_key", "build_new"], on=BATCH, keep=["analysis_new"])
     if mode == "incremental":
         joined = joined.where(F.col("build_new") | F.col("analysis_new") | F.col("has_new"))
-    return joined.select("row_key", "result", *[F.col(c).cast("double").alias(c) for c in schemas.FLOW_FEATURES])
+    return cast_double(joined.select("row_key", "result", *schemas.FLOW_FEATURES), schemas.FLOW_FEATURES)
 
 
 def _finish(study: Study, number: int, mode: str, samples: DataFrame, names: list[str], tests) -> DataFrame | None:
