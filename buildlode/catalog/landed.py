@@ -127,7 +127,7 @@ def class_tail(d: Domain):
 
 @query("derive_pass_count", f"SELECT event_id AS build_number, {PASSED} AS test_pass_count FROM events")
 def derive_pass_count(d: Domain):
-    return landed.build_facts(landed.parse_payloads(d.build_payloads)).select("build_number", "test_pass_count")
+    return landed.numbered(landed.build_facts(landed.parse_payloads(d.build_payloads))).select("build_number", "test_pass_count")
 
 
 @query(
@@ -135,7 +135,7 @@ def derive_pass_count(d: Domain):
     "SELECT event_id, event_id AS build_number FROM events",
 )
 def build_number_fallback(d: Domain):
-    return landed.build_facts(landed.parse_payloads(d.build_payloads)).select("event_id", "build_number")
+    return landed.numbered(landed.build_facts(landed.parse_payloads(d.build_payloads))).select("event_id", "build_number")
 
 
 @query(

@@ -58,7 +58,10 @@ def build_facts(parsed: DataFrame) -> DataFrame:
     """
     action = _last_action(ACTION_COUNTS)
     has_report = F.col("tests").isNotNull()
-    pick = lambda name: F.when(has_report, F.col(f"tests.{name}")).otherwise(action[name])
+
+    def pick(name: str) -> Column:
+        return F.when(has_report, F.col(f"tests.{name}")).otherwise(action[name])
+
     return parsed.select(
         "*",
         S.build_number(F.col("build.id"), F.col("build.number")).alias("build_number"),
@@ -67,19 +70,28 @@ def build_facts(parsed: DataFrame) -> DataFrame:
         pick("failCount").alias("test_fail_count"),
         pick("skipCount").alias("test_skip_count"),
         suite_duration().alias("total_test_duration"),
-    ).where(F.col("build_number").isNotNull())
+    )
+
+
+def numbered(facts: DataFrame) -> DataFrame:
+    """Builds with a number; the others cannot be stored."""
+    return facts.where(F.col("build_number").isNotNull())
 
 
 def explode_commits(facts: DataFrame, last_only: bool = False) -> DataFrame:
-    """One row per commit of a build; a build without commits keeps one NULL row.
+    """One row per commit of a numbered build; without commits one row of NULLs.
 
-    ``last_only`` keeps only the last commit listed.
+    ``last_only`` keeps only the last commit listed. A build without number gets no
+    array, and its row is dropped after the explode: a filter before it would be
+    pushed down and parse every payload twice.
     """
-    items = F.filter("build.changeSet.items", lambda i: i["commitId"].isNotNull())
+    commits = F.filter("build.changeSet.items", lambda i: i["commitId"].isNotNull())
     if last_only:
-        items = F.slice(items, -1, 1)
-        items = F.when(F.size(F.filter("build.changeSet.items", lambda i: i["commitId"].isNotNull())) > 0, items)
-    return facts.withColumn("item", F.explode_outer(items)).withColumns(
+        commits = F.slice(commits, F.greatest(F.size(commits), F.lit(1)), F.lit(1))
+    none = F.array(F.struct(F.lit(None).cast("string").alias("commitId"), F.lit(None).cast("string").alias("date")))
+    items = F.when(F.size(commits) > 0, commits).otherwise(none)
+    exploded = facts.withColumn("item", F.explode_outer(F.when(F.col("build_number").isNotNull(), items)))
+    return exploded.where(F.col("item").isNotNull()).withColumns(
         {"commit_id": F.col("item.commitId"), "commit_ts": S.commit_timestamp(F.col("item.date"))}
     ).drop("item")
 
@@ -111,11 +123,12 @@ def flatten_tests(landed: DataFrame) -> DataFrame:
         kind.isin(schemas.AGGREGATED_REPORT_KINDS),
         F.flatten(F.transform("tests.childReports", lambda c: F.coalesce(c["result"]["suites"], F.array()))),
     ).when(kind == schemas.PLAIN_REPORT_KIND, F.col("tests.suites"))
+    number = S.build_number(F.col("build.id"), F.col("build.number"))
     rows = (
         parse_payloads(landed)
-        .withColumn("build_number", S.build_number(F.col("build.id"), F.col("build.number")))
-        .where(F.col("build_number").isNotNull())
-        .select("job", "build_number", F.explode(suites).alias("suite"))
+        .select("job", number.alias("build_number"), suites.alias("suites"))
+        .select("job", "build_number", F.explode_outer("suites").alias("suite"))
+        .where(F.col("suite").isNotNull() & F.col("build_number").isNotNull())
         .select("job", "build_number", F.col("suite.name").alias("suite"), F.explode("suite.cases").alias("case"))
     )
     return rows.select(

@@ -194,15 +194,13 @@ def issue_impact_by_project(study: Study) -> DataFrame:
     vocabulary = pipelines.vocabulary(study.artefacts.load(pipeline_name(3), pipelines.PipelineModel))
     names = rules.feature_names(vocabulary)
     counts = rules.rule_counts(study.by_batch("sonar_issues").drop("processed"), keys)
-    cells = rules.rule_cells(counts, vocabulary)
+    cells = cut_lineage(rules.rule_cells(counts, vocabulary), "project-cells")
     outcomes = _outcomes(
         study, study.by_batch("jenkins_builds"), study.by_batch("sonar_analyses"), BATCH, ["organization", "project"]
     )
     # Only analyses that have both rule counts and builds are samples.
     known = cells.select(*keys, "analysis_key").distinct()
     outcomes = cut_lineage(outcomes.join(known, [*keys, "analysis_key"], "left_semi"), "project-outcomes")
-    built = outcomes.select(*keys, "analysis_key").distinct()
-    cells = cut_lineage(cells.join(built, [*keys, "analysis_key"], "left_semi"), "project-cells")
 
     best = chi2.top10_chi2(training.count_tests(cells, outcomes, keys), keys)
     telling = best.where((F.col("rank") == 1) & (F.col("statistic") != 0)).select(*keys)
