@@ -94,8 +94,8 @@ def rule_vector_features(d: Domain):
     names = rules.feature_names(vocabulary)
     vectors = rules.rule_vectors(rules.rule_cells(rules.rule_counts(d.sonar_issues), vocabulary), len(names))
     slots = vectors.select("analysis_key", F.posexplode(features.vector_to_array("features")).alias("slot", "value"))
-    lookup = F.array(*[F.lit(n) for n in names])
-    return slots.where("value > 0").select("analysis_key", lookup[F.col("slot")].alias("feature"), "value")
+    named = d.spark.createDataFrame(list(enumerate(names)), "slot int, feature string")
+    return slots.where("value > 0").join(named, "slot").select("analysis_key", "feature", "value")
 
 
 @query(

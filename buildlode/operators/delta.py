@@ -8,8 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..session import is_small
 from .quality import label_builds
 
+# Row hashes of a load are broadcast up to this many: eight bytes each.
+HASH_ROWS = 1_000_000
+
 
 def is_new(df_or_flag: DataFrame | Column) -> Column:
     """True for an unprocessed row; a NULL flag does not count as new."""
@@ -58,18 +62,17 @@ def merge_dedup(new: DataFrame, archive: DataFrame) -> DataFrame:
 def not_in_archive(new: DataFrame, archive: DataFrame, columns: list[str]) -> DataFrame:
     """Distinct new rows of which the archive holds no identical copy.
 
-    Rows are compared on all columns, NULL equal to NULL. A 64-bit row hash is an
-    extra equality key, so the join compares one long before the wide row.
+    Rows are compared on all columns, NULL equal to NULL; a 64-bit row hash goes
+    first. The archive is first cut to rows that share a hash with a new row: for a
+    load counted to be small the hashes are broadcast and the archive is scanned
+    without a shuffle, so a load costs by its own size and one scan.
     """
-    n = new.dropDuplicates(columns).withColumn("row_hash", F.xxhash64(*columns))
-    old = archive.select(*columns).withColumn("row_hash", F.xxhash64(*columns)).alias("o")
-    n = n.alias("n")
-    same = reduce(
-        lambda x, y: x & y,
-        [F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) for c in columns],
-        F.col("n.row_hash") == F.col("o.row_hash"),
-    )
-    return n.join(old, same, "left_anti").drop("row_hash")
+    n = new.select(*columns).dropDuplicates().withColumn("row_hash", F.xxhash64(*columns))
+    hashes = n.select("row_hash").distinct()
+    old = archive.select(*columns).withColumn("row_hash", F.xxhash64(*columns))
+    old = old.join(F.broadcast(hashes) if is_small(hashes, HASH_ROWS) else hashes, "row_hash", "left_semi")
+    same = " AND ".join(["n.row_hash = o.row_hash", *[f"n.`{c}` <=> o.`{c}`" for c in columns]])
+    return n.alias("n").join(old.alias("o"), F.expr(same), "left_anti").drop("row_hash")
 
 
 def stamp_processed(df: DataFrame, read_until: Column) -> DataFrame:
