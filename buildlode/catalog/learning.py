@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..domain import Domain
-from ..operators import balance, chi2, features, issues, metrics, quality, reports
+from ..operators import balance, chi2, features, issues, metrics, quality, reports, rules
 from ..operators.filters import cast_double
+from ..plans.training import count_tests
 from ..session import cut_lineage
 from .registry import query
-from .relational import FEATURES_SQL, ML1_JOIN
+from .relational import FEATURES_SQL, ML1_JOIN, RULE_EVENTS
 from .sqltext import FLOWS_SQL, columns
 
 ML1_VIEWS = "jenkins_builds sonar_analyses sonar_measures"
@@ -253,8 +254,54 @@ def chi2_by_group(d: Domain):
     return rounded(_chi_by_job(d), ["statistic"])
 
 
-@query("top10_chi2")
+# Upper tail of chi-square as 1 - sum over n of e^-x x^(a+n) / gamma(a+n+1).
+TAIL = """CASE WHEN dof = 0 OR statistic <= 0 THEN 1.0 ELSE GREATEST(0.0, 1.0 - list_sum(list_transform(generate_series(0, 2000),
+    lambda k: exp((dof / 2.0 + k) * ln(statistic / 2.0) - statistic / 2.0 - lgamma(dof / 2.0 + k + 1))))) END"""
+
+
+@query(
+    "top10_chi2",
+    f"""SELECT job, feature, ROUND(statistic, 6) AS statistic, dof, ROUND(p, 8) AS p_value, CAST(rank AS INT) AS rank
+        FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY job ORDER BY p, statistic DESC, feature) AS rank
+              FROM (SELECT *, {TAIL} AS p FROM ({CHI_SQL.replace('ROUND(SUM((o - e) * (o - e) / e), 6)', 'SUM((o - e) * (o - e) / e)')}) c) t) r
+        WHERE rank <= 10""",
+    "jenkins_builds",
+)
 def top10_chi2(d: Domain):
-    return chi2.top10_chi2(_chi_by_job(d), ["job"])
+    return rounded(rounded(chi2.top10_chi2(_chi_by_job(d), ["job"]), ["statistic"]), ["p_value"], 8)
 
 
+PROJECT_CELLS = f"""SELECT organization, project, analysis_key, concat(direction, '_', rule) AS feature, COUNT(*) AS n
+    FROM (SELECT organization, project, {RULE_EVENTS.split('SELECT', 1)[1]}) e GROUP BY ALL"""
+
+
+@query(
+    "issue_impact_chi2",
+    f"""WITH cells AS MATERIALIZED ({PROJECT_CELLS}),
+        outcomes AS MATERIALIZED (SELECT a.organization, a.project, a.analysis_key, CASE WHEN b.result = 'SUCCESS' THEN 0 ELSE 1 END AS y
+            FROM jenkins_builds b JOIN sonar_analyses a ON b.revision_number = a.revision
+            WHERE (a.organization, a.project, a.analysis_key) IN (SELECT (organization, project, analysis_key) FROM cells)),
+        features AS (SELECT DISTINCT organization, project, feature FROM cells SEMI JOIN outcomes USING (organization, project, analysis_key)),
+        rated AS MATERIALIZED (SELECT o.organization, o.project, f.feature, COALESCE(c.n, 0) AS v, y, COUNT(*) AS o
+            FROM outcomes o JOIN features f USING (organization, project)
+            LEFT JOIN cells c ON c.organization = o.organization AND c.project = o.project
+              AND c.analysis_key = o.analysis_key AND c.feature = f.feature GROUP BY ALL),
+        grid AS (SELECT g.organization, g.project, g.feature, g.v, l.y, CAST(rv AS DOUBLE) * ry / total AS e
+            FROM (SELECT organization, project, feature, v, SUM(o) AS rv FROM rated GROUP BY ALL) g
+            JOIN (SELECT organization, project, feature, y, SUM(o) AS ry FROM rated GROUP BY ALL) l USING (organization, project, feature)
+            JOIN (SELECT organization, project, feature, SUM(o) AS total FROM rated GROUP BY ALL) t USING (organization, project, feature))
+        SELECT organization, project, feature,
+            ROUND(CASE WHEN COUNT(DISTINCT v) > 1 AND COUNT(DISTINCT y) > 1 THEN SUM((COALESCE(o, 0) - e) * (COALESCE(o, 0) - e) / e) ELSE 0 END, 6) AS statistic,
+            CAST(CASE WHEN COUNT(DISTINCT y) > 1 THEN COUNT(DISTINCT v) - 1 ELSE 0 END AS INT) AS dof
+        FROM grid LEFT JOIN rated USING (organization, project, feature, v, y) GROUP BY organization, project, feature""".replace("WITH cells", ", cells", 1),
+    "sonar_issues sonar_analyses jenkins_builds",
+)
+def issue_impact_chi2(d: Domain):
+    keys = ["organization", "project"]
+    counts = rules.rule_counts(d.sonar_issues.drop("processed"), keys)
+    cells = counts.select(*keys, "analysis_key", F.concat_ws("_", "direction", "rule").alias("slot"), "n")
+    labelled = features.label_indexer().transform(quality.label_builds(d.jenkins_builds))
+    outcomes = labelled.select("label", F.col("revision_number").alias("revision")).join(d.sonar_analyses, "revision")
+    known = cells.select(*keys, "analysis_key").distinct()
+    outcomes = outcomes.select(*keys, "analysis_key", "label").join(known, [*keys, "analysis_key"], "left_semi")
+    return rounded(count_tests(cells, outcomes, keys), ["statistic"])

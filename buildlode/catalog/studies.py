@@ -40,17 +40,16 @@ NUMERICS = schemas.QUALITY_NUMERICS
 ALERTS = [f"alert_status_index_{i}" for i in range(3)]
 
 
-@query(
-    "quality_features",
-    f"""SELECT {columns(KEYS)}, {LABEL},
+QUALITY_SQL = f"""SELECT {columns(KEYS)}, {LABEL},
         {', '.join(f"CASE WHEN COALESCE(i, 2) = {i} THEN 1.0 ELSE 0.0 END::DOUBLE AS {a}" for i, a in enumerate(ALERTS))},
         {', '.join(f'ROUND({c}, 6) AS {c}' for c in NUMERICS)}
         FROM (SELECT {columns(KEYS)}, result, alert_status, {SCALED} FROM ({IMPUTED}) i) s
         LEFT JOIN {CATEGORY_INDEX.replace('FROM sonar_measures', f'FROM ({IMPUTED}) m')} c ON alert_status = s.s""".replace(
         "ON alert_status = s.s", "ON s.alert_status = c.s"
-    ),
-    ML1_VIEWS,
-)
+    )
+
+
+@query("quality_features", QUALITY_SQL, ML1_VIEWS)
 def quality_features(d: Domain):
     table = quality_table(d)
     fitted = pipelines.quality_features(table, "first", study(d).artefacts)
@@ -127,7 +126,7 @@ def artefact_store(d: Domain):
     return model.transform(quality.label_builds(d.jenkins_builds)).groupBy("result", "label").agg(F.count("*").alias("builds"))
 
 
-@query("fit_or_load")
+@query("fit_or_load", QUALITY_SQL, ML1_VIEWS)
 def fit_or_load(d: Domain):
     """Features of the loaded pipeline, row by row equal to those of the fitted one."""
     artefacts, table = study(d).artefacts, quality_table(d)
