@@ -21,15 +21,23 @@ def measures_x_analyses(measures: DataFrame, analyses: DataFrame, on: list[str]
     ).select(*on, "revision", *features)
 
 
+def _with_analysis(builds: DataFrame, analyses: DataFrame, on: list[str], keep: list[str] = ()) -> DataFrame:
+    """Builds with the analyses of their revision: both sides are narrow, so this join
+    goes first and the wide feature table is shuffled only once, by analysis key."""
+    keys = analyses.select(*on, "analysis_key", F.col("revision").alias("revision_number"), *keep)
+    return builds.join(keys, [*on, "revision_number"])
+
+
 def builds_x_measures(builds: DataFrame, measures: DataFrame, analyses: DataFrame, on: list[str] = ()) -> DataFrame:
     """Build rows with the quality features of the revision they built."""
-    quality = measures_x_analyses(measures, analyses, on).withColumnRenamed("revision", "revision_number")
-    return builds.join(quality, [*on, "revision_number"])
+    features = schemas.MEASURE_NUMERICS + schemas.MEASURE_CATEGORIES
+    wide = measures.select(*on, "analysis_key", *features)
+    return _with_analysis(builds, analyses, on).join(wide, [*on, "analysis_key"]).drop("analysis_key")
 
 
-def flows_x_analyses(flows: DataFrame, analyses: DataFrame, on: list[str] = (), keep: list[str] = ()) -> DataFrame:
+def flows_x_analyses(flows: DataFrame, analyses: DataFrame) -> DataFrame:
     """Issue flow rows with the revision of their analysis."""
-    return flows.join(analyses.select(*on, "analysis_key", "revision", *keep), [*on, "analysis_key"])
+    return flows.join(analyses.select("analysis_key", "revision"), "analysis_key")
 
 
 def builds_x_flows(
@@ -39,11 +47,11 @@ def builds_x_flows(
 
     ``keys`` are build columns and ``keep`` analysis columns to carry along.
     """
-    quality = flows_x_analyses(flows, analyses, on, keep).withColumnRenamed("revision", "revision_number")
     extra = [c for c in flows.columns if c == "has_new"]
-    return quality.join(
-        builds.select(*on, "revision_number", "result", *keys), [*on, "revision_number"]
-    ).select(*on, *keys, "result", *keep, *extra, *schemas.FLOW_FEATURES)
+    outcomes = _with_analysis(builds.select(*on, "revision_number", "result", *keys), analyses, on, keep)
+    return outcomes.join(flows, [*on, "analysis_key"]).select(
+        *on, *keys, "result", *keep, *extra, *schemas.FLOW_FEATURES
+    )
 
 
 def builds_of_projects(builds: DataFrame, analyses: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,16 +20,18 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@cache
+def _test_dir() -> str:
+    return tempfile.mkdtemp(prefix="buildlode-")
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new path under the cluster's shared checkpoint folder.
 
-    The folder is ``spark.checkpoint.dir`` of the session. Where it is unset (a
-    single-machine test) a temporary folder is made once and kept in the setting.
+    The folder is ``spark.checkpoint.dir`` of the session. Where it is unset, as in a
+    single-machine test, one temporary folder is made for the process.
     """
-    base = spark.conf.get("spark.checkpoint.dir", "")
-    if not base:
-        base = tempfile.mkdtemp(prefix="buildlode-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", "") or _test_dir()
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
