@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-__all__ = ["SPACES", "KEY", "cut_lineage", "keyed", "on_key", "join_key", "spread", "fold", "held_out", "labelled_sample"]
+__all__ = ["SPACES", "KEY", "cut_lineage", "keyed", "join_key", "spread", "fold", "held_out", "labelled_sample"]
 
 #: Fixed pattern of the white space that separates words.
 SPACES = r"[ \t-\r]"
@@ -30,15 +30,12 @@ def keyed(docs: DataFrame, *more: Column | str) -> DataFrame:
     )
 
 
-def on_key(left: DataFrame, right: DataFrame) -> Column:
-    """Null-safe equality of the document keys."""
-    return reduce(lambda a, b: a & b, (left[k].eqNullSafe(right[k]) for k in KEY))
-
-
 def join_key(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
-    """Join on the document key, keeping the left side's key columns."""
-    joined = left.join(right, on_key(left, right), how)
-    return joined if how in ("left_semi", "left_anti") else joined.drop(*(right[k] for k in KEY))
+    """Null-safe join on the document key, keeping the left side's key columns."""
+    other = {k: f"{k}_right" for k in KEY}
+    right = right.withColumnsRenamed(other)
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(other[k])) for k in KEY))
+    return left.join(right, same, how).drop(*other.values())
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

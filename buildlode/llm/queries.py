@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, mixing
+from . import decontaminate, exact, mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -98,3 +98,43 @@ window w as (partition by norm order by doc_id nulls last)
 @query("op9_exact_dedup", EXACT_SQL)
 def op9(spark, sf_dir):
     return exact.exact_duplicates(_read(spark, sf_dir, "documents"))
+
+
+DECONTAMINATION_SQL = """
+with doc_words as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as words
+    from documents
+), item_words as (
+    select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                       '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as words
+    from benchmark
+), item_grams as (
+    select item_id, least(len(words), 10) as n, unnest(range(1, len(words) - least(len(words), 10) + 2)) as pos, words
+    from item_words where len(words) > 0
+), windows as (
+    select distinct item_id, n, array_to_string(list_slice(words, pos, pos + n - 1), ' ') as gram from item_grams
+), doc_starts as (
+    select doc_id, n, words, unnest(range(1, len(words) - n + 2)) as pos
+    from doc_words, (select distinct n from windows) where len(words) >= n
+), doc_grams as (
+    select doc_id, n, pos, array_to_string(list_slice(words, pos, pos + n - 1), ' ') as gram from doc_starts
+), hits as (
+    select distinct d.doc_id, d.n, d.pos, w.item_id from doc_grams d join windows w on d.n = w.n and d.gram = w.gram
+), hit_words as (
+    select doc_id, count(distinct word) as n_hit
+    from (select doc_id, unnest(range(pos, pos + n)) as word from hits) group by doc_id
+), hit_items as (
+    select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
+    from (select distinct doc_id, cast(item_id as varchar) as item from hits) group by doc_id
+)
+select d.doc_id, cast(len(words) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit,
+       cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(items, '')) as items_sha256,
+       coalesce(n_hit, 0) > 0 as contaminated
+from doc_words d left join hit_words using (doc_id) left join hit_items using (doc_id)
+"""
+
+
+@query("op1_decontamination", DECONTAMINATION_SQL)
+def op1(spark, sf_dir):
+    return decontaminate.decontamination_report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
