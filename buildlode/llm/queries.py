@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, mixing
+from . import decontaminate, exact, mixing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -138,3 +138,8 @@ from doc_words d left join hit_words using (doc_id) left join hit_items using (d
 @query("op1_decontamination", DECONTAMINATION_SQL)
 def op1(spark, sf_dir):
     return decontaminate.decontamination_report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+@query("op7_simhash")
+def op7(spark, sf_dir):
+    return simhash.simhash_components(_read(spark, sf_dir, "documents"))
