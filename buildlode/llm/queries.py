@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, mixing, simhash
+from . import decontaminate, exact, mixing, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -143,3 +143,31 @@ def op1(spark, sf_dir):
 @query("op7_simhash")
 def op7(spark, sf_dir):
     return simhash.simhash_components(_read(spark, sf_dir, "documents"))
+
+
+SUBSTRING_SQL = """
+with doc_words as (
+    select doc_id, regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+') as words from documents
+), starts as (
+    select doc_id, words, unnest(range(1, len(words) - 48)) as pos from doc_words where len(words) >= 50
+), grams as (
+    select doc_id, pos, array_to_string(list_slice(words, pos, pos + 49), ' ') as gram from starts
+), firsts as (
+    select gram, min(doc_id) as least from grams group by gram
+), gone as (
+    select distinct g.doc_id, unnest(range(g.pos, g.pos + 50)) as word from grams g join firsts f on g.gram = f.gram and g.doc_id > f.least
+), numbered as (
+    select doc_id, unnest(words) as word, unnest(range(1, len(words) + 1)) as pos from doc_words
+), kept as (
+    select n.doc_id, string_agg(n.word, ' ' order by n.pos) as text, count(*) as n_kept
+    from numbered n left join gone g on n.doc_id = g.doc_id and n.pos = g.word where g.word is null group by n.doc_id
+)
+select d.doc_id, cast(len(d.words) as bigint) as n_words, cast(len(d.words) - coalesce(k.n_kept, 0) as bigint) as n_removed,
+       sha256(coalesce(k.text, '')) as kept_sha256
+from doc_words d left join kept k using (doc_id)
+"""
+
+
+@query("op5_substring_dedup", SUBSTRING_SQL)
+def op5(spark, sf_dir):
+    return substrings.remove_repeated(_read(spark, sf_dir, "documents")).drop("kept_text")
