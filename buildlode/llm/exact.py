@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACES, cut_lineage
-from .naming import sorted_names
+from .naming import proven_keys, sorted_names
 
 BLOCK = 2048
 
@@ -28,30 +28,14 @@ def _blocks(text: str, block: int) -> str:
 
 
 def _block_table(docs: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
-    """Documents with the keys of their blocks, and all distinct block keys.
-
-    A key is a 64-bit hash that is proven to stand for one block: the texts behind each
-    key are compared, and should two ever share a key, all keys are made anew with
-    another seed. So texts cross the network once and keys stay collision-free.
-    """
+    """Documents with the keys of their blocks, and all distinct block keys."""
     text = docs.select(docs["doc_id"].cast("long").alias("doc_id"), normalised(docs["text"]).cast("binary").alias("b"))
-    seed = 0
-    while True:
-        hashed = f"xxhash64({seed}, x)"
-        named = (
-            text.select(F.explode(F.expr(_blocks("b", block))).alias("x"))
-            .groupBy(F.expr(hashed).alias("key"))
-            .agg(F.size(F.collect_set("x")).alias("texts"))
-        )
-        keys = cut_lineage(named, "block-keys")
-        if keys.filter("texts > 1").isEmpty():
-            break
-        seed += 1
+    seed, keys = proven_keys(text.select(F.explode(F.expr(_blocks("b", block))).alias("x")), "block-keys")
     base = text.select(
         F.monotonically_increasing_id().alias("row"),
         "doc_id",
         F.sha2("b", 256).alias("text_sha256"),
-        F.expr(f"transform({_blocks('b', block)}, x -> {hashed})").alias("keys"),
+        F.expr(f"transform({_blocks('b', block)}, x -> xxhash64({seed}, x))").alias("keys"),
     )
     return cut_lineage(base, "block-rows"), keys.select("key")
 

@@ -8,6 +8,25 @@ from pyspark.sql import functions as F
 from .common import cut_lineage
 
 
+def proven_keys(values: DataFrame, label: str) -> tuple[int, DataFrame]:
+    """A seed for which xxhash64(seed, x) differs for all distinct ``x``, and those keys.
+
+    The values behind each key are compared; should two ever share a key, all keys are
+    made anew with the next seed. So values cross the network once, later steps carry
+    8-byte keys, and keys are free of collisions. Copies are combined before the shuffle.
+    Returns the keys with ``n``, how often each value occurs.
+    """
+    seed = 0
+    while True:
+        keys = values.groupBy(F.expr(f"xxhash64({seed}, x)").alias("key")).agg(
+            F.size(F.collect_set("x")).alias("distinct"), F.count("*").alias("n")
+        )
+        keys = cut_lineage(keys, label)
+        if keys.filter("distinct > 1").isEmpty():
+            return seed, keys.select("key", "n")
+        seed += 1
+
+
 def sorted_names(keys: DataFrame, columns: list[str], name: str, label: str) -> DataFrame:
     """Give every row of ``keys``, distinct in ``columns``, an integer in sort order.
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, mixing, simhash, substrings
+from . import decontaminate, exact, lines, mixing, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -171,3 +171,35 @@ from doc_words d left join kept k using (doc_id)
 @query("op5_substring_dedup", SUBSTRING_SQL)
 def op5(spark, sf_dir):
     return substrings.remove_repeated(_read(spark, sf_dir, "documents")).drop("kept_text")
+
+
+LINE_SQL = """
+with doc_lines as (
+    select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents
+), sizes as (
+    select unnest([1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096, 8192, 16384]) as size
+), starts as (
+    select doc_id, lines, size, unnest(range(1, len(lines) - size + 2)) as pos from doc_lines, sizes where len(lines) >= size
+), runs as (
+    select doc_id, pos, size, array_to_string(list_slice(lines, pos, pos + size - 1), chr(10)) as run from starts
+), copies as (
+    select doc_id, pos, size from (
+        select doc_id, pos, size, run, row_number() over (partition by size, run order by doc_id nulls last, pos) as place from runs
+    ) r where place > 1 and len(regexp_extract_all(run, '[^ \\t-\\r]+')) >= 5
+), gone as (
+    select distinct doc_id, unnest(range(pos, pos + size)) as pos from copies
+), numbered as (
+    select doc_id, unnest(lines) as line, unnest(range(1, len(lines) + 1)) as pos from doc_lines
+), kept as (
+    select n.doc_id, string_agg(n.line, chr(10) order by n.pos) as text, count(*) as n_kept
+    from numbered n left join gone g on n.doc_id = g.doc_id and n.pos = g.pos where g.pos is null group by n.doc_id
+)
+select d.doc_id, cast(len(d.lines) as bigint) as n_lines, cast(len(d.lines) - coalesce(k.n_kept, 0) as bigint) as n_removed,
+       sha256(coalesce(k.text, '')) as kept_sha256
+from doc_lines d left join kept k using (doc_id)
+"""
+
+
+@query("op10_line_dedup", LINE_SQL)
+def op10(spark, sf_dir):
+    return lines.line_report(_read(spark, sf_dir, "documents")).drop("kept_text")
