@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, lines, mixing, simhash, substrings
+from . import decontaminate, exact, lines, mixing, quality, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -203,3 +203,8 @@ from doc_lines d left join kept k using (doc_id)
 @query("op10_line_dedup", LINE_SQL)
 def op10(spark, sf_dir):
     return lines.line_report(_read(spark, sf_dir, "documents")).drop("kept_text")
+
+
+@query("op3_quality")
+def op3(spark, sf_dir):
+    return quality.quality_report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
