@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, lines, mixing, quality, simhash, substrings
+from . import decontaminate, exact, langid, lines, mixing, quality, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -208,3 +208,8 @@ def op10(spark, sf_dir):
 @query("op3_quality")
 def op3(spark, sf_dir):
     return quality.quality_report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+@query("op8_language_id")
+def op8(spark, sf_dir):
+    return langid.language_report(_read(spark, sf_dir, "documents"))
