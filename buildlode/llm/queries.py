@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, langid, lines, mixing, quality, simhash, substrings
+from . import decontaminate, exact, langid, lines, mixing, quality, simhash, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -213,3 +213,8 @@ def op3(spark, sf_dir):
 @query("op8_language_id")
 def op8(spark, sf_dir):
     return langid.language_report(_read(spark, sf_dir, "documents"))
+
+
+@query("op4_toxicity")
+def op4(spark, sf_dir):
+    return toxicity.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).drop("restored")
