@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, langid, lines, mixing, quality, simhash, substrings, toxicity
+from . import decontaminate, exact, langid, lines, mixing, pseudolm, quality, simhash, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -218,3 +218,9 @@ def op8(spark, sf_dir):
 @query("op4_toxicity")
 def op4(spark, sf_dir):
     return toxicity.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).drop("restored")
+
+
+@query("op6_pseudo_likelihood")
+def op6(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    return pseudolm.score(docs, pseudolm.train(docs))
