@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-__all__ = ["SPACES", "KEY", "cut_lineage", "keyed", "join_key", "spread", "fold", "held_out", "labelled_sample"]
+__all__ = ["SPACES", "KEY", "cut_lineage", "keyed", "join_key", "small_batches", "spread", "wrapped", "fold", "held_out", "labelled_sample"]
 
 #: Fixed pattern of the white space that separates words.
 SPACES = r"[ \t-\r]"
@@ -17,6 +17,12 @@ SPACES = r"[ \t-\r]"
 KEY = ("_doc", "_text_hash")
 
 
+def small_batches(spark) -> None:
+    """Send texts to Python in batches of few rows and bytes: texts are long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def keyed(docs: DataFrame, *more: Column | str) -> DataFrame:
     """Document key and text only: ``_doc``, ``_text_hash``, ``text`` (and more).
 
@@ -24,12 +30,18 @@ def keyed(docs: DataFrame, *more: Column | str) -> DataFrame:
     document and all get its result. A null text counts as empty. All other input
     columns are left behind, so their names cannot clash.
     """
+    small_batches(docs.sparkSession)
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     return docs.select(
         docs["doc_id"].cast("long").alias("_doc"), F.xxhash64(text).alias("_text_hash"), text.alias("text"), *more
     )
 
 
+def wrapped(docs: DataFrame) -> DataFrame:
+    """Document key and all columns as one struct ``row``, safe from clashing names."""
+    return keyed(docs, F.struct(*(docs[c] for c in docs.columns)).alias("row")).drop("text")
+
+
 def join_key(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
     """Null-safe join on the document key, keeping the left side's key columns."""
     other = {k: f"{k}_right" for k in KEY}

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, SPACES, cut_lineage, join_key, keyed
+from .common import KEY, SPACES, cut_lineage, join_key, keyed, wrapped
 from .naming import proven_keys, sorted_names
 
 #: A repeated run of 2**k lines is deleted if it has at least so many words.
@@ -118,13 +118,12 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     A row that loses every line goes. Of rows that repeat doc_id and text one stays. Rows
     that lose nothing are unchanged, a null text stays null.
     """
-    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    rows = docs.withColumns({"_doc": docs["doc_id"].cast("long"), "_text_hash": F.xxhash64(text)})
-    rows = rows.dropDuplicates(list(KEY))
     kept = _without_copies(keyed(docs), min_words).filter("n_removed > 0")
-    kept = kept.dropDuplicates(list(KEY)).select(*KEY, F.col("n_removed"), F.col("n_lines"), "kept_text")
+    kept = kept.dropDuplicates(list(KEY)).select(*KEY, "n_removed", "n_lines", "kept_text")
+    rows = wrapped(docs).dropDuplicates(list(KEY))
     out = join_key(rows, kept, "left").filter("n_removed is null or n_removed < n_lines")
-    new = {"text": F.coalesce("kept_text", "text")}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.coalesce(F.length("kept_text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
-    return out.withColumns(new).select(*docs.columns)
+    new = {c: F.col("row").getField(c) for c in docs.columns}
+    new["text"] = F.coalesce("kept_text", new["text"].cast("string"))
+    if "n_chars" in new:
+        new["n_chars"] = F.coalesce(F.length("kept_text").cast(docs.schema["n_chars"].dataType), new["n_chars"])
+    return out.select(*(value.alias(c) for c, value in new.items()))

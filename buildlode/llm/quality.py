@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import kernels as K
-from .common import held_out, labelled_sample
+from .common import held_out, labelled_sample, small_batches
 
 GRAM = 3
 BITS = 16
@@ -167,6 +167,7 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> OrdinalM
     that fits. Ratings without a grade or a document are left out; a doc_id rated twice
     counts twice.
     """
+    small_batches(docs.sparkSession)
     rated = labelled_sample(ratings.filter("grade is not null"), sample, "grade")
     rated = rated.select(F.col("doc_id").alias("_rated"), F.col("grade").cast("long").alias("grade"))
     texts = docs.select(docs["doc_id"].cast("long").alias("_doc"), docs["text"].cast("string").alias("text"))
@@ -174,6 +175,8 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> OrdinalM
     # A fixed order, so that a rerun adds up the same numbers in the same order.
     chosen = chosen.repartition(1).sortWithinPartitions("_doc", "grade", F.xxhash64("text")).select("text", "grade")
     row = chosen.mapInArrow(_fit_task, "grades array<long>, weights binary, thresholds array<double>").first()
+    if row is None:
+        return fit(pa.array([], pa.string()), np.zeros(0, np.int64))
     return OrdinalModel(list(row.grades), np.frombuffer(row.weights, np.float32), np.array(row.thresholds))
 
 
@@ -225,5 +228,5 @@ def quality_report(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 def select(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs``, all columns, that the model selects."""
     model = train(docs, graded(labels), sample)
-    kept = score(docs.withColumn("text", docs["text"].cast("string")), model)
-    return kept.filter(F.col("p_tail") >= SELECT_AT).select(*docs.columns)
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["text"].cast("string").alias("text"))
+    return score(rows, model).filter(F.col("p_tail") >= SELECT_AT).select("row.*")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import KEY, cut_lineage, keyed, spread
+from .common import KEY, cut_lineage, join_key, keyed, spread, wrapped
 from .components import components
 
 SHINGLE = 3
@@ -44,7 +44,7 @@ def _joined(data, offsets, starts, ends, first):
 def fingerprint_batch(column, shingle: int = SHINGLE) -> np.ndarray:
     """SimHash of each text: a bit is set if it is in over half of the shingle hashes."""
     out = np.zeros(len(column), np.uint64)
-    for low, data, offsets in K.buffers(column, K.CHUNK // 2):
+    for low, data, offsets in K.buffers(column, K.CHUNK):
         data = K.LOWER[data]
         starts, ends, first = K.spans(data, offsets, K.NOT_SPACE)
         if not len(starts):
@@ -231,9 +231,9 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RA
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The first row of each component, all columns: the one with the smallest doc_id."""
+    """The first row of each component, all columns: the one with the smallest doc_id.
+
+    Of rows that repeat doc_id and text one stays; which one is not defined.
+    """
     kept = near_duplicates(docs, shingle, radius).select("first._doc", "first._text_hash").distinct()
-    marked = docs.withColumns({"_doc": docs["doc_id"].cast("long"), "_text_hash": F.xxhash64(
-        F.coalesce(docs["text"].cast("string"), F.lit("")))})
-    same = marked["_doc"].eqNullSafe(kept["_doc"]) & (marked["_text_hash"] == kept["_text_hash"])
-    return marked.join(kept, same, "left_semi").dropDuplicates(list(KEY)).drop(*KEY)
+    return join_key(wrapped(docs), kept, "left_semi").dropDuplicates(list(KEY)).select("row.*")

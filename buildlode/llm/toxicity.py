@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import cut_lineage, held_out, labelled_sample
+from .common import cut_lineage, held_out, labelled_sample, small_batches
 
 #: Bound of the labelled rows that markers are learned from, chosen by a hash of the doc_id.
 SAMPLE = 12_000
@@ -298,6 +298,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicMode
     A marker must be in toxic texts so much more often than chance that none of all
     candidates is expected to be there by accident. Rows of fold 2 are left out.
     """
+    small_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     characters = character_model(docs)
     rated = labelled_sample(labels.filter("toxic is not null"), sample, "toxic")
