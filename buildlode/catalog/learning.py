@@ -204,7 +204,7 @@ def predicted_negative_rate(d: Domain):
 )
 def evaluate_binary(d: Domain):
     scored = d.predictions.select(F.lit("all").alias("model"), "label", "prediction", "score")
-    report = metrics.binary_areas(metrics.score_histogram(scored, ["model"], bins=1000), ["model"])
+    report = metrics.binary_areas(cut_lineage(metrics.score_table(scored, ["model"]), "scores"), ["model"])
     return rounded(report.drop("model"), ["area_under_ROC", "area_under_PR"])
 
 

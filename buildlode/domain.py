@@ -138,12 +138,12 @@ select {_ORG.format(k='o_custkey')} organization, {_PROJECT.format(k='o_custkey'
        {_ranked('issue', 'issue_importance', 'o_custkey')},
        cast(o_orderdate as date) processing_date
 from $orders""",
-    # Scored rows: a label, a hard prediction and a three-digit score per build.
+    # Scored rows: a label, a hard prediction and a score of many digits per build.
     "predictions": """
 select concat('Model_', event_type) model, event_id row_id,
        case when user_id % 10 < 4 then 1.0 else 0.0 end label,
        case when event_id % 10 < 5 then 1.0 else 0.0 end prediction,
-       cast((event_id * 37 + user_id * 11) % 1000 as double) / 1000.0 score
+       cast((event_id * 7919 + user_id * 104729) % 1000003 as double) / cast(1000003 as double) score
 from $events""",
     # Landed CI payloads: build text, optional test report text.
     "build_payloads": f"""

@@ -23,28 +23,37 @@ def chi2_tail(statistic: np.ndarray, dof: np.ndarray) -> np.ndarray:
         return out
     a, x = a[live], x[live]
     scale = np.exp(a * np.log(x) - x - np.vectorize(math.lgamma)(a))
-    steps = int(200 + 10 * math.sqrt(a.max()))
 
+    # Each row stops at its own convergence: its value never hangs on its neighbours.
     term = 1.0 / a
-    series = term.copy()
-    for i in range(1, steps):
-        term = term * np.minimum(x, a + 1) / (a + i)
-        series = series + term
+    series, near, i = term.copy(), np.minimum(x, a + 1), 0
+    open_rows = np.arange(len(a))
+    while len(open_rows):
+        i += 1
+        term[open_rows] *= near[open_rows] / (a[open_rows] + i)
+        series[open_rows] += term[open_rows]
+        open_rows = open_rows[term[open_rows] > series[open_rows] * 1e-17]
     lower = 1.0 - scale * series
 
     tiny = 1e-300
     xs = np.maximum(x, a + 1)
     b = xs + 1.0 - a
     c, d = np.full_like(xs, 1.0 / tiny), 1.0 / b
-    fraction = d.copy()
-    for i in range(1, steps):
-        an = -i * (i - a)
-        b = b + 2.0
-        d = an * d + b
-        d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
-        c = b + an / c
-        c = np.where(np.abs(c) < tiny, tiny, c)
-        fraction = fraction * d * c
+    fraction, i = d.copy(), 0
+    open_rows = np.arange(len(a))
+    while len(open_rows):
+        i += 1
+        o = open_rows
+        an = -i * (i - a[o])
+        b[o] += 2.0
+        den = an * d[o] + b[o]
+        d[o] = 1.0 / np.where(np.abs(den) < tiny, tiny, den)
+        num = b[o] + an / c[o]
+        c[o] = np.where(np.abs(num) < tiny, tiny, num)
+        change = d[o] * c[o]
+        fraction[o] *= change
+        # The fraction ends where a step changes nothing, or at i = a for whole a.
+        open_rows = o[(np.abs(change - 1.0) > 1e-16) & (an != 0)]
     out[live] = np.clip(np.where(x < a + 1, lower, scale * fraction), 0.0, 1.0)
     return out
 

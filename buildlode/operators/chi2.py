@@ -33,11 +33,12 @@ def chi_square(cells: DataFrame, totals: DataFrame, keys: list[str]) -> DataFram
     ``totals`` has ``keys`` with ``ok`` and ``failed`` over all rows of the group. A
     feature with one value, or a group with one outcome, has statistic 0 and dof 0.
     """
-    if not keys:
-        one = F.lit("all").alias("group")
-        return chi_square(cells.select(one, "*"), totals.select(one, "*"), ["group"]).drop("group")
     all_rows = totals.select(*keys, F.col("ok").alias("all_ok"), F.col("failed").alias("all_failed"))
-    joined = cells.join(all_rows, keys)
+    if keys:
+        joined = cells.join(all_rows, keys)
+    else:  # one row of totals, read once
+        row = all_rows.first()
+        joined = cells.withColumns({c: F.lit(row[c]) for c in ("all_ok", "all_failed")})
     both = (F.col("all_ok") > 0) & (F.col("all_failed") > 0)
     seen = joined.groupBy(*keys, "feature").agg(
         F.sum(F.when(both, _term(F.col("ok"), F.col("failed")))).alias("seen_statistic"),
@@ -78,15 +79,20 @@ def value_cells(samples: DataFrame, features: list[str], keys: list[str] = ()) -
 def top_ranked(scores: DataFrame, keys: list[str], order: list[Column], k: int = TOP_K) -> DataFrame:
     """Rows with ``rank`` 1..k per group; the cut runs before the shuffle too."""
     if not keys:
-        return top_ranked(scores.withColumn("group", F.lit("all")), ["group"], order, k).drop("group")
+        # A global top k: every task keeps k rows, one task ranks what is left of them.
+        return scores.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
     ranked = Window.partitionBy(*keys).orderBy(*order)
     return scores.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
 
 
 def top10_chi2(tests: DataFrame, keys: list[str]) -> DataFrame:
-    """Ten most telling features per group: lowest p-value, then largest statistic."""
+    """Ten most telling features per group: lowest p-value, then largest statistic.
+
+    Both are ranked at twelve decimals, so the last bits of a sum cannot swap two features.
+    """
     scored = with_p_value(tests)
-    return top_ranked(scored, keys, [F.asc("p_value"), F.desc("statistic"), F.asc("feature")])
+    order = [F.round("p_value", 12).asc(), F.round("statistic", 12).desc(), F.asc("feature")]
+    return top_ranked(scored, keys, order)
 
 
 def widen_ranked(ranked: DataFrame, keys: list[str], name: str, value: str, out_name: str, out_value: str) -> DataFrame:

@@ -58,58 +58,60 @@ def predicted_negative_rate() -> Column:
     return F.when(F.col("actual_failed") > 0, F.col("hit_failed") / F.col("actual_failed"))
 
 
-def score_histogram(scored: DataFrame, keys: list[str], bins: int, weight: Column | None = None) -> DataFrame:
-    """Weighted rows per (keys..., bin, label, prediction): all a report needs.
+def score_table(scored: DataFrame, keys: list[str], weight: Column | None = None) -> DataFrame:
+    """Weighted rows per (keys..., score, label, prediction): all a report needs.
 
-    ``score`` in [0, 1] is cut to ``bins`` steps, so the result is small whatever the
-    number of rows, and every metric comes from one pass over the scored data.
+    Scores are not rounded; equal ones are combined before the shuffle. ``range`` numbers
+    ranges of falling scores of like size, which only spread the work. They hang on a
+    sample, so the table must be written before it is used twice.
     """
     w = F.lit(1) if weight is None else weight
-    binned = scored.withColumn("bin", F.round(F.col("score") * bins).cast("int"))
-    return binned.groupBy(*keys, "bin", "label", "prediction").agg(F.sum(w).cast("bigint").alias("rows"))
+    table = scored.groupBy(*keys, "score", "label", "prediction").agg(F.sum(w).cast("bigint").alias("rows"))
+    parts = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = table.repartitionByRange(parts, *[F.asc(k) for k in keys], F.desc("score"))
+    return ranged.withColumn("range", F.spark_partition_id())
 
 
-def binary_areas(histogram: DataFrame, keys: list[str]) -> DataFrame:
-    """Areas under the ROC and precision/recall curve per key, by trapezoids.
+def binary_areas(table: DataFrame, keys: list[str]) -> DataFrame:
+    """Exact areas under the ROC and precision/recall curve per key, by trapezoids.
 
-    Windows run over the bins of a key, at most ``bins`` + 1 rows. The curves start
-    at (0, 0) and at recall 0 with the first precision.
+    Counts are summed per range, ranges accumulate within a key, scores within their
+    range. No window holds more than the ranges of a key or the scores of a range. The
+    curves start at (0, 0) and at recall 0 with the first precision.
     """
-    per_bin = histogram.groupBy(*keys, "bin").agg(
+    per_score = table.groupBy(*keys, "range", "score").agg(
         F.sum(F.when(F.col("label") == 1.0, F.col("rows")).otherwise(0)).alias("pos"),
         F.sum(F.when(F.col("label") == 0.0, F.col("rows")).otherwise(0)).alias("neg"),
     )
-    down = Window.partitionBy(*keys).orderBy(F.desc("bin"))
-    whole = Window.partitionBy(*keys)
-    curve = per_bin.select(
+    whole, before = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = per_score.groupBy(*keys, "range").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    ranges = ranges.select(
         *keys,
-        "bin",
-        F.sum("pos").over(down).alias("tp"),
-        F.sum("neg").over(down).alias("fp"),
-        F.sum("pos").over(whole).alias("all_pos"),
-        F.sum("neg").over(whole).alias("all_neg"),
-    ).select(
-        *keys,
-        "bin",
-        _share(F.col("tp"), F.col("all_pos")).alias("recall"),
-        _share(F.col("fp"), F.col("all_neg")).alias("fall_out"),
-        (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
+        "range",
+        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("pos", "neg")],
+        *[F.sum(c).over(whole).alias(f"all_{c}") for c in ("pos", "neg")],
     )
-    steps = curve.select(
+    down = Window.partitionBy(*keys, "range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    points = per_score.join(ranges, [*keys, "range"]).select(
         *keys,
-        "recall",
-        "fall_out",
-        "precision",
-        F.lag("recall", 1, 0.0).over(down).alias("last_recall"),
-        F.lag("fall_out", 1, 0.0).over(down).alias("last_fall_out"),
-        F.coalesce(F.lag("precision").over(down), F.col("precision")).alias("last_precision"),
+        "all_pos",
+        "all_neg",
+        "pos",
+        "neg",
+        (F.col("pos_before") + F.sum("pos").over(down)).alias("tp"),
+        (F.col("neg_before") + F.sum("neg").over(down)).alias("fp"),
     )
-    roc = (F.col("fall_out") - F.col("last_fall_out")) * (F.col("recall") + F.col("last_recall")) / 2
-    pr = (F.col("recall") - F.col("last_recall")) * (F.col("precision") + F.col("last_precision")) / 2
-    return steps.groupBy(*keys).agg(F.sum(roc).alias("area_under_ROC"), F.sum(pr).alias("area_under_PR"))
+    last_tp, last_fp = F.col("tp") - F.col("pos"), F.col("fp") - F.col("neg")
+    precision = F.col("tp") / (F.col("tp") + F.col("fp"))
+    last_precision = F.when(last_tp + last_fp > 0, last_tp / (last_tp + last_fp)).otherwise(precision)
+    recall, last_recall = _share(F.col("tp"), F.col("all_pos")), _share(last_tp, F.col("all_pos"))
+    fall_out, last_fall_out = _share(F.col("fp"), F.col("all_neg")), _share(last_fp, F.col("all_neg"))
+    roc = (fall_out - last_fall_out) * (recall + last_recall) / 2
+    pr = (recall - last_recall) * (precision + last_precision) / 2
+    return points.groupBy(*keys).agg(F.sum(roc).alias("area_under_ROC"), F.sum(pr).alias("area_under_PR"))
 
 
-def full_report(histogram: DataFrame, keys: list[str]) -> DataFrame:
+def full_report(table: DataFrame, keys: list[str]) -> DataFrame:
     """All seven metrics and the row count ``n`` per key."""
-    counts = confusion_counts(histogram, keys, F.col("rows"))
-    return multiclass_metrics(counts, keys).join(binary_areas(histogram, keys), keys)
+    counts = confusion_counts(table, keys, F.col("rows"))
+    return multiclass_metrics(counts, keys).join(binary_areas(table, keys), keys)

@@ -13,19 +13,30 @@ neighbouring values, a node is split while its best gain is positive.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-# P(X <= k) of a Poisson variable with mean 1, k = 0..7.
-POISSON_STEPS = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975]
+RESOLUTION = 1 << 30
+
+
+def poisson_steps() -> list[float]:
+    """P(X <= k) of a Poisson variable with mean 1, as far as a drawn number can tell."""
+    steps, term, k = [], math.exp(-1), 0
+    while (steps[-1] if steps else 0.0) < 1 - 1 / RESOLUTION:
+        steps.append(min(1.0, (steps[-1] if steps else 0.0) + term))
+        k += 1
+        term /= k
+    return steps
 
 
 def uniform_hash(*parts: Column) -> Column:
     """A number in [0, 1) that depends on the values only, so retries repeat it."""
-    return F.pmod(F.xxhash64(*parts), F.lit(1 << 30)) / float(1 << 30)
+    return F.pmod(F.xxhash64(*parts), F.lit(RESOLUTION)) / float(RESOLUTION)
 
 
 def single_tree_weights(outcomes: DataFrame, keys: list[str]) -> DataFrame:
@@ -39,7 +50,7 @@ def bootstrap_weights(outcomes: DataFrame, keys: list[str], trees: int, row_key:
     """Poisson(1) bootstrap of every row for every tree, summed per analysis."""
     drawn = outcomes.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
     u = uniform_hash(F.lit(seed), F.col("tree"), F.col(row_key), F.col("analysis_key"))
-    weight = sum([F.when(u >= step, 1).otherwise(0) for step in POISSON_STEPS[1:]], F.when(u >= POISSON_STEPS[0], 1).otherwise(0))
+    weight = reduce(add, [F.when(u >= step, 1).otherwise(0) for step in poisson_steps()])
     return (
         drawn.withColumn("weight", weight)
         .where(F.col("weight") > 0)

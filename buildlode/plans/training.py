@@ -18,16 +18,15 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..operators import chi2
 from ..operators.balance import minority_weight, train_flag
-from ..operators.metrics import full_report, score_histogram
+from ..operators.metrics import full_report, score_table
 from ..session import cut_lineage
 from ..sources.sinks import CLASSIFIERS, Artefacts, classifier_name, result_rows, selector_name
 
 SEED = 42
 # Sizes of the three classifiers.
 LR_ITERATIONS, TREE_DEPTH, FOREST_TREES = 10, 5, 100
-SCORE_BINS = 10_000
-# Scaled features are cut at these shares of their values for the chi-square test.
-QUANTILES = [i / 10 for i in range(1, 10)]
+# Scaled features, from 0 to 1, are cut into so many equal steps for the chi-square test.
+STEPS = 10
 LOADERS = dict(
     zip(CLASSIFIERS, [LogisticRegressionModel, DecisionTreeClassificationModel, RandomForestClassificationModel])
 )
@@ -51,19 +50,14 @@ def classifiers() -> dict:
 
 
 def dense_tests(samples: DataFrame) -> DataFrame:
-    """Chi-square of every slot of a dense vector; slots are cut at their deciles.
+    """Chi-square of every slot of a dense vector, its values cut into equal steps.
 
-    Continuous values would make one category each. The cuts come from a mergeable
-    sketch per slot and serve the test only.
+    Continuous values would make one category each. The cuts are fixed, so the test
+    does not hang on the order in which rows are read, and serve the test only.
     """
-    slots = samples.select("label", F.posexplode(vector_to_array("features")).alias("slot", "value"))
-    cuts = slots.groupBy("slot").agg(F.percentile_approx("value", QUANTILES, 1000).alias("cuts"))
-    # One row per feature of the study: its size is the vector's, fixed by the schema.
-    binned = slots.join(F.broadcast(cuts), "slot").select(
-        F.col("slot").alias("feature"),
-        F.size(F.filter("cuts", lambda c: c < F.col("value"))).alias("value"),
-        "label",
-    )
+    slots = samples.select("label", F.posexplode(vector_to_array("features")).alias("feature", "raw"))
+    step = F.least(F.floor(F.col("raw") * STEPS), F.lit(STEPS - 1)).cast("int")
+    binned = slots.select("feature", step.alias("value"), "label")
     cells = binned.groupBy("feature", "value").agg(*chi2.outcome_counts())
     return chi2.chi_square(cells, samples.agg(*chi2.outcome_counts()), [])
 
@@ -131,12 +125,11 @@ def score_all(models: dict, samples: DataFrame) -> DataFrame:
 def evaluate(scored: DataFrame, keys: list[str]) -> DataFrame:
     """All metrics per key from one pass over the scored rows.
 
-    The histogram in between is bounded by the number of score bins; it is written
-    once so that no metric scores the samples again.
+    The table in between has a row per distinct score; it is written once so that no
+    metric scores the samples again.
     """
     weight = F.col("weight") if "weight" in scored.columns else None
-    histogram = cut_lineage(score_histogram(scored, keys, SCORE_BINS, weight), "scores")
-    return full_report(histogram, keys)
+    return full_report(cut_lineage(score_table(scored, keys, weight), "scores"), keys)
 
 
 def performance_rows(report: DataFrame) -> DataFrame:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 # A side may be broadcast only after it was counted to hold no more rows.
 BROADCAST_ROWS = 100_000
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -28,11 +32,38 @@ def _test_dir() -> str:
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new path under the cluster's shared checkpoint folder.
 
-    The folder is ``spark.checkpoint.dir`` of the session. Where it is unset, as in a
-    single-machine test, one temporary folder is made for the process.
+    The folder is ``spark.checkpoint.dir`` of the session. Only a session that runs in
+    one process may leave it unset: it gets a temporary folder. On a cluster that would
+    be another disk for every executor, so there it is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", "") or _test_dir()
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+    base = spark.conf.get("spark.checkpoint.dir", "")
+    if not base:
+        if not re.match(r"local(\[[^]]*\])?$", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = _test_dir()
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+    made = _MADE.get()
+    if made is not None:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def intermediates(spark: SparkSession):
+    """Deletes the shared-folder tables made inside the block when it ends.
+
+    Nothing that is still to be computed from them may leave the block.
+    """
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        yield
+    finally:
+        _MADE.reset(token)
+        hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in made:
+            target = hadoop.Path(path)
+            target.getFileSystem(conf).delete(target, True)
 
 
 def cut_lineage(df: DataFrame, label: str) -> DataFrame:

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from buildlode import schemas
 from buildlode.catalog.studies import study
 from buildlode.domain import Domain
+from buildlode.functions.stats import chi2_tail
 from buildlode.operators import balance, chi2, features, metrics, trees
 from buildlode.plans import jobs, training
+from buildlode.session import cut_lineage
 
 
 @pytest.fixture(scope="module")
@@ -89,7 +91,7 @@ def test_metrics_equal_spark_evaluators(spark):
         (((F.col("id") * 31) % 997) / 1000.0).alias("score"),
         F.lit("m").alias("model"),
     )
-    got = metrics.full_report(metrics.score_histogram(df, ["model"], 1000), ["model"]).first()
+    got = metrics.full_report(cut_lineage(metrics.score_table(df, ["model"]), "scores"), ["model"]).first()
     multi = MulticlassClassificationEvaluator()
     for name, ours in (("f1", "f1"), ("weightedPrecision", "weighted_precision"), ("weightedRecall", "weighted_recall"), ("accuracy", "accuracy")):
         assert got[ours] == pytest.approx(multi.evaluate(df, {multi.metricName: name}), rel=1e-9)
@@ -98,6 +100,28 @@ def test_metrics_equal_spark_evaluators(spark):
     assert got.area_under_PR == pytest.approx(area.evaluate(df, {area.metricName: "areaUnderPR"}), rel=1e-6)
 
 
+def test_areas_of_crowded_scores(spark):
+    # Two classes apart by less than any rounding of scores would keep, all near 1.
+    df = spark.range(4000).select(
+        (F.col("id") % 4 == 0).cast("double").alias("label"),
+        F.lit(1.0).alias("prediction"),
+        (1 - F.when(F.col("id") % 4 == 0, F.col("id") % 97).otherwise(50 + F.col("id") % 89) * 1e-12).alias("score"),
+        F.lit("m").alias("model"),
+    )
+    got = metrics.full_report(cut_lineage(metrics.score_table(df, ["model"]), "scores"), ["model"]).first()
+    area = BinaryClassificationEvaluator(rawPredictionCol="score", numBins=0)
+    assert 0.6 < got.area_under_ROC < 1
+    assert got.area_under_ROC == pytest.approx(area.evaluate(df, {area.metricName: "areaUnderROC"}), rel=1e-9)
+    assert got.area_under_PR == pytest.approx(area.evaluate(df, {area.metricName: "areaUnderPR"}), rel=1e-9)
+
+
+def test_p_values_do_not_hang_on_their_neighbours():
+    statistic, dof = np.array([3.2, 40.0, 900.0, 0.5]), np.array([3.0, 12.0, 700.0, 9.0])
+    together = chi2_tail(statistic, dof)
+    alone = [chi2_tail(statistic[i : i + 1], dof[i : i + 1])[0] for i in range(4)]
+    assert together.tolist() == alone
+
+
 def test_no_failed_rows_means_no_rate(spark):
     df = spark.createDataFrame([(0.0, 1.0)], "label double, prediction double")
     assert metrics.multiclass_metrics(metrics.confusion_counts(df)).first().predicted_negative_rate is None
