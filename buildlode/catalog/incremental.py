@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..domain import Domain
 from ..operators import delta, quality
+from ..plans import cycle
 from ..session import shared_dir
 from ..streaming import ingest
 from .registry import query
 from .relational import BUILD_FEATURES, MEASURES, ML1_JOIN
-from .sqltext import CLOSED, OPEN, columns
-from .tables import _stage_by_org
+from .sqltext import CLOSED, FLOWS_SQL, OPEN, columns
+from .tables import _stage_builds, _stage_by_org
 
 FAILED = "CASE WHEN b.result = 'SUCCESS' THEN 'SUCCESS' ELSE 'FAIL' END AS result"
 DELTA_COLUMNS = ["job", "build_number", *schemas.BUILD_NUMERICS]
@@ -86,8 +87,8 @@ def stamp_processed(d: Domain):
 @query(
     "high_water_mark",
     """SELECT b.server, b.job, b.build_number FROM jenkins_builds b
-       LEFT JOIN (SELECT job, MAX(build_number) AS latest FROM jenkins_builds
-                  WHERE ingested_at <= DATE '2024-01-10' GROUP BY job) s ON b.job = s.job
+       LEFT JOIN (SELECT server, job, MAX(build_number) AS latest FROM jenkins_builds
+                  WHERE ingested_at <= DATE '2024-01-10' GROUP BY server, job) s ON b.server = s.server AND b.job = s.job
        WHERE b.build_number > COALESCE(latest, -1)""",
     "jenkins_builds",
 )
@@ -139,3 +140,45 @@ def stream_issue_counts(d: Domain):
     return ingest.latest_counts(d.spark, path)
 
 
+
+
+@query(
+    "stream_wide_counts",
+    f"""SELECT project, analysis_key, {columns(schemas.FLOW_COUNTS)} FROM ({FLOWS_SQL}) f""",
+    "sonar_issues",
+)
+def stream_wide_counts(d: Domain):
+    root, path, state = (shared_dir(d.spark, n) for n in ("stage", "counts", "state"))
+    _stage_by_org(d, "sonar_issues", root)
+    stream = ingest.staged_stream(d.spark, root, "sonar_issues")
+    ingest.stream_issue_counts(stream, path, state).awaitTermination()
+    ingest.compact_counts(d.spark, path)
+    return ingest.wide_counts(d.spark, path)
+
+
+CYCLE_TABLES = ["sonar_analyses", "jenkins_builds"]
+
+
+@query(
+    "run_cycle",
+    """SELECT 1 AS run, 'sonar_analyses' AS table_name, COUNT(*) AS new_rows, COUNT(*) AS all_rows FROM (SELECT DISTINCT * FROM sonar_analyses) a
+       UNION ALL SELECT 1, 'jenkins_builds', COUNT(*), COUNT(*) FROM (SELECT DISTINCT * FROM jenkins_builds) b
+       UNION ALL SELECT 2, 'sonar_analyses', 0, COUNT(*) FROM (SELECT DISTINCT * FROM sonar_analyses) a
+       UNION ALL SELECT 2, 'jenkins_builds', 0, COUNT(*) FROM (SELECT DISTINCT * FROM jenkins_builds) b""",
+    "sonar_analyses jenkins_builds",
+)
+def run_cycle(d: Domain):
+    """Two cycles over the same staged rows; the second, staged anew, finds nothing new."""
+    staged, root, archive = (shared_dir(d.spark, n) for n in ("stage", "tables", "archive"))
+
+    def amounts(stored):
+        return [
+            (t, *stored.table(t).agg(F.count_if(~F.col("processed")), F.count("*")).first()) for t in CYCLE_TABLES
+        ]
+
+    rows = []
+    for run in (1, 2):
+        _stage_by_org(d, "sonar_analyses", staged)
+        _stage_builds(d, staged)
+        rows += [(run, *r) for r in cycle.run_cycle(d.spark, staged, root, archive, amounts, CYCLE_TABLES)]
+    return d.spark.createDataFrame(rows, "run int, table_name string, new_rows bigint, all_rows bigint")

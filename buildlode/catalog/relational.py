@@ -325,7 +325,7 @@ def row_counts(d: Domain):
     )
 
 
-@query("latest_build", "SELECT job, MAX(build_number) AS latest FROM jenkins_builds GROUP BY job", "jenkins_builds")
+@query("latest_build", "SELECT server, job, MAX(build_number) AS latest FROM jenkins_builds GROUP BY server, job", "jenkins_builds")
 def latest_build(d: Domain):
     from ..operators.delta import latest_build as latest
 

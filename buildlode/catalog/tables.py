@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..domain import Domain
+from ..functions.scalars import server_host
 from ..operators import filters
 from ..session import shared_dir
 from ..sources import sinks, staging, tables
@@ -82,9 +83,7 @@ def project_pairs(d: Domain):
 
 
 def _stage_by_org(d: Domain, table: str, root: str) -> None:
-    df = d.view(table)
-    for row in tables.distinct_sources(d.source, "sonar_org_key").collect():
-        staging.staged_table_write(df.where(F.col("organization") == row[0]), root, table, row[0], "all")
+    staging.staged_table_write(d.view(table), root, table, F.col("organization"), "all")
 
 
 @query(
@@ -122,10 +121,7 @@ def staged_layout_scan(d: Domain):
 
 
 def _stage_builds(d: Domain, root: str) -> None:
-    builds = d.jenkins_builds
-    for row in tables.distinct_sources(d.source, "jenkins_server").collect():
-        host = row[0].split("/")[2]
-        staging.staged_csv_write(builds.where(F.col("server") == row[0]), root, "jenkins_builds", host)
+    staging.staged_csv_write(d.jenkins_builds, root, "jenkins_builds", server_host(F.col("server")))
 
 
 @query(

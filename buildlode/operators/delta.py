@@ -55,8 +55,11 @@ def incremental_delta(builds: DataFrame, measures: DataFrame, analyses: DataFram
 
 
 def merge_dedup(new: DataFrame, archive: DataFrame) -> DataFrame:
-    """Archive plus new rows, identical rows kept once."""
-    return new.unionByName(archive).dropDuplicates()
+    """Archive, itself without copies, plus the distinct new rows that it lacks.
+
+    The archive is scanned, not shuffled, where the new rows are few.
+    """
+    return archive.unionByName(not_in_archive(new, archive, archive.columns))
 
 
 def not_in_archive(new: DataFrame, archive: DataFrame, columns: list[str]) -> DataFrame:
@@ -85,14 +88,16 @@ def stamp_processed(df: DataFrame, read_until: Column) -> DataFrame:
 
 
 def latest_build(builds: DataFrame) -> DataFrame:
-    return builds.groupBy("job").agg(F.max("build_number").alias("latest"))
+    """Highest stored build number of every job of every server."""
+    return builds.groupBy("server", "job").agg(F.max("build_number").alias("latest"))
 
 
 def above_high_water_mark(fetched: DataFrame, stored: DataFrame) -> DataFrame:
-    """Fetched builds numbered above the latest stored build of their job."""
-    marks = latest_build(stored).withColumnRenamed("job", "stored_job")
+    """Fetched builds numbered above the latest stored build of their server and job."""
+    marks = latest_build(stored)
+    same = fetched["server"].eqNullSafe(marks["server"]) & fetched["job"].eqNullSafe(marks["job"])
     return (
-        fetched.join(marks, fetched["job"] == marks["stored_job"], "left")
+        fetched.join(marks, same, "left")
         .where(F.col("build_number") > F.coalesce(F.col("latest"), F.lit(-1)))
-        .select(*fetched.columns)
+        .select(*[fetched[c] for c in fetched.columns])
     )

@@ -12,3 +12,29 @@ def exists(spark: SparkSession, path: str) -> bool:
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     found = fs.globStatus(target)
     return found is not None and len(found) > 0
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def listed(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match the pattern, in order."""
+    target, fs = _file_system(spark, pattern)
+    return sorted(f.getPath().toString() for f in fs.globStatus(target) or ())
+
+
+def move(spark: SparkSession, source: str, path: str) -> None:
+    """Rename within one file system; what was at ``path`` is replaced."""
+    old, fs = _file_system(spark, source)
+    new, _ = _file_system(spark, path)
+    fs.delete(new, True)
+    fs.mkdirs(new.getParent())
+    if not fs.rename(old, new):
+        raise OSError(f"cannot move {source} to {path}")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target, fs = _file_system(spark, path)
+    fs.delete(target, True)

@@ -11,13 +11,20 @@ it. Once merged, staged rows live in the archive and the name loses ``_staging``
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+import uuid
+from functools import reduce
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions.scalars import slug
 from ..operators.delta import not_in_archive
-from .files import exists
+from ..session import cut_lineage, intermediates
+from .files import exists, listed, move, remove
 
 # Folder of every staged table below the data root.
 LAYOUT = {
@@ -28,8 +35,9 @@ LAYOUT = {
     "jenkins_tests": ("jenkins", "tests"),
 }
 
-# Quoting as the crawlers write it: quotes doubled, empty cell is NULL.
-CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "enforceSchema": False}
+# Quoting as the crawlers write it: quotes doubled, empty cell is NULL. A cell may hold
+# line breaks. A row that does not fit its header ends the read; nothing becomes NULL.
+CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "multiLine": True, "mode": "FAILFAST"}
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
 
 
@@ -38,74 +46,136 @@ def staged_path(root: str, table: str, scope: str = "*", all_files: bool = False
     return f"{root.rstrip('/')}/{origin}/{scope}/{kind}/{'*.csv' if all_files else '*_staging.csv'}"
 
 
-def staged_csv_scan(spark: SparkSession, root: str, table: str, all_files: bool = False) -> DataFrame:
-    """Staged rows of a table with declared types; no schema inference pass.
+def _headers(spark: SparkSession, paths: str | list[str]) -> dict[str, list[str]]:
+    """Files by their header line. Files are counted by the crawlers, not by the rows."""
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.struct(F.monotonically_increasing_id().alias("place"), "value").alias("line"),
+    )
+    first = lines.where("block = 0").groupBy("file").agg(F.min("line").alias("line"))
+    found: dict[str, list[str]] = {}
+    for r in first.groupBy(F.rtrim("line.value").alias("header")).agg(F.sort_array(F.collect_list("file")).alias("files")).collect():
+        found.setdefault(r.header, []).extend(map(unquote, r.files))
+    return found
 
-    ``all_files`` reads archive files too. A header that does not match the declared
-    columns is an error, not a silent shift.
+
+def staged_csv_read(spark: SparkSession, paths: str | list[str], table: str) -> DataFrame:
+    """Rows of staged files with the declared columns and types, and their file.
+
+    Columns are taken by name: a file may have them in any order and have others. A
+    missing column or a cell that its type cannot hold ends the read.
     """
     schema = schemas.TABLES[table]
+    parts = []
+    for header, files in sorted(_headers(spark, paths).items()) if paths else ():
+        names = next(csv.reader([header.lstrip("\ufeff")]))
+        missing = set(schema.names) - set(names)
+        if missing:
+            raise ValueError(f"{files[0]} lacks the columns {sorted(missing)} of {table}")
+        texts = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        rows = spark.read.schema(texts).options(**CSV_OPTIONS).csv(files)
+        parts.append(
+            rows.select(
+                *[
+                    F.col(f"`{f.name}`").cast(f.dataType) if f.dataType == T.StringType()
+                    else F.nullif(F.trim(F.col(f"`{f.name}`")), F.lit("")).cast(f.dataType).alias(f.name)
+                    for f in schema
+                ],
+                F.col("_metadata.file_path").alias("staged_file"),
+            )
+        )
+    if not parts:
+        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("staged_file", T.StringType())]))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _staged(spark: SparkSession, root: str, table: str, all_files: bool) -> DataFrame:
     path = staged_path(root, table, all_files=all_files)
-    if not exists(spark, path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).options(**CSV_OPTIONS, timestampNTZFormat=TIMESTAMP_FORMAT).csv(path)
+    return staged_csv_read(spark, path if exists(spark, path) else [], table)
+
+
+def staged_csv_scan(spark: SparkSession, root: str, table: str, all_files: bool = False) -> DataFrame:
+    """Staged rows of a table; ``all_files`` reads archive files too."""
+    return _staged(spark, root, table, all_files).drop("staged_file")
 
 
 def staged_layout_scan(spark: SparkSession, root: str, all_files: bool = False) -> dict[str, DataFrame]:
     """All staged tables, each row with the organization or server folder it came from."""
-    folder = {t: f"/{origin}/([^/]+)/{kind}/" for t, (origin, kind) in LAYOUT.items()}
     out = {}
-    for table in LAYOUT:
+    for table, (origin, kind) in LAYOUT.items():
         if exists(spark, staged_path(root, table, all_files=all_files)):
-            df = staged_csv_scan(spark, root, table, all_files)
-            out[table] = df.select(
-                "*", F.regexp_extract(F.col("_metadata.file_path"), folder[table], 1).alias("scope_folder")
-            )
+            owner = F.regexp_extract("staged_file", f"/{origin}/([^/]+)/{kind}/", 1)
+            out[table] = _staged(spark, root, table, all_files).withColumn("scope_folder", owner).drop("staged_file")
     return out
 
 
-def staged_csv_write(df: DataFrame, root: str, table: str, scope: str) -> str:
-    """Write rows of one server, one ``<job>_<kind>_staging.csv`` per job.
+def staged_table_write(df: DataFrame, root: str, table: str, scope: Column | str, name: Column | str) -> None:
+    """Write staged rows of any number of owners in one pass, one ``*_staging.csv`` each.
 
-    Rows are sent to their job's file by the writer; a job with very many rows is
-    written by several tasks as several part files.
+    ``scope`` gives the organization or server folder of a row and ``name`` its file; a
+    row without one goes to ``unnamed``. Only files that get rows are replaced. Rows of a
+    file are brought together first, those of a very large one in several parts.
     """
-    origin, kind = LAYOUT[table]
-    path = f"{root.rstrip('/')}/{origin}/{scope}/{kind}"
-    named = df.select(*schemas.TABLES[table].names).withColumn(
-        "file", F.concat(slug(F.col("job")), F.lit(f"_{kind}_staging.csv"))
+    spark, (origin, kind) = df.sparkSession, LAYOUT[table]
+    owner, file = (F.lit(c) if isinstance(c, str) else c for c in (scope, name))
+    named = df.select(
+        *schemas.TABLES[table].names,
+        F.coalesce(F.nullif(owner, F.lit("")), F.lit("unnamed")).alias("owner_"),
+        F.coalesce(F.nullif(file, F.lit("")), F.lit("unnamed")).alias("file_"),
     )
-    named.write.mode("overwrite").partitionBy("file").options(
-        **CSV_OPTIONS, timestampNTZFormat=TIMESTAMP_FORMAT
-    ).csv(path)
-    return path
+    # Written beside the layout, then every file is moved to its place.
+    made = f"{root.rstrip('/')}/_staging-{uuid.uuid4().hex[:12]}"
+    named.hint("rebalance", "owner_", "file_").write.partitionBy("owner_", "file_").options(
+        header=True, quote='"', escape='"', timestampNTZFormat=TIMESTAMP_FORMAT
+    ).csv(made)
+    for path in listed(spark, f"{made}/owner_=*/file_=*"):
+        folder, part = (unquote(x.partition("=")[2]) for x in path.rsplit("/", 2)[1:])
+        move(spark, path, f"{root.rstrip('/')}/{origin}/{folder}/{kind}/{part}_staging.csv")
+    remove(spark, made)
 
 
-def staged_table_write(df: DataFrame, root: str, table: str, scope: str, name: str) -> str:
-    """Write the staged rows of one organization as ``<name>_staging.csv``."""
-    origin, kind = LAYOUT[table]
-    path = f"{root.rstrip('/')}/{origin}/{scope}/{kind}/{name}_staging.csv"
-    df.select(*schemas.TABLES[table].names).write.mode("overwrite").options(
-        **CSV_OPTIONS, timestampNTZFormat=TIMESTAMP_FORMAT
-    ).csv(path)
-    return path
+def staged_csv_write(df: DataFrame, root: str, table: str, scope: Column | str) -> None:
+    """Write the rows of servers, one ``<job>_<kind>_staging.csv`` per job."""
+    kind = LAYOUT[table][1]
+    job = F.nullif(slug(F.col("job")), F.lit(""))
+    staged_table_write(df, root, table, scope, F.concat(F.coalesce(job, F.lit("unnamed")), F.lit(f"_{kind}")))
 
 
 def append_load(staged: DataFrame, path: str, table: str) -> None:
     """Append staged rows to a stored table with their defaults.
 
-    Loading the same rows again changes nothing: rows already stored are left out.
+    Loading the same rows again changes nothing: rows already stored are left out. The
+    files are parsed once; the distinct load is written to the shared folder.
     """
-    spark = staged.sparkSession
     columns = [c for c in schemas.TABLES[table].names if c in staged.columns]
-    rows = staged.select(*columns)
-    if exists(spark, f"{path}/_SUCCESS"):
-        rows = not_in_archive(rows, spark.read.parquet(path), columns)
-    else:
-        rows = rows.dropDuplicates()
-    rows.withColumns({"processed": F.lit(False), "ingested_at": F.current_date()}).write.mode(
-        "append"
-    ).partitionBy("ingested_at").parquet(path)
+    with intermediates(staged.sparkSession):
+        rows = unstored(staged.select(*columns), path)
+        rows.withColumns({"processed": F.lit(False), "ingested_at": F.current_date()}).write.mode(
+            "append"
+        ).partitionBy("ingested_at").parquet(path)
+
+
+def merge_into_archive(new: DataFrame, path: str) -> None:
+    """Append the rows that the archive does not hold yet."""
+    with intermediates(new.sparkSession):
+        unstored(new, path).write.mode("append").parquet(path)
+
+
+def unstored(new: DataFrame, path: str) -> DataFrame:
+    """Distinct new rows that the table at ``path``, which may not exist, lacks."""
+    rows = cut_lineage(new.dropDuplicates(), "load")
+    if not exists(new.sparkSession, path):
+        return rows
+    return not_in_archive(rows, new.sparkSession.read.schema(rows.schema).parquet(path), rows.columns)
+
+
+def archive_staged(spark: SparkSession, root: str, table: str) -> int:
+    """Take ``_staging`` off the names of the staged files of a table; returns how many."""
+    paths = listed(spark, staged_path(root, table))
+    for path in paths:
+        move(spark, path, path.removesuffix("_staging.csv") + ".csv")
+    return len(paths)
 
 
 def name_list(spark: SparkSession, path: str) -> DataFrame:

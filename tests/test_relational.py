@@ -1,10 +1,12 @@
 """Hand-made rows for the cases the generated tables do not hold."""
 
 import datetime as dt
+import os
 
+import pytest
 from pyspark.sql import functions as F
 
-from buildlode import schemas
+from buildlode import schemas, session
 from buildlode.functions import scalars as S
 from buildlode.operators import delta, filters, issues, landed, quality, rules
 from buildlode.sources import sinks, staging, tables
@@ -196,7 +198,7 @@ def test_stream_reads_each_staged_file_once(spark, folder):
 
 def test_archive_files_only_with_all(spark, folder):
     df = spark.createDataFrame([("o", "p", "k1", day(1), "v", "r1")], schemas.TABLES["sonar_analyses"])
-    df.write.options(**staging.CSV_OPTIONS, timestampNTZFormat=staging.TIMESTAMP_FORMAT).csv(f"{folder}/sonarcloud/o/analyses/one.csv")
+    df.write.options(header=True, quote='"', escape='"', timestampNTZFormat=staging.TIMESTAMP_FORMAT).csv(f"{folder}/sonarcloud/o/analyses/one.csv")
     assert staging.staged_csv_scan(spark, folder, "sonar_analyses").count() == 0
     assert staging.staged_csv_scan(spark, folder, "sonar_analyses", all_files=True).collect() == df.collect()
 
@@ -212,9 +214,74 @@ def test_null_integers_stay_integers(spark, folder):
 def test_stamp_and_high_water_mark(spark):
     df = spark.createDataFrame([(1, False, dt.date(2020, 1, 1)), (2, False, dt.date(2020, 2, 1))], "id int, processed boolean, ingested_at date")
     assert [r.processed for r in delta.stamp_processed(df, F.lit(dt.date(2020, 1, 15))).orderBy("id").collect()] == [True, False]
-    stored = spark.createDataFrame([("j", 3)], "job string, build_number int")
-    fetched = spark.createDataFrame([("j", 3), ("j", 4), ("n", 0)], "job string, build_number int")
-    assert {tuple(r) for r in delta.above_high_water_mark(fetched, stored).collect()} == {("j", 4), ("n", 0)}
+    form = "server string, job string, build_number int"
+    stored = spark.createDataFrame([("s1", "j", 100), ("s2", "j", 3)], form)
+    fetched = spark.createDataFrame([("s1", "j", 100), ("s2", "j", 4), ("s2", "n", 0)], form)
+    assert {tuple(r) for r in delta.above_high_water_mark(fetched, stored).collect()} == {("s2", "j", 4), ("s2", "n", 0)}
+
+
+def build_row(**values):
+    return tuple(values.get(c) for c in schemas.TABLES["jenkins_builds"].names)
+
+
+def test_staged_write_replaces_only_its_own_files(spark, folder):
+    schema = schemas.TABLES["jenkins_builds"]
+    for rows in ([("a", 1)], [("b", 2)], [("a", 3)], [(None, 4)]):
+        df = spark.createDataFrame([build_row(server="s", job=j, build_number=n) for j, n in rows], schema)
+        staging.staged_csv_write(df, folder, "jenkins_builds", "s")
+    back = staging.staged_csv_scan(spark, folder, "jenkins_builds").collect()
+    assert {(r.job, r.build_number) for r in back} == {("b", 2), ("a", 3), (None, 4)}
+
+
+def write_file(folder, text, name="x"):
+    os.makedirs(f"{folder}/sonarcloud/o/analyses", exist_ok=True)
+    with open(f"{folder}/sonarcloud/o/analyses/{name}_staging.csv", "w") as f:
+        f.write(text)
+
+
+def test_staged_columns_are_taken_by_name(spark, folder):
+    write_file(folder, 'date,more,organization,project,analysis_key,project_version,revision\n2020-01-01T10:00:00.000,z,o,"p\nq",k,"1,""2",r\n')
+    write_file(folder, "organization,project,analysis_key,date,project_version,revision\no,p2,k2,2020-01-02 00:00:00,,r2\n", "y")
+    a, b = sorted(staging.staged_csv_scan(spark, folder, "sonar_analyses").collect(), key=lambda r: r.analysis_key)
+    assert (a.project, a.project_version, a.date) == ("p\nq", '1,"2', dt.datetime(2020, 1, 1, 10)) and b.project_version is None
+
+
+@pytest.mark.parametrize("text", [
+    "organization,project,analysis_key,date,project_version\no,p,k,2020-01-01 00:00:00,v\n",
+    "organization,project,analysis_key,date,project_version,revision\no,p,k,yesterday,v,r\n",
+])
+def test_unreadable_staged_files_are_loud(spark, folder, text):
+    write_file(folder, text)
+    with pytest.raises(Exception, match="lacks the columns|CAST_INVALID_INPUT"):
+        staging.staged_csv_scan(spark, folder, "sonar_analyses").collect()
+
+
+def test_load_does_not_need_a_marker_file(spark, folder):
+    rows = spark.createDataFrame([("o", "p", "k", day(1), "v", "r")], schemas.TABLES["sonar_analyses"])
+    for _ in range(2):
+        staging.append_load(rows, f"{folder}/t", "sonar_analyses")
+        os.remove(f"{folder}/t/_SUCCESS")
+    assert spark.read.parquet(f"{folder}/t").count() == 1
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    class Fake:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        session.shared_dir(Fake, "x")
+
+
+def test_intermediates_are_deleted(spark, folder):
+    with session.intermediates(spark):
+        path = session.shared_dir(spark, "t")
+        spark.range(3).write.parquet(path)
+        assert os.path.isdir(path.removeprefix("file:"))
+    assert not os.path.exists(path.removeprefix("file:"))
 
 
 def test_artefact_check(spark, folder):
