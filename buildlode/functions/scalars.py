@@ -64,8 +64,8 @@ def pass_count(passed: Column, total: Column, failed: Column, skipped: Column) -
 
 
 def build_number(identifier: Column, number: Column) -> Column:
-    """Numeric id, else the number; NULL where the build has neither."""
-    return F.coalesce(identifier.try_cast("bigint"), number)
+    """Numeric id, else the number; NULL where neither is a whole number that fits."""
+    return F.coalesce(identifier.try_cast("int"), number.try_cast("int")).cast("bigint")
 
 
 def server_host(url: Column) -> Column:

@@ -8,7 +8,16 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import CURRENT, FLOW_COUNTS, INTRODUCED, ISSUE_TYPES, REMOVED, SEVERITIES
+from ..schemas import (
+    CLOSED_STATUSES,
+    CURRENT,
+    FLOW_COUNTS,
+    INTRODUCED,
+    ISSUE_TYPES,
+    OPEN_STATUSES,
+    REMOVED,
+    SEVERITIES,
+)
 from .filters import closed_issues, open_issues
 
 
@@ -49,30 +58,71 @@ def removed_counts(issues: DataFrame, *extra: Column, keys: list[str] = ()) -> D
     )
 
 
+def _events(issues: DataFrame, keys: list[str], with_new_flag: bool) -> DataFrame:
+    """Open and closed issues, each at the analysis it counts for: one scan, two sides."""
+    listed = lambda statuses: ", ".join(f"'{s}'" for s in statuses)
+    is_open = f"status IN ({listed(OPEN_STATUSES)})"
+    return with_cell(issues).where(f"{is_open} OR status IN ({listed(CLOSED_STATUSES)})").selectExpr(
+        *keys,
+        "project",
+        f"{is_open} AS is_open",
+        f"CASE WHEN {is_open} THEN creation_analysis_key ELSE current_analysis_key END AS analysis_key",
+        f"CASE WHEN {is_open} THEN creation_date END AS creation_date",
+        f"CASE WHEN NOT {is_open} THEN update_date END AS update_date",
+        f"cell + CASE WHEN {is_open} THEN 0 ELSE {len(INTRODUCED)} END AS cell",
+        *(["processed"] if with_new_flag else []),
+    )
+
+
 def issue_flow_counts(issues: DataFrame, with_new_flag: bool = False, keys: list[str] = ()) -> DataFrame:
     """Introduced and removed counts side by side, one row per analysis.
 
-    The sides meet on the analysis key only and a NULL key meets nothing, so both
-    sides are counted first and then full-outer joined: what is shuffled is one
-    row per analysis, never single issues. ``with_new_flag`` adds ``has_new``:
-    whether any unprocessed issue went into the row. ``keys`` (never NULL, such as a
-    batch number) keep groups of issues apart.
+    The sides meet on the analysis key only and a NULL key meets nothing. One scan and
+    one shuffle of partial counts give all rows whose key lies in one project. Keys of
+    several projects are found by that grouping; only their issues are counted again, by
+    project, and their sides paired. ``with_new_flag`` adds ``has_new``: whether any
+    unprocessed issue went into the row. ``keys`` (never NULL, such as a batch number)
+    keep groups of issues apart.
     """
-    fresh = [F.bool_or(~F.col("processed")).alias("fresh")] if with_new_flag else []
-    left = introduced_counts(issues, *fresh, keys=keys).alias("i")
-    right = removed_counts(issues, *fresh, keys=keys).alias("r")
-    same = F.col("i.creation_analysis_key") == F.col("r.current_analysis_key")
-    for k in keys:
-        same = same & (F.col(f"i.{k}") == F.col(f"r.{k}"))
-    joined = left.join(right, same, "full_outer")
-    is_fresh = "coalesce(i.fresh, false) OR coalesce(r.fresh, false) AS has_new"
-    return joined.selectExpr(
-        *[f"coalesce(i.{k}, r.{k}) AS {k}" for k in keys],
-        "coalesce(i.project, r.project) AS project",
-        "coalesce(creation_analysis_key, current_analysis_key) AS analysis_key",
+    events = _events(issues, keys, with_new_flag)
+    # A NULL key stands for itself: its rows stay apart by side and project.
+    apart = [F.expr("CASE WHEN analysis_key IS NULL THEN struct(is_open, project) END").alias("apart")]
+    fresh = [F.expr("bool_or(NOT processed) AS has_new")] if with_new_flag else []
+    grouped = events.groupBy(*keys, "analysis_key", *apart).agg(
+        F.min("project").alias("project"),
+        F.expr("min(project) <> max(project) OR bool_or(project IS NULL) <> bool_and(project IS NULL) AS several"),
+        F.max("creation_date").alias("creation_date"),
+        F.max("update_date").alias("update_date"),
+        *_cells(FLOW_COUNTS),
+        *fresh,
+    )
+    flag = ["coalesce(has_new, false) AS has_new"] if with_new_flag else []
+    columns = [*keys, "project", "analysis_key", "coalesce(creation_date, update_date) AS date", *FLOW_COUNTS, *flag]
+    single = grouped.where("NOT coalesce(several, false)").selectExpr(*columns)
+    shared = grouped.where("coalesce(several, false) AND analysis_key IS NOT NULL").select(*keys, "analysis_key")
+    return single.unionByName(_paired(events.join(shared, [*keys, "analysis_key"], "left_semi"), keys, fresh))
+
+
+def _paired(events: DataFrame, keys: list[str], fresh: list[Column]) -> DataFrame:
+    """Flow counts of keys in several projects: every pair of the two sides of a key."""
+
+    def side(is_open: bool, date: str, names: list[str], first: int) -> DataFrame:
+        counts = [F.expr(f"count_if(cell = {first + i}) AS {name}") for i, name in enumerate(names)]
+        of_side = events.where("is_open" if is_open else "NOT is_open")
+        return of_side.groupBy(*keys, "analysis_key", "project").agg(F.max(date).alias(date), *counts, *fresh)
+
+    left = side(True, "creation_date", INTRODUCED, 0).alias("i")
+    right = side(False, "update_date", REMOVED, len(INTRODUCED)).alias("r")
+    same = reduce(and_, [F.col(f"i.{k}") == F.col(f"r.{k}") for k in [*keys, "analysis_key"]])
+    both = lambda c: f"coalesce(i.{c}, r.{c}) AS {c}"
+    is_fresh = "coalesce(i.has_new, false) OR coalesce(r.has_new, false) AS has_new"
+    return left.join(right, same, "full_outer").selectExpr(
+        *map(both, keys),
+        both("project"),
+        both("analysis_key"),
         "coalesce(creation_date, update_date) AS date",
         *[f"coalesce({c}, 0L) AS {c}" for c in FLOW_COUNTS],
-        *([is_fresh] if with_new_flag else []),
+        *([is_fresh] if fresh else []),
     )
 
 
@@ -83,24 +133,30 @@ def _net_flows() -> list[Column]:
 def running_totals_by_date(flows: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Net issues per (project, date), accumulated over all earlier dates.
 
-    A project may hold a large part of all analyses, so no window runs over a
-    project's raw rows. Flows are first summed per date with map-side combine.
-    Dates then accumulate within their day, days accumulate within the project,
-    and a date's total is its day's opening balance plus its running sum of the
-    day. A window group is thus bounded by the distinct times of one day or the
-    days of one project, whatever the number of rows. NULL dates come first.
+    A project may hold a large part of all analyses, so no window runs over a project's
+    raw rows. Flows are summed per date with map-side combine. Dates are dealt out by
+    day and accumulate there; the last date of a day has the day's total. Days, one row
+    each, accumulate within the project, and a date's total is its day's opening balance
+    plus its running sum of the day. A window group is thus bounded by the distinct times
+    of one day or the days of one project. NULL dates come first.
     """
     group = [*keys, "project"]
     names = ", ".join(group)
     by_date = flows.groupBy(*group, "date").agg(*_net_flows()).withColumn("day", F.col("date").cast("date"))
-    by_day = by_date.groupBy(*group, "day").agg(*[F.expr(f"sum({c}) AS {c}") for c in CURRENT])
+    in_order = f"PARTITION BY {names}, day ORDER BY date"
+    rows = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    in_day = by_date.selectExpr(
+        *group,
+        "day",
+        "date",
+        *[f"sum({c}) OVER ({in_order} {rows}) AS {c}" for c in CURRENT],
+        f"lead(true) OVER ({in_order}) IS NULL AS closes",
+    )
     earlier_days = f"(PARTITION BY {names} ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    opening = by_day.selectExpr(
+    opening = in_day.where("closes").selectExpr(
         *[f"{k} AS opening_{k}" for k in [*group, "day"]],
         *[f"coalesce(sum({c}) OVER {earlier_days}, 0L) AS opening_{c}" for c in CURRENT],
     )
-    same_day = f"(PARTITION BY {names}, day ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    in_day = by_date.selectExpr(*group, "day", "date", *[f"sum({c}) OVER {same_day} AS {c}" for c in CURRENT])
     return in_day.join(opening, _null_safe([*group, "day"], "opening_")).selectExpr(
         *group, "date", *[f"{c} + opening_{c} AS {c}" for c in CURRENT]
     )

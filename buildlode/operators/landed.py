@@ -81,11 +81,14 @@ def numbered(facts: DataFrame) -> DataFrame:
 def explode_commits(facts: DataFrame, last_only: bool = False) -> DataFrame:
     """One row per commit of a numbered build; without commits one row of NULLs.
 
-    ``last_only`` keeps only the last commit listed. A build without number gets no
+    A commit listed several times is one row with its last date. ``last_only`` keeps only the last commit listed. A build without number gets no
     array, and its row is dropped after the explode: a filter before it would be
     pushed down and parse every payload twice.
     """
-    commits = F.filter("build.changeSet.items", lambda i: i["commitId"].isNotNull())
+    listed = F.filter("build.changeSet.items", lambda i: i["commitId"].isNotNull())
+    # A repeated id is one commit, at the place of its first mention, with its last date.
+    last = lambda i: F.element_at(F.filter(listed, lambda j: j["commitId"] == i["commitId"]), F.lit(-1))
+    commits = F.array_distinct(F.transform(listed, last))
     if last_only:
         commits = F.slice(commits, F.greatest(F.size(commits), F.lit(1)), F.lit(1))
     none = F.array(F.struct(F.lit(None).cast("string").alias("commitId"), F.lit(None).cast("string").alias("date")))
@@ -124,11 +127,13 @@ def flatten_tests(landed: DataFrame) -> DataFrame:
         F.flatten(F.transform("tests.childReports", lambda c: F.coalesce(c["result"]["suites"], F.array()))),
     ).when(kind == schemas.PLAIN_REPORT_KIND, F.col("tests.suites"))
     number = S.build_number(F.col("build.id"), F.col("build.number"))
+    # The number is tested inside what is exploded: a filter on it would be pushed down
+    # and parse the build a second time.
     rows = (
         parse_payloads(landed)
         .select("job", number.alias("build_number"), suites.alias("suites"))
-        .select("job", "build_number", F.explode_outer("suites").alias("suite"))
-        .where(F.col("suite").isNotNull() & F.col("build_number").isNotNull())
+        .select("job", "build_number", F.explode_outer(F.when(F.col("build_number").isNotNull(), F.col("suites"))).alias("suite"))
+        .where(F.col("suite").isNotNull())
         .select("job", "build_number", F.col("suite.name").alias("suite"), F.explode("suite.cases").alias("case"))
     )
     return rows.select(
@@ -142,6 +147,12 @@ def flatten_tests(landed: DataFrame) -> DataFrame:
     )
 
 
+def unnumbered(landed: DataFrame) -> DataFrame:
+    """How many landed builds have no usable number and are left out by the others."""
+    facts = parse_payloads(landed).select(S.build_number(F.col("build.id"), F.col("build.number")).alias("n"))
+    return facts.agg(F.count_if(F.col("n").isNull()).alias("unnumbered"), F.count("*").alias("landed"))
+
+
 def flatten_job_tree(nodes: DataFrame) -> DataFrame:
     """One level of a CI job tree: folders give their children, jobs themselves.
 

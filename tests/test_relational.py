@@ -1,6 +1,7 @@
 """Hand-made rows for the cases the generated tables do not hold."""
 
 import datetime as dt
+import json
 import os
 
 import pytest
@@ -290,3 +291,37 @@ def test_artefact_check(spark, folder):
     for name in sinks.expected_artefacts():
         spark.range(1).write.parquet(store.path(name))
     assert store.missing() == [] and store.usable_mode("incremental") == "incremental"
+
+
+def landed_build(spark, **build):
+    return spark.createDataFrame([("s", "j", json.dumps(build), None)], "server string, job string, payload string, report string")
+
+
+def test_repeated_commit_is_one_row_with_its_last_date(spark):
+    items = [{"commitId": c, "date": f"2020-01-0{n}T00:00:00.000Z"} for n, c in enumerate(["a", "b", "a"], 1)]
+    rows = landed.flatten_builds(landed_build(spark, id="7", number=7, changeSet={"items": items})).collect()
+    assert {(r.commit_id, r.commit_ts) for r in rows} == {("a", day(3)), ("b", day(2))}
+
+
+def test_build_numbers_beyond_int_fall_back(spark):
+    assert landed.flatten_builds(landed_build(spark, id="20200101120000123", number=12)).first().build_number == 12
+    lost = landed_build(spark, id="20200101120000123")
+    assert landed.flatten_builds(lost).count() == 0
+    assert tuple(landed.unnumbered(lost).first()) == (1, 1)
+
+
+def test_keys_of_several_projects_pair_their_sides(spark):
+    got = flows(
+        spark,
+        issue(project="p", created="k"),
+        issue(project="q", current="k", status="CLOSED"),
+        issue(project="r", current="k", status="CLOSED"),
+        issue(project=None, created="n"),
+        issue(project="p", created="n"),
+        issue(project="p", created=None),
+        issue(project="p", current=None, status="CLOSED"),
+    )
+    flow = lambda r: (r.project, r.analysis_key, sum(r[c] for c in schemas.INTRODUCED), sum(r[c] for c in schemas.REMOVED))
+    assert sorted(map(flow, got.collect()), key=str) == sorted(
+        [("p", "k", 1, 1), ("p", "k", 1, 1), (None, "n", 1, 0), ("p", "n", 1, 0), ("p", None, 1, 0), ("p", None, 0, 1)], key=str
+    )
