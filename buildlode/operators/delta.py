@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +26,10 @@ def unprocessed(df: DataFrame) -> DataFrame:
 def incremental_delta(builds: DataFrame, measures: DataFrame, analyses: DataFrame, on: list[str] = ()) -> DataFrame:
     """Joined rows in which the build, the analysis or the measure is new, each once.
 
-    Three disjoint terms, each led by its new side: new builds with everything,
-    known builds with new analyses, known builds and analyses with new measures.
-    A run's new rows are few, so the leading side of every term is small and the
-    adaptive planner can broadcast it instead of shuffling the full tables.
+    The narrow tables say which analyses a new build or analysis touches. Of the wide
+    measures only rows that are new or touched are joined: if the touched keys were
+    counted to be few, they are broadcast and the others never leave their task. Each
+    table is read once for the join, the narrow ones once more for the keys.
     """
     features = schemas.MEASURE_NUMERICS + schemas.MEASURE_CATEGORIES
     by_revision, by_key = [*on, "revision"], [*on, "analysis_key"]
@@ -43,15 +41,15 @@ def incremental_delta(builds: DataFrame, measures: DataFrame, analyses: DataFram
     m = measures.where(F.col("analysis_key").isNotNull()).select(
         *by_key, *features, is_new(measures).alias("measure_new")
     )
-    known_b = b.where(~F.col("build_new"))
-    known_a = a.where(~F.col("analysis_new"))
-    terms = [
-        b.where("build_new").join(a, by_revision).join(m, by_key),
-        a.where("analysis_new").join(known_b, by_revision).join(m, by_key),
-        m.where("measure_new").join(known_a, by_key).join(known_b, by_revision),
-    ]
-    columns = [c for c in b.columns if c != "build_new"] + features
-    return reduce(DataFrame.unionByName, [t.select(*columns) for t in terms])
+    flags = b.select(*by_revision, "build_new").join(a, by_revision)
+    touched = flags.where(F.col("build_new") | F.col("analysis_new")).select(*by_key).distinct()
+    if is_small(touched):
+        touched = F.broadcast(touched.withColumn("touched", F.lit(True)))
+        m = m.join(touched, by_key, "left").where(F.col("measure_new") | F.col("touched")).drop("touched")
+    rows = b.join(a, by_revision).join(m, by_key)
+    return rows.where(F.col("build_new") | F.col("analysis_new") | F.col("measure_new")).select(
+        *[c for c in b.columns if c != "build_new"], *features
+    )
 
 
 def merge_dedup(new: DataFrame, archive: DataFrame) -> DataFrame:

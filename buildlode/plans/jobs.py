@@ -8,7 +8,7 @@ saves it; in ``incremental`` mode it scores rows that touch unprocessed data.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
+from functools import reduce, wraps
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +20,7 @@ from ..operators.delta import incremental_delta, is_new
 from ..operators.features import label_indexer
 from ..operators.filters import cast_double, drop_sparse_measures
 from ..operators.quality import builds_x_flows, builds_x_measures, by_batch, label_builds
-from ..session import cut_lineage
+from ..session import cut_lineage, intermediates
 from ..sources.sinks import LABEL_INDEXER, Artefacts, pipeline_name, result_rows
 from ..sources.tables import scan_table
 from . import pipelines, training
@@ -113,6 +113,21 @@ def _finish(study: Study, number: int, mode: str, samples: DataFrame, names: lis
     return out
 
 
+def stored_job(keep: str):
+    """A job whose tables in the shared folder go when it is done, but for its result."""
+
+    def decorate(job):
+        @wraps(job)
+        def run(study: Study, *args, **options):
+            with intermediates(study.spark, keep):
+                return job(study, *args, **options)
+
+        return run
+
+    return decorate
+
+
+@stored_job("performance")
 def job_ml1(study: Study, mode: str = "first") -> DataFrame | None:
     """Quality measures against build outcome."""
     rows = cut_lineage(quality_rows(study, mode), "quality")
@@ -123,6 +138,7 @@ def job_ml1(study: Study, mode: str = "first") -> DataFrame | None:
     return _finish(study, 1, mode, samples, fitted.names, lambda: training.dense_tests(samples))
 
 
+@stored_job("performance")
 def job_ml2(study: Study, mode: str = "first") -> DataFrame | None:
     """Issue flow against build outcome."""
     rows = cut_lineage(issue_flow_rows(study, mode), "flows")
@@ -166,6 +182,7 @@ def rule_samples(study: Study, mode: str):
     return cells, outcomes, samples.select("row_key", "label", "features"), names
 
 
+@stored_job("performance")
 def job_ml3(study: Study, mode: str = "first") -> DataFrame | None:
     """Rule occurrences against build outcome."""
     cells, outcomes, samples, names = rule_samples(study, mode)
@@ -183,6 +200,7 @@ def run_all(study: Study, mode: str = "incremental") -> dict[str, DataFrame | No
     return {name: job(study, mode) for name, job in (("ml1", job_ml1), ("ml2", job_ml2), ("ml3", job_ml3))}
 
 
+@stored_job("top-issues")
 def issue_impact_by_project(study: Study) -> DataFrame:
     """Issues that matter most per project, as ``top_issues`` rows; all projects at once.
 

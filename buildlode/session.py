@@ -49,10 +49,11 @@ def shared_dir(spark: SparkSession, label: str) -> str:
 
 
 @contextmanager
-def intermediates(spark: SparkSession):
+def intermediates(spark: SparkSession, keep: str = ""):
     """Deletes the shared-folder tables made inside the block when it ends.
 
-    Nothing that is still to be computed from them may leave the block.
+    Nothing that is still to be computed from them may leave the block, but for the
+    tables labelled ``keep``.
     """
     made: list[str] = []
     token = _MADE.set(made)
@@ -62,6 +63,8 @@ def intermediates(spark: SparkSession):
         _MADE.reset(token)
         hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
         for path in made:
+            if keep and path.rpartition("/")[2].startswith(f"{keep}-"):
+                continue
             target = hadoop.Path(path)
             target.getFileSystem(conf).delete(target, True)
 
