@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.ml.feature import StringIndexerModel
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..domain import Domain
+from ..operators.balance import TRAIN_SHARE
 from ..operators import features, issues, quality, rules
 from ..plans import jobs, pipelines, training
 from ..session import cut_lineage, shared_dir
-from ..sources.sinks import LABEL_INDEXER, Artefacts, ParquetResults
+from ..sources.sinks import CLASSIFIERS, LABEL_INDEXER, Artefacts, ParquetResults, classifier_name, selector_name
 from .learning import CATEGORY_INDEX, IMPUTED, KEYS, ML1_VIEWS, SCALED, quality_table, rounded
-from .registry import query
+from .registry import ORACLES, query
 from .relational import RULE_EVENTS
-from .sqltext import TOTALS_SQL, columns
+from .sqltext import CLOSED, OPEN, TOTALS_SQL, columns
 
 
 class _DomainTables:
@@ -136,6 +140,43 @@ def fit_or_load(d: Domain):
     return rounded(features.spread(packed, "features", loaded.names), NUMERICS)
 
 
+DENSE_NAMES = [*NUMERICS, *ALERTS]
+_DENSE_ROWS = "\nUNION ALL\n".join(
+    f"SELECT '{n}' AS feature, CAST(least(floor({n} * 10), 9) AS INT) AS v, label FROM ({{rows}}) q" for n in DENSE_NAMES
+)
+_EXACT_ROWS = QUALITY_SQL.replace(", 6)", ", 9)")
+
+
+@query(
+    "dense_tests",
+    f"""SELECT feature, ROUND(SUM((o - e) * (o - e) / e), 6) AS statistic, CAST(COUNT(DISTINCT v) - 1 AS INT) AS dof FROM (
+          SELECT c.feature, c.v, n AS o, CAST(rows_v AS DOUBLE) * rows_y / total AS e FROM (
+            SELECT f.feature, f.v, l.label, COUNT(x.label) AS n, MAX(f.rows_v) AS rows_v, MAX(l.rows_y) AS rows_y, MAX(l.total) AS total
+            FROM (SELECT feature, v, COUNT(*) AS rows_v FROM bins GROUP BY ALL) f
+            CROSS JOIN (SELECT label, COUNT(*) AS rows_y, (SELECT COUNT(*) FROM quality_rows) AS total FROM quality_rows GROUP BY label) l
+            LEFT JOIN bins x ON x.feature = f.feature AND x.v = f.v AND x.label = l.label GROUP BY f.feature, f.v, l.label) c) t
+        GROUP BY feature""",
+    ML1_VIEWS,
+)
+def dense_tests(d: Domain):
+    """Chi-square of every quality feature, cut into ten equal steps."""
+    s = study(d)
+    table = quality_table(d)
+    fitted = pipelines.quality_features(table, "first", s.artefacts)
+    samples = cut_lineage(fitted.model.transform(table).select("label", "features"), "samples")
+    names = F.array(*[F.lit(n) for n in fitted.names])
+    tests = training.dense_tests(samples)
+    return tests.select(names[F.col("feature")].alias("feature"), F.round("statistic", 6).alias("statistic"), "dof")
+
+
+ORACLES["dense_tests"] = (
+    ORACLES["dense_tests"]
+    .replace("FROM bins", f"FROM ({_DENSE_ROWS.replace('{rows}', _EXACT_ROWS)})")
+    .replace("JOIN bins", f"JOIN ({_DENSE_ROWS.replace('{rows}', _EXACT_ROWS)})")
+    .replace("FROM quality_rows", f"FROM ({_EXACT_ROWS}) q")
+)
+
+
 @query("chi2_select")
 def chi2_select(d: Domain):
     """The ten quality features that tell most about the outcome."""
@@ -148,43 +189,108 @@ def chi2_select(d: Domain):
     return tests.select("rank", names[F.col("feature")].alias("feature"), "statistic", "dof", "p_value")
 
 
-@query("job_ml1")
+# Jobs are checked on what is exact: their models, how many rows each saw by the md5
+# split, and that every metric is a share. Models themselves depend on float sums.
+_ROW_KEY = "concat_ws('|', COALESCE(b.server, ''), COALESCE(b.job, ''), COALESCE(CAST(b.build_number AS VARCHAR), ''), COALESCE(b.commit_id, ''))"
+_IN_TRAIN = f"substr(md5(concat_ws('|', 'split-1', row_key)), 1, 8) < '{round(TRAIN_SHARE * 16**8):08x}'"
+_FAILED = "CASE WHEN b.result = 'SUCCESS' THEN 0 ELSE 1 END AS failed"
+_BATCHED = """jenkins_builds b JOIN (SELECT DISTINCT batch_number, jenkins_server FROM source) sb ON b.server = sb.jenkins_server
+    JOIN sonar_analyses a ON a.revision = b.revision_number
+    JOIN (SELECT DISTINCT batch_number, sonar_org_key FROM source) sa ON sa.sonar_org_key = a.organization AND sa.batch_number = sb.batch_number"""
+_EVENTS = f"""SELECT CASE WHEN status IN ({OPEN}) THEN creation_analysis_key ELSE current_analysis_key END AS analysis_key,
+    organization, rule, processed FROM sonar_issues WHERE status IN ({OPEN}, {CLOSED})"""
+JOB_ROWS = {
+    1: f"""SELECT {_ROW_KEY} AS row_key, {_FAILED} FROM {_BATCHED}
+        JOIN sonar_measures m ON m.analysis_key = a.analysis_key
+        JOIN (SELECT DISTINCT batch_number, sonar_org_key FROM source) sm
+          ON sm.sonar_org_key = m.organization AND sm.batch_number = sb.batch_number""",
+    2: f"""SELECT {_ROW_KEY} AS row_key, {_FAILED},
+          (b.processed IS NOT DISTINCT FROM FALSE OR a.processed IS NOT DISTINCT FROM FALSE OR e.has_new) AS is_new FROM {_BATCHED}
+        JOIN (SELECT analysis_key, batch_number, bool_or(NOT processed) AS has_new FROM ({_EVENTS}) i
+              JOIN (SELECT DISTINCT batch_number, sonar_org_key FROM source) s ON s.sonar_org_key = i.organization
+              WHERE analysis_key IS NOT NULL GROUP BY ALL) e
+          ON e.analysis_key = a.analysis_key AND e.batch_number = sb.batch_number""",
+    3: f"""SELECT {_ROW_KEY} AS row_key, {_FAILED} FROM jenkins_builds b JOIN sonar_analyses a ON a.revision = b.revision_number
+        JOIN (SELECT DISTINCT analysis_key FROM ({_EVENTS}) i WHERE rule IS NOT NULL) e ON e.analysis_key = a.analysis_key""",
+}
+
+
+def _models(number: int) -> str:
+    names = [classifier_name(kind, number, top10) for kind in CLASSIFIERS for top10 in (False, True)]
+    return " UNION ALL ".join(f"SELECT '{n}' AS model" for n in names)
+
+
+def job_sql(number: int, amount: str = "COUNT(*)", rows: str = f"NOT {_IN_TRAIN}") -> str:
+    return f"""SELECT model, CAST((SELECT {amount} FROM ({JOB_ROWS[number]}) r WHERE {rows}) AS INT) AS data_amount, TRUE AS in_range
+        FROM ({_models(number)}) m"""
+
+
+JOB_VIEWS = "source jenkins_builds sonar_analyses sonar_measures sonar_issues"
+
+
+def _checked(report, amount: str = "data_amount", prefix: str = ""):
+    """Model and rows seen of a job's report, and whether every metric is a share."""
+    shares = reduce(and_, [F.coalesce(F.col(prefix + m).between(0, 1), F.lit(True)) for m in schemas.METRICS])
+    return report.select("model", F.col(amount).alias("data_amount"), shares.alias("in_range"))
+
+
+@query("job_ml1", job_sql(1), JOB_VIEWS)
 def job_ml1(d: Domain):
-    return jobs.job_ml1(study(d))
+    return _checked(jobs.job_ml1(study(d)))
 
 
-@query("job_ml2")
+@query("job_ml2", job_sql(2), JOB_VIEWS)
 def job_ml2(d: Domain):
-    return jobs.job_ml2(study(d))
+    return _checked(jobs.job_ml2(study(d)))
 
 
-@query("job_ml3")
+@query("job_ml3", job_sql(3), JOB_VIEWS)
 def job_ml3(d: Domain):
-    return jobs.job_ml3(study(d))
+    return _checked(jobs.job_ml3(study(d)))
 
 
-@query("train_classifiers")
+@query(
+    "train_classifiers",
+    job_sql(2, "SUM(CASE WHEN failed = 1 THEN 11 ELSE 1 END)", _IN_TRAIN)
+    + f""" UNION ALL SELECT '{selector_name(2)}', CAST(COUNT(*) AS INT), TRUE FROM ({JOB_ROWS[2]}) r""",
+    JOB_VIEWS,
+)
 def train_classifiers(d: Domain):
-    """Train metrics and ranked importances of the issue flow classifiers."""
+    """Training rows, with their weights, of the issue flow classifiers and the selector."""
     s = study(d)
     jobs.job_ml2(s)
-    return s.results.table("model_info").drop("processing_date")
+    return _checked(s.results.table("model_info"), "train_data_amount", "train_")
 
 
-@query("score_incremental")
+@query("score_incremental", job_sql(2, rows="is_new"), JOB_VIEWS)
 def score_incremental(d: Domain):
     """Saved issue flow classifiers on the rows that touch unprocessed data."""
     s = study(d)
     jobs.job_ml2(s)
-    return jobs.job_ml2(s, "incremental")
+    return _checked(jobs.job_ml2(s, "incremental"))
 
 
-@query("run_all")
+@query("run_all", " UNION ALL ".join(f"({job_sql(n)})" for n in (1, 2, 3)), JOB_VIEWS)
 def run_all(d: Domain):
     """All studies; without saved artefacts the incremental run becomes a first one."""
     s = study(d)
     jobs.run_all(s, "incremental")
-    return s.results.table("model_performance").drop("processing_date")
+    return _checked(s.results.table("model_performance"))
+
+
+@query(
+    "feature_names",
+    """SELECT CAST(slot AS INT) AS slot, concat('removed_', rule) AS feature
+       FROM (SELECT rule, ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, rule) - 1 AS slot FROM sonar_issues WHERE rule IS NOT NULL GROUP BY rule) v
+       UNION ALL SELECT CAST(slot + size AS INT), concat('introduced_', rule)
+       FROM (SELECT rule, ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, rule) - 1 AS slot, COUNT(*) OVER () AS size
+             FROM sonar_issues WHERE rule IS NOT NULL GROUP BY rule) w""",
+    "sonar_issues",
+)
+def feature_names(d: Domain):
+    """Name of every slot of the rule vectors, from the fitted vocabulary."""
+    names = rules.feature_names(jobs.rule_vocabulary(study(d), d.sonar_issues, "first"))
+    return d.spark.createDataFrame(list(enumerate(names)), "slot int, feature string")
 
 
 @query("issue_impact_by_project")
