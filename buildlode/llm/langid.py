@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import fold, held_out
+from .common import fold, held_out, small_batches
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Longest piece in bytes, with the mark of a word's start.
@@ -181,7 +181,7 @@ def fit(column, langs: np.ndarray, pieces: list[bytes]) -> tuple[list[str], np.n
     index, size = Pieces.of(pieces), len(pieces)
     own = np.searchsorted(names, langs) if names else np.zeros(0, np.int64)
     counts: dict[tuple[int, bytes], int] = {}
-    for low, raw, offsets in K.buffers(column, 2 * K.CHUNK):
+    for low, raw, offsets in K.buffers(column, 4 * K.CHUNK):
         data, starts, ends, texts = _words(raw, offsets)
         if not len(starts):
             continue
@@ -228,6 +228,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, vocabulary: str = VOCABULARY) -
     The rows are the first by a hash of the doc_id; their texts go to the one task that
     fits, never to the driver. The model's size is languages times pieces.
     """
+    small_batches(docs.sparkSession)
     pieces = read_pieces(vocabulary)
     rows = docs.select(
         docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].cast("string").alias("lang"), docs["text"].cast("string").alias("text")
@@ -260,7 +261,7 @@ def predict(column, model: LanguageModel):
     """Number of the best language of each text, -1 without letters, and its posterior."""
     n, k = len(column), len(model.langs)
     best, posterior = np.full(n, -1), np.zeros(n)
-    for low, raw, offsets in K.buffers(column, 2 * K.CHUNK):
+    for low, raw, offsets in K.buffers(column, 4 * K.CHUNK):
         rows = len(offsets) - 1
         letters = _has_letter(column, low, raw, offsets)
         total = np.tile(np.log(np.maximum(model.prior, 1e-12)), (rows, 1))

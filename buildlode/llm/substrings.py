@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import KEY, cut_lineage, keyed, spread
+from .common import KEY, cut_lineage, join_key, keyed, spread
+from .sketch import maybe, membership
 
 WINDOW = 50
 #: Cells of a sketch row, and rows. One bit per cell is broadcast: 16 MB, whatever the
@@ -136,6 +137,8 @@ def _may_repeat(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def _repeats(sketch, window: int):
+    """One row for each distinct window of a text; ``more`` has its further starts."""
+
     def run(batches):
         for batch in batches:
             docs, hashes = (batch.column(k) for k in KEY)
@@ -144,30 +147,38 @@ def _repeats(sketch, window: int):
                 at = at[_may_repeat(sketch.value, least)]
                 if not len(at):
                     continue
+                name = K.hash_windows(words, window)[at]
+                check = (K.hash_windows(words, window, _PICK[1])[at] >> np.uint64(32)).astype(np.uint32)
                 texts = K.owners(first)[at]
-                rows = pa.array(low + texts)
-                names = [K.hash_windows(words, window, base)[at].view(np.int64) for base in (K.BASES[1], _PICK[1])]
+                place = at - first[texts]
+                _, one, group = np.unique(K.mix(name, 7) + texts.astype(np.uint64), return_index=True, return_inverse=True)
+                more = [None] * len(one)
+                if len(one) < len(at):
+                    rest = np.ones(len(at), bool)
+                    rest[one] = False
+                    for g, p in zip(group[rest].tolist(), place[rest].tolist(), strict=True):
+                        more[g] = [*(more[g] or ()), p]
+                rows = pa.array(low + texts[one])
                 yield pa.RecordBatch.from_arrays(
-                    [docs.take(rows), hashes.take(rows), pa.array((at - first[texts]).astype(np.int32)),
-                     *map(pa.array, names)], names=[*KEY, "at", "w1", "w2"])
+                    [docs.take(rows), hashes.take(rows), pa.array(place[one].astype(np.int32)), pa.array(more, pa.list_(pa.int32())),
+                     pa.array(name[one].view(np.int64)), pa.array(check[one].view(np.int32))], names=[*KEY, "at", "more", "w1", "w2"])
 
     return run
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Document key and start ``at`` of windows that also start in a smaller doc_id.
+    """Document key, start ``at`` and further starts ``more`` of windows that also start
+    in a smaller doc_id.
 
-    Windows are grouped by a 128-bit hash of their words. The minimum is combined before
-    it is shuffled; the join back is an inner one, which Spark splits where a window is
-    in very many documents.
+    Windows are grouped by a 96-bit hash of their words. The minimum is combined before
+    it is shuffled; a text sends each of its windows once, however often it repeats it.
     """
     texts = keyed(docs)
     sketch = docs.sparkSession.sparkContext.broadcast(repeated_cells(texts, window))
-    found = texts.mapInArrow(_repeats(sketch, window), "_doc long, _text_hash long, at int, w1 long, w2 long")
-    found = found.filter("_doc is not null")
-    spread_over = found.groupBy("w1", "w2").agg(F.min("_doc").alias("least"), F.max("_doc").alias("most"))
-    across = spread_over.filter("least < most").select("w1", "w2", "least")
-    return found.join(across, ["w1", "w2"]).filter("_doc > least").select(*KEY, "at")
+    schema = "_doc long, _text_hash long, at int, more array<int>, w1 long, w2 int"
+    found = texts.mapInArrow(_repeats(sketch, window), schema).filter("_doc is not null")
+    least = found.groupBy("w1", "w2").agg(F.min("_doc").alias("least"))
+    return found.join(least, ["w1", "w2"]).filter("_doc > least").select(*KEY, "at", "more")
 
 
 def _cut(window: int):
@@ -198,6 +209,19 @@ def _cut(window: int):
     return run
 
 
+def _with_windows(sketch, member: bool):
+    """Passes on the texts that the sketch may hold, or those that it cannot."""
+
+    def run(batches):
+        for batch in batches:
+            hashes = batch.column("_text_hash").to_numpy().view(np.uint64)
+            some = np.zeros(len(hashes), bool)
+            some[maybe(sketch.value, hashes)] = True
+            yield batch.filter(pa.array(some == member))
+
+    return run
+
+
 def remove_repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text, kept_sha256 for every row.
 
@@ -206,13 +230,17 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     has no words. Rows with the same doc_id never remove each other's words; a null
     doc_id neither removes nor loses words. An empty table gives an empty result. Other
     columns are not read.
+
+    Only texts that may lose words are shuffled to meet their windows: a sketch of fixed
+    size tells them from the others.
     """
-    gone = repeated_windows(docs, window).distinct().groupBy(*KEY).agg(F.collect_list("at").alias("at"))
+    starts = F.concat(F.array("at"), F.coalesce("more", F.array().cast("array<int>")))
+    gone = repeated_windows(docs, window).groupBy(*KEY).agg(F.flatten(F.collect_list(starts)).alias("at"))
     gone = cut_lineage(gone, "repeated-windows")
-    texts = keyed(docs)
-    right = gone.withColumnsRenamed({k: f"{k}_gone" for k in KEY})
-    same = (texts["_doc"] == right["_doc_gone"]) & (texts["_text_hash"] == right["_text_hash_gone"])
-    joined = texts.join(right, same, "left").select("_doc", "text", "at")
-    return joined.mapInArrow(
-        _cut(window), "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
-    )
+    texts, context = keyed(docs), docs.sparkSession.sparkContext
+    sketch = context.broadcast(membership(gone, "_text_hash"))
+    same = "_doc long, _text_hash long, text string"
+    meet = join_key(texts.mapInArrow(_with_windows(sketch, True), same), gone, "left")
+    rest = texts.mapInArrow(_with_windows(sketch, False), same).withColumn("at", F.lit(None).cast("array<int>"))
+    schema = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
+    return meet.unionByName(rest).select("_doc", "text", "at").mapInArrow(_cut(window), schema)
