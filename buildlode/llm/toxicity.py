@@ -41,8 +41,9 @@ SIGNS = re.escape("".join(READINGS))
 SPACED = rf"(?<![^\W_])(?:[a-z{SIGNS}][ ._-]){{2,}}[a-z{SIGNS}](?![^\W_])"
 MIXED = rf"[{SIGNS}]*[a-z](?:[a-z]|[{SIGNS}](?=[{SIGNS}]*[a-z]))*"
 SUSPECT = re.compile(rf"{SPACED}|(?=[a-z]*[{SIGNS}]){MIXED}|[a-z]*([a-z])\1\1[a-z]*")
-#: Logarithms of the channel: a sign read as a letter or as a gap, filler, repetition.
-AS_LETTER, AS_GAP, FILLER, ONCE, TWICE = map(math.log, (0.5, 0.02, 0.2, 0.6, 0.3))
+#: Logarithms of the channel: a sign read as a letter or as a gap; a separator between
+#: single letters as filler or as a gap; a repeated letter as one or as two.
+AS_LETTER, AS_GAP, FILLER, REAL, ONCE, TWICE = map(math.log, (0.5, 0.001, 0.7, 0.1, 0.6, 0.3))
 
 # Symbols of the character model: gap, a to z, any other letter.
 CLASSES = 28
@@ -90,7 +91,7 @@ def _options(span: str) -> list[list[tuple[str, float]]]:
         while j < len(span) and span[j] == c:
             j += 1
         if spaced and i % 2:
-            out.append([("", FILLER), (" ", 0.0)])
+            out.append([("", FILLER), (" ", REAL)])
             j = i + 1
         elif "a" <= c <= "z" and j - i >= 3:
             out.append([(c, ONCE), (c + c, TWICE)])
