@@ -57,6 +57,18 @@ def drop_sparse_columns(d: Domain):
     return filters.drop_sparse_columns(kept, ["status", "severity", "close_date", "resolution"], 0.4)
 
 
+@query(
+    "drop_sparse_measures",
+    f"""SELECT {columns(c for c in schemas.TABLES['sonar_measures'].names if c not in schemas.SPARSE_MEASURES)} FROM sonar_measures""",
+    "sonar_measures",
+)
+def drop_sparse_measures(d: Domain):
+    """The fixed list of measures that no study uses."""
+    kept = filters.drop_sparse_measures(d.sonar_measures.select(*schemas.TABLES["sonar_measures"].names))
+    assert not set(schemas.SPARSE_MEASURES) & set(kept.columns)
+    return kept
+
+
 @query(
     "drop_bookkeeping",
     f"SELECT {columns(c for c in schemas.TABLES['sonar_analyses'].names if c != 'organization')} FROM sonar_analyses",

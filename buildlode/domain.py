@@ -32,6 +32,19 @@ def _measures_columns() -> str:
     )
 
 
+def _other_measures() -> str:
+    """Measures that no study uses: the sparse ones have a value in one row of 17."""
+    used = ["organization", "project", "analysis_key", *schemas.MEASURE_NUMERICS, *schemas.MEASURE_CATEGORIES]
+    rest = [n for n in schemas.TABLES["sonar_measures"].names if n not in used]
+    kinds = {f.name: f.dataType.simpleString() for f in schemas.TABLES["sonar_measures"]}
+    values = {"int": "cast(o_custkey % 90 as int)", "bigint": "cast(o_custkey % 90 as bigint)",
+              "double": "cast(o_custkey % 90 as double) / 4.0", "string": "concat('v', cast(o_custkey % 90 as string))", "timestamp_ntz": "o_orderdate"}
+    return ",\n       ".join(
+        f"case when o_orderkey % {17 if name in schemas.SPARSE_MEASURES else 2} = {i % 17 % 2} then {values[kinds[name]]} end {name}"
+        for i, name in enumerate(rest)
+    )
+
+
 def _ranked(name: str, value: str, key: str) -> str:
     """Ten (name, value) columns with NULL slots and repeated pairs."""
     cells = []
@@ -114,6 +127,7 @@ select {_ORG.format(k='o_orderkey')} organization,
        {_PROJECT.format(k='o_orderkey')} project,
        concat('a', cast(o_orderkey as string)) analysis_key,
        {_measures_columns()},
+       {_other_measures()},
        case o_orderstatus when 'F' then 'OK' when 'O' then 'ERROR' else null end alert_status,
        o_custkey % 10 < 8 processed, cast(o_orderdate as date) ingested_at
 from $orders""",
