@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 RESOLUTION = 1 << 30
+# Number of the single tree where it grows beside a forest.
+SINGLE = -1
 
 
 def poisson_steps() -> list[float]:
@@ -78,6 +80,12 @@ def feature_subsets(spark, features: int, trees: int, depth: int, seed: int) ->
     return slots.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size).select("tree", "node", "slot")
 
 
+def all_features(spark, features: int, depth: int) -> DataFrame:
+    """(tree, node, slot) of the single tree: every feature at every node."""
+    slots = spark.range(features).select(F.lit(SINGLE).alias("tree"), F.col("id").cast("int").alias("slot"))
+    return slots.withColumn("node", F.explode(F.sequence(F.lit(1), F.lit(2**depth - 1))))
+
+
 def _gini(ok: Column, failed: Column) -> Column:
     total = ok + failed
     return 1.0 - (ok / total) ** 2 - (failed / total) ** 2

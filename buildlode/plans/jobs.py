@@ -224,10 +224,14 @@ def issue_impact_by_project(study: Study) -> DataFrame:
     telling = best.where((F.col("rank") == 1) & (F.col("statistic") != 0)).select(*keys)
     ranked = {"ChiSquareSelectorModel": best.join(telling, keys, "left_semi").withColumnRenamed("statistic", "value")}
 
-    single = trees.grow(trees.single_tree_weights(outcomes, keys), cells, keys, PROJECT_DEPTH)
-    subsets = trees.feature_subsets(study.spark, len(names), PROJECT_TREES, PROJECT_DEPTH, training.SEED)
+    # The single tree grows in the same passes as the forest; it may use every feature.
+    single = trees.single_tree_weights(outcomes, keys).withColumn("tree", F.lit(trees.SINGLE))
     drawn = trees.bootstrap_weights(outcomes, keys, PROJECT_TREES, "row_key", training.SEED)
-    forest = trees.grow(drawn, cells, keys, PROJECT_DEPTH, subsets)
+    subsets = trees.feature_subsets(study.spark, len(names), PROJECT_TREES, PROJECT_DEPTH, training.SEED)
+    subsets = subsets.unionByName(trees.all_features(study.spark, len(names), PROJECT_DEPTH))
+    grown = trees.grow(single.unionByName(drawn), cells, keys, PROJECT_DEPTH, subsets)
+    alone = F.col("tree") == trees.SINGLE
+    single, forest = grown.where(alone), grown.where(~alone)
     for model, splits in (("DecisionTreeModel", single), ("RandomForestModel", forest)):
         shares = trees.importances(splits, keys).withColumnRenamed("slot", "feature")
         top = chi2.top_ranked(shares, keys, [F.desc("importance"), F.asc("feature")])
