@@ -2,8 +2,9 @@
 
 One weight vector over hashed text is shared by all grades; ordered thresholds cut its
 score into grades: P(grade <= k) = sigmoid(threshold[k] - score). Features are hashed
-sequences of ``GRAM`` bytes, counted over the whole text and divided by their number, so
-a score is one table look-up for each byte and costs the same for any length.
+sequences of ``GRAM`` bytes, counted over the whole text and divided by their number, and
+the share of words that repeat the word before. A score is one table look-up for each
+byte and costs the same for any length.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from .common import held_out, labelled_sample, small_batches
 
 GRAM = 3
 BITS = 16
+#: Number of the feature after the hashed ones: words that repeat the one before them.
+REPEAT = 1 << BITS
 #: Bound of the labelled rows a model is fitted on, chosen by a hash of the doc_id.
 SAMPLE = 6_000
 #: A document is selected if P(grade >= SELECT_GRADE) is at least SELECT_AT.
@@ -47,8 +50,17 @@ def _inside(offsets: np.ndarray, n: int) -> np.ndarray:
     return ok
 
 
+def _repeats(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Share of the words of each text that repeat the word before them."""
+    data = K.LOWER[data]
+    starts, ends, first = K.spans(data, offsets, K.NOT_SPACE)
+    words, texts = K.hash_words(data, starts, ends), K.owners(first)
+    same = np.flatnonzero((words[1:] == words[:-1]) & (texts[1:] == texts[:-1])) + 1
+    return np.bincount(texts[same], minlength=len(offsets) - 1) / np.maximum(np.diff(first), 1)
+
+
 def _sums(column, weights: np.ndarray):
-    """Mean weight of the sequences of each text; 0 for texts without any."""
+    """Mean weight of the sequences of each text, and the weight of its repetition."""
     out = np.zeros(len(column))
     for low, data, offsets in K.buffers(column):
         value = weights[_codes(data)].astype(np.float64)
@@ -58,6 +70,7 @@ def _sums(column, weights: np.ndarray):
         count = np.maximum(np.diff(offsets) - GRAM + 1, 0)
         ends = np.minimum(offsets, len(value))
         out[low : low + len(count)] = np.where(count > 0, (total[ends[1:]] - total[ends[:-1]]) / np.maximum(count, 1), 0)
+        out[low : low + len(count)] += weights[REPEAT] * _repeats(data, offsets)
     return out
 
 
@@ -73,6 +86,11 @@ def _features(column):
         rows.append(low + text)
         cols.append(both & ((1 << BITS) - 1))
         shares.append(n / np.bincount(text, n, minlength=len(offsets))[text])
+        repeats = _repeats(data, offsets)
+        some = np.flatnonzero(repeats)
+        rows.append(low + some)
+        cols.append(np.full(len(some), REPEAT))
+        shares.append(repeats[some])
     if not rows:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     return np.concatenate(rows), np.concatenate(cols), np.concatenate(shares)
@@ -114,13 +132,14 @@ def fit(column, given: np.ndarray) -> OrdinalModel:
     grades = sorted(set(given.tolist())) or [0]
     k = len(grades) - 1
     if k == 0:
-        return OrdinalModel(grades, np.zeros(1 << BITS, np.float32), np.zeros(0))
+        return OrdinalModel(grades, np.zeros(REPEAT + 1, np.float32), np.zeros(0))
     y = np.searchsorted(grades, given)
     rows, cols, shares = _features(column)
     used, cols = np.unique(cols, return_inverse=True)
     n = len(y)
-    # Features are scaled to like spread, so one rate serves rare and frequent ones.
-    scale = 1 / (np.sqrt(np.bincount(cols, shares**2, minlength=len(used)) / n) + 1e-4)
+    # Features are scaled towards like spread, so one rate serves rare and frequent ones;
+    # the term added keeps rare ones small, or each text would be learned by its own.
+    scale = 1 / (np.sqrt(np.bincount(cols, shares**2, minlength=len(used)) / n) + 1e-2)
     x = shares * scale[cols]
     shares_at_most = np.cumsum(np.bincount(y, minlength=k + 1))[:-1] / n
     # theta: first threshold, then logarithms of the gaps, so thresholds stay ordered.
@@ -144,7 +163,7 @@ def fit(column, given: np.ndarray) -> OrdinalModel:
         g = np.concatenate([np.bincount(cols, x * slope[rows], minlength=len(used)) + DECAY * w, after[:1], after[1:] * gaps])
         mean, spread = 0.9 * mean + 0.1 * g, 0.999 * spread + 0.001 * g * g
         params -= RATE * (mean / (1 - 0.9**step)) / (np.sqrt(spread / (1 - 0.999**step)) + 1e-8)
-    weights = np.zeros(1 << BITS, np.float32)
+    weights = np.zeros(REPEAT + 1, np.float32)
     weights[used] = params[:-k] * scale
     theta = params[-k:]
     return OrdinalModel(grades, weights, np.concatenate([theta[:1], theta[0] + np.cumsum(np.exp(theta[1:]))]))
