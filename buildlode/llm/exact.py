@@ -77,6 +77,8 @@ def exact_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     rows = cut_lineage(document_names(docs, block), "document-names")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))
     groups = rows.groupBy("blocks", "name").agg(first.alias("first"), F.count("*").alias("group_size"))
+    # Written, so that the join below only joins and Spark may split a very large group.
+    groups = cut_lineage(groups, "document-groups")
     return rows.join(groups, ["blocks", "name"]).select(
         "doc_id",
         F.col("first.doc_id").alias("keep_id"),
