@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import is_small
 from .common import cut_lineage
 
 #: Weights of the sources in code point order, repeating; null is the last source.
@@ -94,10 +95,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
     sizes = cut_lineage(_sizes(docs), "mix-sizes")
     plan = cut_lineage(targets(sizes, weights, most).withColumn("copies", _whole()).withColumn(
         "rest_words", F.col("target") - F.col("copies") * F.col("source_size")), "mix-targets")
-    plan = plan.join(
-        (chance := _inclusion(plan.select("source", "rest_words"), sizes)),
-        plan["source"].eqNullSafe(chance["source"]), "left").drop(chance["source"])
-    rows = sizes.join(plan, sizes["source"].eqNullSafe(plan["source"])).drop(plan["source"])
+    chance = _inclusion(plan.select("source", "rest_words"), sizes)
+    plan = plan.join(chance, plan["source"].eqNullSafe(chance["source"]), "left").drop(chance["source"])
+    plan = cut_lineage(plan, "mix-plan")
+    # One row per source: broadcast if they were counted to be few, else an inner join
+    # that Spark splits where a source is very large.
+    side = F.broadcast(plan) if is_small(plan) else plan
+    rows = sizes.join(side, sizes["source"].eqNullSafe(plan["source"])).drop(plan["source"])
     p = F.least(F.coalesce(F.col("factor"), F.lit(0.0)) * F.col("size"), F.lit(1.0))
     # Random odds over inclusion odds, as a number from 0 (first) to 1 (never).
     ratio = _odds(F.col("u")) / _odds(F.col("p"))
