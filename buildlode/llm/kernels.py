@@ -13,7 +13,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-CHUNK = (1 << 20) - 64
+CHUNK = (1 << 19) - 64
 U64 = np.uint64
 
 

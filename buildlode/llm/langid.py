@@ -181,7 +181,7 @@ def fit(column, langs: np.ndarray, pieces: list[bytes]) -> tuple[list[str], np.n
     index, size = Pieces.of(pieces), len(pieces)
     own = np.searchsorted(names, langs) if names else np.zeros(0, np.int64)
     counts: dict[tuple[int, bytes], int] = {}
-    for low, raw, offsets in K.buffers(column, 4 * K.CHUNK):
+    for low, raw, offsets in K.buffers(column, 8 * K.CHUNK):
         data, starts, ends, texts = _words(raw, offsets)
         if not len(starts):
             continue
@@ -261,7 +261,7 @@ def predict(column, model: LanguageModel):
     """Number of the best language of each text, -1 without letters, and its posterior."""
     n, k = len(column), len(model.langs)
     best, posterior = np.full(n, -1), np.zeros(n)
-    for low, raw, offsets in K.buffers(column, 4 * K.CHUNK):
+    for low, raw, offsets in K.buffers(column, 8 * K.CHUNK):
         rows = len(offsets) - 1
         letters = _has_letter(column, low, raw, offsets)
         total = np.tile(np.log(np.maximum(model.prior, 1e-12)), (rows, 1))
