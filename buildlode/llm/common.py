@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-__all__ = ["SPACES", "KEY", "cut_lineage", "keyed", "join_key", "small_batches", "spread", "wrapped", "fold", "held_out", "labelled_sample"]
+__all__ = ["SPACES", "KEY", "PLAIN", "cut_lineage", "keyed", "join_key", "plain_key", "small_batches", "spread", "wrapped", "fold", "held_out", "labelled_sample"]
 
 #: Fixed pattern of the white space that separates words.
 SPACES = r"[ \t-\r]"
@@ -42,6 +42,17 @@ def wrapped(docs: DataFrame) -> DataFrame:
     return keyed(docs, F.struct(*(docs[c] for c in docs.columns)).alias("row")).drop("text")
 
 
+#: The document key without nulls: plain equality, so that a join and what follows it on
+#: the same key share one shuffle.
+PLAIN = ("_id", "_none", "_text_hash")
+
+
+def plain_key(df: DataFrame) -> DataFrame:
+    """``df`` with its key in the columns PLAIN instead of KEY."""
+    named = df.withColumns({"_id": F.coalesce("_doc", F.lit(0)), "_none": F.col("_doc").isNull()})
+    return named.drop("_doc")
+
+
 def join_key(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
     """Null-safe join on the document key, keeping the left side's key columns."""
     other = {k: f"{k}_right" for k in KEY}

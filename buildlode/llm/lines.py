@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import KEY, SPACES, cut_lineage, join_key, keyed, wrapped
+from .common import KEY, PLAIN, cut_lineage, join_key, keyed, plain_key, wrapped
 from .naming import proven_keys, sorted_names
 
 #: A repeated run of 2**k lines is deleted if it has at least so many words.
@@ -49,7 +50,9 @@ def later_copies(texts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     listed = join_key(listed, order.drop("last")).dropDuplicates(["doc"])
     rows = listed.select("doc", F.posexplode("lines").alias("at", "line")).select("doc", "at", "line.key", "line.words")
     rows = rows.join(names, "key").select("doc", "at", "words", "rank")
-    first = rows.groupBy("rank").agg(F.min(F.struct("doc", "at")).alias("first"))
+    # Written, so that the joins by rank only join and Spark may split a very common line.
+    rows = cut_lineage(rows, "line-ranks")
+    first = cut_lineage(rows.groupBy("rank").agg(F.min(F.struct("doc", "at")).alias("first")), "first-lines")
     rows = cut_lineage(rows.join(first, "rank").select("doc", "at", "words", "rank", "first"), "ranks-1")
 
     length, cuts = 1, None
@@ -70,34 +73,44 @@ def later_copies(texts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return cuts.join(order.select("doc", *KEY), "doc").select(*KEY, "at", "length")
 
 
-def _drop_lines(batches):
-    for batch in batches:
-        n = batch.num_rows
-        texts, runs = batch.column("text").to_pylist(), batch.column("runs").to_pylist()
-        counts, removed, kept, sums = np.zeros(n, np.int64), np.zeros(n, np.int64), [], []
-        for i, (text, found) in enumerate(zip(texts, runs, strict=True)):
-            lines = text.split("\n")
-            gone = np.zeros(len(lines) + 1, np.int64)
-            for run in found or ():
-                gone[run["at"]] += 1
-                gone[run["at"] + run["length"]] -= 1
-            stay = np.flatnonzero(np.cumsum(gone)[:-1] == 0)
-            text = "\n".join([lines[j] for j in stay.tolist()])
-            counts[i], removed[i] = len(lines), len(lines) - len(stay)
-            kept.append(text)
-            sums.append(hashlib.sha256(text.encode()).hexdigest())
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(k) for k in KEY), pa.array(counts), pa.array(removed), pa.array(kept, pa.string()), pa.array(sums, pa.string())],
-            names=[*KEY, "n_lines", "n_removed", "kept_text", "kept_sha256"])
-
-
-def _without_copies(texts: DataFrame, min_words: int) -> DataFrame:
+def _drop_lines(passed: list[str]):
+    """Texts without the lines of their runs; the ``passed`` columns go along."""
+
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            texts, runs = batch.column("text").to_pylist(), batch.column("runs").to_pylist()
+            counts, removed, kept, sums = np.zeros(n, np.int64), np.zeros(n, np.int64), [], []
+            for i, (text, found) in enumerate(zip(texts, runs, strict=True)):
+                lines = text.split("\n")
+                gone = np.zeros(len(lines) + 1, np.int64)
+                for r in found or ():
+                    gone[r["at"]] += 1
+                    gone[r["at"] + r["length"]] -= 1
+                stay = np.flatnonzero(np.cumsum(gone)[:-1] == 0)
+                text = "\n".join([lines[j] for j in stay.tolist()])
+                counts[i], removed[i] = len(lines), len(lines) - len(stay)
+                kept.append(text)
+                sums.append(hashlib.sha256(text.encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in passed), pa.array(counts), pa.array(removed), pa.array(kept, pa.string()), pa.array(sums, pa.string())],
+                names=[*passed, *(f.name for f in RESULT)])
+
+    return run
+
+
+RESULT = T.StructType().add("n_lines", "long").add("n_removed", "long").add("kept_text", "string").add("kept_sha256", "string")
+
+
+def _without_copies(rows: DataFrame, passed: list[str]) -> DataFrame:
+    schema = T.StructType([*(rows.schema[c] for c in passed), *RESULT.fields])
+    return rows.select(*passed, "text", "runs").mapInArrow(_drop_lines(passed), schema)
+
+
+def _runs(texts: DataFrame, min_words: int) -> DataFrame:
+    """Document key and ``runs``, the lines to delete, of documents that have any."""
     cuts = later_copies(texts, min_words).groupBy(*KEY).agg(F.collect_list(F.struct("at", "length")).alias("runs"))
-    joined = join_key(texts, cut_lineage(cuts, "line-cuts"), "left").select(*KEY, "text", "runs")
-    return joined.mapInArrow(
-        _drop_lines,
-        "_doc long, _text_hash long, n_lines long, n_removed long, kept_text string, kept_sha256 string",
-    )
+    return cut_lineage(cuts, "line-cuts")
 
 
 def line_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -109,7 +122,9 @@ def line_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     A null doc_id comes last. An empty table gives an empty result. Other columns are not
     read.
     """
-    return _without_copies(keyed(docs), min_words).withColumnRenamed("_doc", "doc_id").drop("_text_hash")
+    texts = keyed(docs)
+    found = _without_copies(join_key(texts, _runs(texts, min_words), "left"), ["_doc"])
+    return found.withColumnRenamed("_doc", "doc_id")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -118,12 +133,15 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     A row that loses every line goes. Of rows that repeat doc_id and text one stays. Rows
     that lose nothing are unchanged, a null text stays null.
     """
-    kept = _without_copies(keyed(docs), min_words).filter("n_removed > 0")
-    kept = kept.dropDuplicates(list(KEY)).select(*KEY, "n_removed", "n_lines", "kept_text")
-    rows = wrapped(docs).dropDuplicates(list(KEY))
-    out = join_key(rows, kept, "left").filter("n_removed is null or n_removed < n_lines")
+    runs = plain_key(_runs(keyed(docs), min_words))
+    # One shuffle of the rows serves the join and the removal of repeated rows.
+    rows = plain_key(wrapped(docs)).join(runs, list(PLAIN), "left").dropDuplicates(list(PLAIN))
+    text = F.coalesce(F.col("row").getField("text").cast("string"), F.lit("")).alias("text")
+    found = _without_copies(rows.select("row", text, "runs"), ["row"]).filter("n_removed < n_lines")
     new = {c: F.col("row").getField(c) for c in docs.columns}
-    new["text"] = F.coalesce("kept_text", new["text"].cast("string"))
+    changed = F.col("n_removed") > 0
+    new["text"] = F.when(changed, F.col("kept_text")).otherwise(new["text"].cast("string"))
     if "n_chars" in new:
-        new["n_chars"] = F.coalesce(F.length("kept_text").cast(docs.schema["n_chars"].dataType), new["n_chars"])
-    return out.select(*(value.alias(c) for c, value in new.items()))
+        length = F.length("kept_text").cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(changed, length).otherwise(new["n_chars"])
+    return found.select(*(value.alias(c) for c, value in new.items()))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import KEY, cut_lineage, join_key, keyed, spread, wrapped
+from .common import KEY, PLAIN, cut_lineage, keyed, plain_key, spread, wrapped
 from .components import components
 
 SHINGLE = 3
@@ -236,4 +236,5 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int =
     Of rows that repeat doc_id and text one stays; which one is not defined.
     """
     kept = near_duplicates(docs, shingle, radius).select("first._doc", "first._text_hash").distinct()
-    return join_key(wrapped(docs), kept, "left_semi").dropDuplicates(list(KEY)).select("row.*")
+    rows = plain_key(wrapped(docs)).join(plain_key(kept), list(PLAIN), "left_semi")
+    return rows.dropDuplicates(list(PLAIN)).select("row.*")
