@@ -53,11 +53,11 @@ def incremental_delta(builds: DataFrame, measures: DataFrame, analyses: DataFram
 
 
 def merge_dedup(new: DataFrame, archive: DataFrame) -> DataFrame:
-    """Archive, itself without copies, plus the distinct new rows that it lacks.
+    """Distinct rows of archive and new rows together, NULL equal to NULL.
 
-    The archive is scanned, not shuffled, where the new rows are few.
+    Copies already in the archive go too: a first load is stored as it came.
     """
-    return archive.unionByName(not_in_archive(new, archive, archive.columns))
+    return archive.unionByName(new.select(*archive.columns)).dropDuplicates()
 
 
 def not_in_archive(new: DataFrame, archive: DataFrame, columns: list[str]) -> DataFrame:
