@@ -3,7 +3,7 @@
 Each token of a text is masked in turn and predicted by a small network from the words on
 both sides. The logarithms of these probabilities are summed for the text. The network is
 trained in numpy inside Spark tasks: each task starts from the same parameters, learns on
-a share of the positions of its own texts, and the results are averaged, twice.
+every position of its own texts, and the results are averaged, twice.
 
 The tokens are the most frequent words of all documents; the others fall into classes by
 their hash, so that every word is a token.
@@ -25,8 +25,6 @@ WORDS, CLASSES = 128, 64
 TOKENS = WORDS + CLASSES
 #: Words seen on each side, width of an embedding and of the hidden layer.
 SIDE, WIDTH, HIDDEN = 2, 16, 32
-#: One position in so many is learned from in each round, in every document.
-STRIDE = 16
 ROUNDS, RATE, BATCH = 2, 0.1, 1024
 OFFSETS = [*range(-SIDE, 0), *range(1, SIDE + 1)]
 SHAPES = ((TOKENS + 1, WIDTH), (len(OFFSETS) * WIDTH, HIDDEN), (HIDDEN,), (HIDDEN, TOKENS), (TOKENS,))
@@ -136,19 +134,15 @@ class Learner:
         self.seen += n
 
 
-def _learn(model, turn: int):
+def _learn(model):
     """A task's parameters after its own texts, and the number of positions learned from."""
 
     def run(batches):
         learner, held = Learner(model.value.params), []
         for batch in batches:
-            for low, first, h in _hashes(batch.column("text")):
+            for _, first, h in _hashes(batch.column("text")):
                 tokens = model.value.tokens(h)
-                text = K.owners(first)
-                place = (np.arange(len(h)) - first[text]).astype(np.uint64)
-                own = batch.column("_text_hash").to_numpy().view(np.uint64)[low + text]
-                at = np.flatnonzero((K.mix(place, turn) + own) % np.uint64(STRIDE) == 0)
-                held.append((_contexts(tokens, first, at), tokens[at]))
+                held.append((_contexts(tokens, first, np.arange(len(h))), tokens))
                 if sum(len(t) for _, t in held) >= BATCH:
                     context, target = (np.concatenate(x) for x in zip(*held, strict=True))
                     for a in range(0, len(target) - BATCH + 1, BATCH):
@@ -187,8 +181,8 @@ def train(docs: DataFrame) -> PseudoModel:
     texts, context = keyed(docs), docs.sparkSession.sparkContext
     words, counts = count_words(texts)
     model = PseudoModel(words, _start(counts))
-    for turn in range(ROUNDS):
-        learned = texts.mapInArrow(_learn(context.broadcast(model), turn), "block int, seen long, params binary")
+    for _ in range(ROUNDS):
+        learned = texts.mapInArrow(_learn(context.broadcast(model)), "block int, seen long, params binary")
         # Written once, in an order that does not hang on which task came first.
         learned = cut_lineage(learned, "learned")
         merged = spread(learned, "block").sortWithinPartitions("block", "seen", "params")
