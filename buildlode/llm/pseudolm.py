@@ -6,7 +6,8 @@ trained in numpy inside Spark tasks: each task starts from the same parameters,
 every position of its own texts, and the results are averaged, twice.
 
 The tokens are the most frequent words of all documents; the others fall into classes by
-their hash, so that every word is a token.
+their hash, so that every word is a token. A word of a class then adds the logarithm of its
+share in the class, by the counts of all words of all documents, which stay a table.
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ TOKENS = WORDS + CLASSES
 #: Words seen on each side, width of an embedding and of the hidden layer.
 SIDE, WIDTH, HIDDEN = 2, 16, 32
 ROUNDS, RATE, BATCH = 2, 0.1, 1024
+#: Words whose shares are sent to all tasks; rarer ones are joined to the table of counts.
+LISTED = 1 << 16
+#: Count of all the words of a class together that the corpus does not hold.
+UNSEEN = 0.5
 OFFSETS = [*range(-SIDE, 0), *range(1, SIDE + 1)]
 SHAPES = ((TOKENS + 1, WIDTH), (len(OFFSETS) * WIDTH, HIDDEN), (HIDDEN,), (HIDDEN, TOKENS), (TOKENS,))
 
@@ -50,6 +55,8 @@ class PseudoModel:
     #: Hashes of the frequent words, sorted; the token of a word is its place.
     words: np.ndarray
     params: np.ndarray
+    #: How often each token occurs in the corpus.
+    counts: np.ndarray | None = None
 
     def tokens(self, hashes: np.ndarray) -> np.ndarray:
         other = WORDS + (hashes >> np.uint64(58)).astype(np.int32)
@@ -85,13 +92,17 @@ def _word_counts(batches):
             yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], names=["word", "n"])
 
 
-def count_words(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``word``, its hash, and ``n`` for every word of every document; a written table."""
+    found = keyed(docs).select("text").mapInArrow(_word_counts, "word long, n long")
+    return cut_lineage(found.groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+
+
+def count_words(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the WORDS most frequent words and the counts of all tokens.
 
-    Every word of every document is counted; a fixed number of rows reaches the driver.
+    A fixed number of rows reaches the driver.
     """
-    counts = texts.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = cut_lineage(counts, "word-counts")
     top = counts.orderBy(F.col("n").desc(), "word").limit(WORDS)
     rows = sorted((r.word & 0xFFFFFFFFFFFFFFFF, r.n) for r in top.collect())
     words = np.array([w for w, _ in rows], np.uint64)
@@ -173,14 +184,14 @@ def _average(batches):
         names=["block", "params"])
 
 
-def train(docs: DataFrame) -> PseudoModel:
+def train(docs: DataFrame, counts: DataFrame | None = None) -> PseudoModel:
     """Counts words and learns over all documents; texts stay in their tasks.
 
-    The driver gets the frequent words and the averaged parameters, both of fixed size.
+    ``counts`` are the ``word_counts`` of the documents, if they are there. The driver gets the frequent words and the averaged parameters, both of fixed size.
     """
     texts, context = keyed(docs), docs.sparkSession.sparkContext
-    words, counts = count_words(texts)
-    model = PseudoModel(words, _start(counts))
+    words, tokens = count_words(word_counts(docs) if counts is None else counts)
+    model = PseudoModel(words, _start(tokens), tokens)
     for _ in range(ROUNDS):
         learned = texts.mapInArrow(_learn(context.broadcast(model)), "block int, seen long, params binary")
         # Written once, in an order that does not hang on which task came first.
@@ -188,7 +199,7 @@ def train(docs: DataFrame) -> PseudoModel:
         merged = spread(learned, "block").sortWithinPartitions("block", "seen", "params")
         rows = merged.mapInArrow(_average, "block int, params array<double>").orderBy("block").collect()
         if rows:
-            model = PseudoModel(model.words, np.concatenate([r.params for r in rows]).astype(np.float32))
+            model = PseudoModel(words, np.concatenate([r.params for r in rows]).astype(np.float32), tokens)
     return model
 
 
@@ -235,12 +246,89 @@ def _score_task(model):
 
 
 def score(docs: DataFrame, model: PseudoModel) -> DataFrame:
-    """doc_id, n_tokens, log_likelihood and its mean for every row.
+    """doc_id, n_tokens, log_likelihood of the tokens and its mean for every row.
 
-    The pseudo-log-likelihood is the sum over all tokens of the whole text. A null or
+    The pseudo-log-likelihood is the sum over all tokens of the whole text; a word of a
+    class counts as its class. A null or
     empty text has no tokens, sum 0 and no mean. Repeated rows get equal results; an
     empty table gives an empty result. Other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     found = keyed(docs).mapInArrow(_score_task(shared), "doc_id long, n_tokens long, log_likelihood double")
     return found.withColumn("mean_log_likelihood", F.col("log_likelihood") / F.nullif(F.col("n_tokens"), F.lit(0)))
+
+
+def _listed(counts: DataFrame, model: PseudoModel, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of the words of classes that occur often.
+
+    The bound is the least power of two that at most ``most`` words reach.
+    """
+    power = F.floor(F.log2("n")).cast("int").alias("power")
+    sizes = {r.power: r["count"] for r in counts.groupBy(power).count().collect()}
+    sizes[max(sizes, default=0) + 1] = 0
+    least = min(p for p in sizes if sum(n for q, n in sizes.items() if q >= p) <= most)
+    rows = counts.filter(F.col("n") >= 1 << least).toArrow()
+    words, n = rows["word"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+    order = np.argsort(words)
+    words, n = words[order], n[order]
+    rare = model.tokens(words) >= WORDS
+    return words[rare], n[rare]
+
+
+def _word_task(model, listed):
+    """Scores of whole texts, and the words left to be joined with how often each occurs."""
+
+    def run(batches):
+        scorer, (words, logs) = Scorer(model.value), listed.value
+        for batch in batches:
+            n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+            for low, first, h in _hashes(batch.column("text")):
+                rows, text = len(first) - 1, K.owners(first)
+                n[low : low + rows] = np.diff(first)
+                score = scorer(first, h).astype(float)
+                other = np.flatnonzero(model.value.tokens(h) >= WORDS)
+                if len(words):
+                    place = np.minimum(np.searchsorted(words, h[other]), len(words) - 1)
+                    known = words[place] == h[other]
+                    score[other[known]] += logs[place[known]]
+                    other = other[~known]
+                total[low : low + rows] = np.bincount(text, score, rows)
+                other = other[np.lexsort((h[other], text[other]))]
+                t, w = text[other], h[other]
+                begin = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (w[1:] != w[:-1])]))[: len(t)]
+                found.append((low + t[begin], w[begin], np.diff(begin, append=len(t))))
+            owner, word, times = (np.concatenate(x) for x in zip(*found, strict=True))
+            each = pa.StructArray.from_arrays([pa.array(word.view(np.int64)), pa.array(times)], names=["word", "times"])
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=batch.num_rows))])
+            rest = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), each)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(KEY[0]), pa.array(n), pa.array(total), rest], names=["doc_id", "n_tokens", "sum", "rest"])
+
+    return run
+
+
+def score_words(docs: DataFrame, model: PseudoModel, counts: DataFrame, most: int = LISTED) -> DataFrame:
+    """As ``score``, but log_likelihood is that of the words, not of their classes.
+
+    A word of a class adds log(n / (N + UNSEEN)), where n of the N words of its class in
+    the corpus are this word; one that the corpus does not hold has UNSEEN for n.
+    ``counts`` are the ``word_counts`` that the model was trained with. At most ``most`` words
+    are sent to all tasks; how many does not change a result.
+    """
+    spark = docs.sparkSession
+    words, n = _listed(counts, model, most)
+    logs = np.log(n / (model.counts[model.tokens(words)] + UNSEEN))
+    context = spark.sparkContext
+    task = _word_task(context.broadcast(model), context.broadcast((words, logs)))
+    schema = "doc_id long, n_tokens long, sum double, rest array<struct<word: long, times: long>>"
+    found = keyed(docs).mapInArrow(task, schema).withColumn("row", F.monotonically_increasing_id())
+    found = cut_lineage(found, "word-scores")
+    rest = found.select("row", F.explode("rest").alias("rest")).select("row", "rest.word", "rest.times")
+    classes = F.array(*(F.lit(float(c) + UNSEEN) for c in model.counts[WORDS:]))
+    size = classes.getItem(F.shiftrightunsigned("word", 58).cast("int"))
+    log = F.log(F.coalesce(F.col("n").cast("double"), F.lit(UNSEEN)) / size)
+    sums = rest.join(counts, "word", "left").groupBy("row").agg(F.sum(F.col("times") * log).alias("more"))
+    total = F.col("sum") + F.coalesce("more", F.lit(0.0))
+    out = found.drop("rest").join(sums, "row", "left").select("doc_id", "n_tokens", total.alias("log_likelihood"))
+    return out.withColumn("mean_log_likelihood", F.col("log_likelihood") / F.nullif(F.col("n_tokens"), F.lit(0)))

@@ -223,4 +223,5 @@ def op4(spark, sf_dir):
 @query("op6_pseudo_likelihood")
 def op6(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents")
-    return pseudolm.score(docs, pseudolm.train(docs))
+    counts = pseudolm.word_counts(docs)
+    return pseudolm.score_words(docs, pseudolm.train(docs, counts), counts)

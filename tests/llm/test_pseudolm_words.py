@@ -15,3 +15,44 @@ def test_every_position_is_learned_from():
     batch = pa.RecordBatch.from_pydict({"text": TEXTS, "_text_hash": list(range(len(TEXTS)))})
     out = next(pseudolm._learn(SimpleNamespace(value=model))([batch]))
     assert set(out.column("seen").to_pylist()) == {sum(len(t.split()) for t in TEXTS)}
+
+
+def test_words_are_scored_and_not_their_classes(spark):
+    rng = np.random.default_rng(4)
+    frequent = [f"f{i}" for i in range(pseudolm.WORDS)]
+    rare = [f"r{i}" for i in range(400)]
+    texts = [" ".join(frequent * 30)] + [" ".join(rng.choice(rare, 25)) for _ in range(80)]
+    corpus = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    counts = pseudolm.word_counts(corpus)
+    model = pseudolm.train(corpus, counts)
+
+    def hashed(text):
+        (_, _, h), = pseudolm._hashes(pa.array([text]))
+        return h
+
+    # Invented words, each of the same class as the real word in its place.
+    spare = {}
+    for i in range(20_000):
+        spare.setdefault(int(hashed(f"zz{i}")[0] >> np.uint64(58)), []).append(f"zz{i}")
+    real = texts[5]
+    false = " ".join(spare[int(h >> np.uint64(58))].pop() for h in hashed(real))
+    rows = [(1, real), (2, false), (3, None), (4, texts[0]), (1, real)]
+    asked = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = {r.doc_id: r.log_likelihood for r in pseudolm.score(asked, model).collect()}
+    assert abs(plain[1] - plain[2]) < 1e-4
+
+    n = {np.uint64(r.word & (2**64 - 1)): r.n for r in counts.collect()}
+    sizes = {}
+    for w, k in n.items():
+        if w not in model.words:
+            sizes[w >> np.uint64(58)] = sizes.get(w >> np.uint64(58), 0) + k
+    want = {3: 0.0, 4: plain[4]}
+    for i, text in ((1, real), (2, false)):
+        want[i] = plain[i] + sum(np.log(n.get(w, 0.5) / (sizes[w >> np.uint64(58)] + 0.5)) for w in hashed(text) if w not in model.words)
+    for most in (pseudolm.LISTED, 30, 0):
+        got = pseudolm.score_words(asked, model, counts, most).collect()
+        assert sorted(r.doc_id for r in got) == [1, 1, 2, 3, 4]
+        for r in got:
+            assert abs(r.log_likelihood - want[r.doc_id]) < 1e-3
+            assert r.mean_log_likelihood is None if r.doc_id == 3 else r.mean_log_likelihood < 0
+    assert want[2] < want[1] - 20
