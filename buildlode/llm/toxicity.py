@@ -37,13 +37,20 @@ READINGS = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "*": "aeiou", "#": "h",
 }
 SIGNS = re.escape("".join(READINGS))
-#: Spans that may be obfuscated: signs inside words, spaced single letters, repetition.
-SPACED = rf"(?<![^\W_])(?:[a-z{SIGNS}][ ._-]){{2,}}[a-z{SIGNS}](?![^\W_])"
-MIXED = rf"[{SIGNS}]*[a-z](?:[a-z]|[{SIGNS}](?=[{SIGNS}]*[a-z]))*"
-SUSPECT = re.compile(rf"{SPACED}|(?=[a-z]*[{SIGNS}]){MIXED}|[a-z]*([a-z])\1\1[a-z]*")
-#: Logarithms of the channel: a sign read as a letter or as a gap; a separator between
-#: single letters as filler or as a gap; a repeated letter as one or as two.
-AS_LETTER, AS_GAP, FILLER, REAL, ONCE, TWICE = map(math.log, (0.5, 0.001, 0.7, 0.1, 0.6, 0.3))
+#: Spans that may be obfuscated: signs inside or at the ends of words, digits with other
+#: signs, spaced single letters, repetition. Digits alone are a number.
+SPACED = rf"(?<![^\W_])(?:[a-z{SIGNS}][ ._-]+){{2,}}[a-z{SIGNS}](?![^\W_])"
+MIXED = rf"(?=[a-z]*[{SIGNS}])[{SIGNS}]*[a-z][a-z{SIGNS}]*"
+ALL_SIGNS = rf"(?<![^\W_{SIGNS}])(?=[{SIGNS}]*[0-9])(?![0-9]+(?![{SIGNS}]))[{SIGNS}]{{3,}}(?![^\W_])"
+SUSPECT = re.compile(rf"{SPACED}|{MIXED}|{ALL_SIGNS}|[a-z]*([a-z])\1\1[a-z]*")
+#: Logarithms of the channel: a sign read as a letter, or left as it is inside a word or at
+#: an end; a separator between single letters as filler or as a gap; a repeated letter as
+#: one or as two.
+AS_LETTER, AS_GAP, AS_IS, FILLER, REAL, ONCE, TWICE = map(math.log, (0.5, 0.001, 0.0003, 0.7, 0.1, 0.6, 0.3))
+#: The same for each sign of a span without a letter, which is left or read as a whole.
+NO_WORD = math.log(0.007)
+#: Signs that may follow a word whose last signs are read as letters.
+CLOSING = "!*#+|"
 
 # Symbols of the character model: gap, a to z, any other letter.
 CLASSES = 28
@@ -53,6 +60,7 @@ _CLASS[128:] = 27
 _SIGN = np.zeros(256, bool)
 _SIGN[[ord(c) for c in READINGS]] = True
 _ASCII = K.table((0x61, 0x7A))
+_WORD = K.table((0x30, 0x39), (0x61, 0x7A))
 
 
 def _trigrams(batches):
@@ -79,56 +87,84 @@ def character_model(docs: DataFrame) -> np.ndarray:
     return np.log((n + 5 * pairs[None]) / (n.sum(2, keepdims=True) + 5))
 
 
-def _options(span: str) -> list[list[tuple[str, float]]]:
+def _core(span: str) -> tuple[int, int]:
+    """First and last place that is no sign at an end; both the length without any."""
+    some = [i for i, c in enumerate(span) if c not in READINGS]
+    return (some[0], some[-1]) if some else (len(span), len(span))
+
+
+def _options(span: str) -> tuple[list[list[tuple[str, float]]], list[str], list[int]]:
     """The lattice: for each place the strings it may stand for, with their costs.
 
-    A space in an option is a gap between words, the empty string is nothing at all.
+    Also the character of the place and where it is in the span.
+
+    A space or a sign in an option is a gap between words, the empty string is nothing.
     """
-    spaced = len(span) > 4 and all(c in " ._-" for c in span[1::2])
-    out, i = [], 0
+    spaced = any(c in " ._-" for c in span)
+    inside = range(*_core(span))
+    out, signs, at, i = [], [], [], 0
     while i < len(span):
         c, j = span[i], i
+        signs.append(c)
+        at.append(i)
         while j < len(span) and span[j] == c:
             j += 1
-        if spaced and i % 2:
+        if c in " ._-":
+            while j < len(span) and span[j] in " ._-":
+                j += 1
             out.append([("", FILLER), (" ", REAL)])
-            j = i + 1
         elif "a" <= c <= "z" and j - i >= 3:
             out.append([(c, ONCE), (c + c, TWICE)])
         elif c in READINGS:
             letters = READINGS[c]
-            out.append([(x, AS_LETTER - math.log(len(letters))) for x in letters] + [(" ", AS_GAP)])
+            out.append([(x, AS_LETTER - math.log(len(letters))) for x in letters] + ([(c, AS_GAP)] if i in inside or spaced else []))
             j = i + 1
         else:
             out.append([(c, 0.0)])
             j = i + 1
         i = j
-    return out
+    return out, signs, at
 
 
 def _symbol(c: str) -> int:
-    return 0 if c == " " else ord(c) - 96
+    return ord(c) - 96 if "a" <= c <= "z" else 0
 
 
 def decode(span: str, model: np.ndarray) -> str:
-    """The most probable reading of a lower-cased span (Viterbi over two symbols)."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for options in _options(span):
-        reached: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (value, text) in best.items():
-            for letters, cost in options:
+    """The most probable reading of a lower-cased span (Viterbi over two symbols).
+
+    Signs before the word and after it may be left as they are: then nothing follows or
+    precedes them but more of these. The phase of a state is 0 before the word, 1 in it,
+    2 after it. A repeated sign that is no digit is left for the price of one.
+    """
+    best: dict[tuple[int, int, int], tuple[float, str]] = {(0, 0, 0): (0.0, "")}
+    first, last = _core(span)
+
+    def better(reached, state, value, text):
+        if state not in reached or value > reached[state][0]:
+            reached[state] = (value, text)
+
+    for options, c, start in zip(*_options(span), strict=True):
+        reached: dict[tuple[int, int, int], tuple[float, str]] = {}
+        again = start > 0 and span[start - 1] == c and not c.isdigit()
+        for (phase, a, b), (value, text) in best.items():
+            if c in READINGS and (phase == 0 and start < first or phase and start > last):
+                if first == len(span) and phase == 0:
+                    better(reached, (0, 0, 0), value + NO_WORD, text + c)
+                elif first < len(span) and not (phase == 1 and start > last + 1 and (again or c not in CLOSING)):
+                    better(reached, (phase and 2, 0, 0), value + (0.0 if again else AS_IS), text + c)
+            for letters, cost in options if phase < 2 and not (first == len(span) and phase == 0 and text) else ():
                 x, y, v = a, b, value + cost
-                for c in letters:
-                    z = _symbol(c)
+                for letter in letters:
+                    z = _symbol(letter)
                     if z or y:
                         v += model[x, y, z]
                         x, y = y, z
                 if y == 0:
                     x = 0  # the next word starts afresh
-                if (x, y) not in reached or v > reached[x, y][0]:
-                    reached[x, y] = (v, text + letters)
+                better(reached, (1, x, y), v, text + letters)
         best = reached
-    return max((v + (model[a, b, 0] if b else 0.0), t) for (a, b), (v, t) in best.items())[1]
+    return max((v + (model[a, b, 0] if b and phase < 2 else 0.0), t) for (phase, a, b), (v, t) in best.items())[1]
 
 
 class Restorer:
@@ -161,11 +197,17 @@ class Restorer:
                 continue
             letter, sign = _ASCII[data], _SIGN[data]
             mark = np.zeros(len(data), bool)
-            mark[:-1] |= sign[:-1] & letter[1:]
+            mark[:-1] |= sign[:-1] & letter[1:] | letter[:-1] & sign[1:]
+            digit = (data >= 48) & (data <= 57)
+            mark[:-1] |= sign[:-1] & sign[1:] & (digit[:-1] != digit[1:])
             mark[:-2] |= letter[:-2] & (data[:-2] == data[1:-1]) & (data[:-2] == data[2:])
             gap = (data == 32) | (data == 46) | (data == 45) | (data == 95)
             one = letter | sign
             mark[:-4] |= one[:-4] & gap[1:-3] & one[2:-2] & gap[3:-1] & one[4:]
+            # A single letter with several separators after it.
+            wide = one[:-2] & gap[1:-1] & gap[2:]
+            wide[1:] &= ~_WORD[data[:-3]]
+            mark[:-2] |= wide
             texts = np.unique(np.searchsorted(offsets, np.flatnonzero(mark), "right") - 1)
             for i in texts.tolist():
                 raw = data[offsets[i] : offsets[i + 1]].tobytes()
