@@ -7,8 +7,9 @@ position alone in its rank is settled and leaves, so rounds shrink and end with
 longest repeated run. All but the first position of an interval are later copies.
 
 A maximal repeated run of m lines, 2**k <= m < 2**(k+1), is covered by its first and its
-last 2**k lines, and both are later copies in round k; so the intervals of all rounds
-together cover exactly the later copies of all maximal runs.
+last 2**k lines, and both are later copies in round k; so without a bound on words the
+intervals of all rounds together cover exactly the later copies of all maximal runs. With
+one, a maximal run stays where its runs of 2**k lines have too few words.
 """
 
 from __future__ import annotations
