@@ -278,6 +278,44 @@ def run_all(d: Domain):
     return _checked(s.results.table("model_performance"))
 
 
+# The reports themselves, with every metric and importance: no SQL trains models.
+@query("job_ml1_report")
+def job_ml1_report(d: Domain):
+    return jobs.job_ml1(study(d))
+
+
+@query("job_ml2_report")
+def job_ml2_report(d: Domain):
+    return jobs.job_ml2(study(d))
+
+
+@query("job_ml3_report")
+def job_ml3_report(d: Domain):
+    return jobs.job_ml3(study(d))
+
+
+@query("train_classifiers_report")
+def train_classifiers_report(d: Domain):
+    """Training metrics and ranked importances of the issue flow models."""
+    s = study(d)
+    jobs.job_ml2(s)
+    return s.results.table("model_info")
+
+
+@query("score_incremental_report")
+def score_incremental_report(d: Domain):
+    s = study(d)
+    jobs.job_ml2(s)
+    return jobs.job_ml2(s, "incremental")
+
+
+@query("run_all_report")
+def run_all_report(d: Domain):
+    s = study(d)
+    jobs.run_all(s, "incremental")
+    return s.results.table("model_performance")
+
+
 @query(
     "feature_names",
     """SELECT CAST(slot AS INT) AS slot, concat('removed_', rule) AS feature
