@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-__all__ = ["SPACES", "KEY", "PLAIN", "cut_lineage", "keyed", "join_key", "plain_key", "small_batches", "spread", "wrapped", "fold", "held_out", "labelled_sample"]
+__all__ = ["SPACES", "KEY", "PLAIN", "cut_lineage", "keyed", "join_key", "plain_key", "small_batches", "spread", "wrapped", "fold", "held_out", "labelled_sample", "ordered_turns"]
 
 #: Fixed pattern of the white space that separates words.
 SPACES = r"[ \t-\r]"
@@ -84,3 +84,16 @@ def labelled_sample(rows: DataFrame, limit: int, *columns: str) -> DataFrame:
     picked = rows.filter(F.col("doc_id").isNotNull() & (fold("doc_id") != 2)).select("doc_id", *columns)
     order = F.xxhash64(F.lit("sample"), F.col("doc_id"))
     return picked.orderBy(order, *picked.columns).limit(limit)
+
+
+def ordered_turns(rows: DataFrame, *more: Column, keep: list[str]) -> DataFrame:
+    """``rows`` by conv_id, turn (null first), role and text, written with ``place``.
+
+    Places rise over all rows. Range borders come from ids and turns alone, so no text is
+    sampled; a very long conversation is spread over several tasks.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    turn = F.col("turn").asc_nulls_first()
+    ordered = rows.repartitionByRange(parts, F.col("conv_id").asc_nulls_first(), turn)
+    ordered = ordered.sortWithinPartitions(F.col("conv_id").asc_nulls_first(), turn, "role", "text")
+    return cut_lineage(ordered.select(F.monotonically_increasing_id().alias("place"), *keep, *more), "turns")

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, langid, lines, mixing, pseudolm, quality, simhash, substrings, toxicity
+from . import decontaminate, exact, hostrules, langid, lines, mixing, pseudolm, quality, repair, simhash, substrings, toxicity, trie
+from .sql import HOST_SQL, REPAIR_SQL, TRIE_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -225,3 +226,19 @@ def op6(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents")
     counts = pseudolm.word_counts(docs)
     return pseudolm.score_words(docs, pseudolm.train(docs, counts), counts)
+
+
+@query("op11_host_rules", HOST_SQL)
+def op11(spark, sf_dir):
+    return hostrules.rule_report(_read(spark, sf_dir, "documents"))
+
+
+@query("op12_conversation_repair", REPAIR_SQL)
+def op12(spark, sf_dir):
+    conversations = _read(spark, sf_dir, "conversations")
+    return repair.repair_report(repair.damage(conversations), conversations)
+
+
+@query("op13_conversation_trie", TRIE_SQL)
+def op13(spark, sf_dir):
+    return trie.prefix_trie(_read(spark, sf_dir, "conversations"))
