@@ -36,7 +36,7 @@ def test_quality_stage_follows_the_report(spark, stages):
 
 
 def test_line_stage(stages):
-    kept = kept_lines({r.doc_id: r.text for r in stages[1].collect()})
+    kept = kept_lines({r.doc_id: r.text for r in stages[1].collect()}, min_words=1)
     want = {i: "\n".join(k) for i, (x, k) in kept.items() if k}
     got = stages[2].collect()
     assert {r.doc_id: r.text for r in got} == want
