@@ -255,6 +255,11 @@ def issue_flow_counts(d: Domain):
     return issues.issue_flow_counts(d.sonar_issues)
 
 
+@query("issue_flow_shared_keys", FLOWS_SQL.replace("sonar_issues", "shared_issues"), "shared_issues")
+def issue_flow_shared_keys(d: Domain):
+    return issues.issue_flow_counts(d.shared_issues)
+
+
 @query(
     "coalesce_keys",
     f"""SELECT project, analysis_key, date FROM ({FLOWS_SQL}) f""",

@@ -77,55 +77,50 @@ def _events(issues: DataFrame, keys: list[str], with_new_flag: bool) -> DataFram
 def issue_flow_counts(issues: DataFrame, with_new_flag: bool = False, keys: list[str] = ()) -> DataFrame:
     """Introduced and removed counts side by side, one row per analysis.
 
-    The sides meet on the analysis key only and a NULL key meets nothing. One scan and
-    one shuffle of partial counts give all rows whose key lies in one project. Keys of
-    several projects are found by that grouping; only their issues are counted again, by
-    project, and their sides paired. ``with_new_flag`` adds ``has_new``: whether any
-    unprocessed issue went into the row. ``keys`` (never NULL, such as a batch number)
-    keep groups of issues apart.
+    The sides meet on the analysis key only and a NULL key meets nothing. Issues are read
+    once and counted per key and project, in buffers of fixed width that are combined
+    before the shuffle; what is gathered by key afterwards is one row per project that has
+    it, and only for keys of several projects are their sides paired. ``with_new_flag``
+    adds ``has_new``: whether any unprocessed issue went into the row. ``keys`` (never
+    NULL, such as a batch number) keep groups of issues apart.
     """
     events = _events(issues, keys, with_new_flag)
-    # A NULL key stands for itself: its rows stay apart by side and project.
-    apart = [F.expr("CASE WHEN analysis_key IS NULL THEN struct(is_open, project) END").alias("apart")]
-    fresh = [F.expr("bool_or(NOT processed) AS has_new")] if with_new_flag else []
-    grouped = events.groupBy(*keys, "analysis_key", *apart).agg(
-        F.min("project").alias("project"),
-        F.expr("min(project) <> max(project) OR bool_or(project IS NULL) <> bool_and(project IS NULL) AS several"),
+    fresh = ["count_if(is_open AND NOT processed) AS new_open", "count_if(NOT is_open AND NOT processed) AS new_closed"]
+    counted = events.groupBy(
+        *keys,
+        "analysis_key",
+        "project",
+        # A NULL key stands for itself: its rows stay apart by side and project.
+        F.expr("CASE WHEN analysis_key IS NULL THEN is_open END").alias("side"),
+    ).agg(
+        F.expr("count_if(is_open) AS opened"),
+        F.expr("count_if(NOT is_open) AS closed"),
         F.max("creation_date").alias("creation_date"),
         F.max("update_date").alias("update_date"),
         *_cells(FLOW_COUNTS),
-        *fresh,
+        *(map(F.expr, fresh) if with_new_flag else ()),
     )
-    flag = ["coalesce(has_new, false) AS has_new"] if with_new_flag else []
-    columns = [*keys, "project", "analysis_key", "coalesce(creation_date, update_date) AS date", *FLOW_COUNTS, *flag]
-    single = grouped.where("NOT coalesce(several, false)").selectExpr(*columns)
-    shared = grouped.where("coalesce(several, false) AND analysis_key IS NOT NULL").select(*keys, "analysis_key")
-    return single.unionByName(_paired(events.join(shared, [*keys, "analysis_key"], "left_semi"), keys, fresh))
-
-
-def _paired(events: DataFrame, keys: list[str], fresh: list[Column]) -> DataFrame:
-    """Flow counts of keys in several projects: every pair of the two sides of a key."""
-
-    def side(is_open: bool, date: str, names: list[str], first: int) -> DataFrame:
-        counts = [F.expr(f"count_if(cell = {first + i}) AS {name}") for i, name in enumerate(names)]
-        of_side = events.where("is_open" if is_open else "NOT is_open")
-        return of_side.groupBy(*keys, "analysis_key", "project").agg(F.max(date).alias(date), *counts, *fresh)
-
-    left = side(True, "creation_date", INTRODUCED, 0).alias("i")
-    right = side(False, "update_date", REMOVED, len(INTRODUCED)).alias("r")
-    same = reduce(and_, [F.col(f"i.{k}") == F.col(f"r.{k}") for k in [*keys, "analysis_key"]])
-    both = lambda c: f"coalesce(i.{c}, r.{c}) AS {c}"
-    is_fresh = "coalesce(i.has_new, false) OR coalesce(r.has_new, false) AS has_new"
-    return left.join(right, same, "full_outer").selectExpr(
-        *map(both, keys),
-        both("project"),
-        both("analysis_key"),
-        "coalesce(creation_date, update_date) AS date",
-        *[f"coalesce({c}, 0L) AS {c}" for c in FLOW_COUNTS],
-        *([is_fresh] if fresh else []),
+    flags = ["new_open", "new_closed"] if with_new_flag else []
+    fields = ["project", "creation_date", "update_date", *FLOW_COUNTS, *flags]
+    alone = F.expr("CASE WHEN analysis_key IS NULL THEN struct(side, project) END").alias("alone")
+    sides = counted.groupBy(*keys, "analysis_key", alone).agg(F.collect_list(F.struct("opened", "closed", *fields)).alias("sides"))
+    rows = sides.selectExpr(*keys, "analysis_key", f"inline({_paired(fields)})")
+    has_new = ["new_open + new_closed > 0 AS has_new"] if with_new_flag else []
+    return rows.selectExpr(
+        *keys, "project", "analysis_key", "coalesce(creation_date, update_date) AS date", *FLOW_COUNTS, *has_new
     )
 
 
+def _paired(fields: list[str]) -> str:
+    """Rows of a key from its ``sides``, one per project: itself if the key has one project
+    or one side, else every pair of an opening and a closing project."""
+    of_closing = {"update_date", "new_closed", *REMOVED}
+    pair = ", ".join(f"'{c}', {'r' if c in of_closing else 'i'}.{c}" for c in fields if c != "project")
+    return f"""CASE WHEN size(sides) = 1 OR NOT exists(sides, s -> s.opened > 0) OR NOT exists(sides, s -> s.closed > 0) THEN sides
+        ELSE flatten(transform(filter(sides, s -> s.opened > 0), i -> transform(filter(sides, s -> s.closed > 0), r ->
+             named_struct('opened', i.opened, 'closed', r.closed, 'project', coalesce(i.project, r.project), {pair})))) END"""
+
+
 def _net_flows() -> list[Column]:
     return [F.expr(f"sum({i} - {r}) AS {c}") for i, r, c in zip(INTRODUCED, REMOVED, CURRENT)]
 
@@ -135,25 +130,22 @@ def running_totals_by_date(flows: DataFrame, keys: list[str] = ()) -> DataFrame:
 
     A project may hold a large part of all analyses, so no window runs over a project's
     raw rows. Flows are summed per date with map-side combine. Dates are dealt out by
-    day and accumulate there; the last date of a day has the day's total. Days, one row
-    each, accumulate within the project, and a date's total is its day's opening balance
-    plus its running sum of the day. A window group is thus bounded by the distinct times
+    day and accumulate there. Days, one row each, accumulate within the project, and a
+    date's total is its day's opening balance plus its running sum of the day. A window group is thus bounded by the distinct times
     of one day or the days of one project. NULL dates come first.
     """
     group = [*keys, "project"]
     names = ", ".join(group)
-    by_date = flows.groupBy(*group, "date").agg(*_net_flows()).withColumn("day", F.col("date").cast("date"))
-    in_order = f"PARTITION BY {names}, day ORDER BY date"
+    by_date = flows.groupBy(*group, "date").agg(*_net_flows())
+    # One shuffle serves the window of a day and the sums of the days.
+    by_day = by_date.repartition(*group, F.expr("cast(date AS date)")).selectExpr("*", "cast(date AS date) AS day")
     rows = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
-    in_day = by_date.selectExpr(
-        *group,
-        "day",
-        "date",
-        *[f"sum({c}) OVER ({in_order} {rows}) AS {c}" for c in CURRENT],
-        f"lead(true) OVER ({in_order}) IS NULL AS closes",
+    in_day = by_day.selectExpr(
+        *group, "day", "date", *[f"sum({c}) OVER (PARTITION BY {names}, day ORDER BY date {rows}) AS {c}" for c in CURRENT]
     )
+    days = by_day.groupBy(*group, "day").agg(*[F.expr(f"sum({c}) AS {c}") for c in CURRENT])
     earlier_days = f"(PARTITION BY {names} ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    opening = in_day.where("closes").selectExpr(
+    opening = days.selectExpr(
         *[f"{k} AS opening_{k}" for k in [*group, "day"]],
         *[f"coalesce(sum({c}) OVER {earlier_days}, 0L) AS opening_{c}" for c in CURRENT],
     )
