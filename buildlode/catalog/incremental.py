@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..domain import Domain
 from ..operators import delta, quality
-from ..plans import cycle
+from ..functions.scalars import server_host
+from ..plans import cycle, jobs
 from ..session import shared_dir
+from ..sources import staging
+from ..sources.ledger import LedgerTables, LoadLedger, new_id
+from ..sources.sinks import Artefacts, ParquetResults
+from ..sources.store import RowStore
 from ..streaming import ingest
 from .registry import query
 from .relational import BUILD_FEATURES, MEASURES, ML1_JOIN
 from .sqltext import CLOSED, FLOWS_SQL, OPEN, columns
-from .tables import _stage_builds, _stage_by_org
+from .tables import _stage_by_org
 
 FAILED = "CASE WHEN b.result = 'SUCCESS' THEN 'SUCCESS' ELSE 'FAIL' END AS result"
 DELTA_COLUMNS = ["job", "build_number", *schemas.BUILD_NUMERICS]
@@ -58,9 +63,24 @@ ANALYSIS_COLUMNS = schemas.TABLES["sonar_analyses"].names
     "sonar_analyses",
 )
 def merge_dedup(d: Domain):
+    """An archive that was stored with copies, then a load in which some rows are known."""
     everything = d.sonar_analyses.select(*ANALYSIS_COLUMNS)
-    archive = delta.stamp_processed(d.sonar_analyses, F.lit(None).cast("date")).where("processed").select(*ANALYSIS_COLUMNS)
-    return delta.merge_dedup(everything, archive)
+    known = d.sonar_analyses.where("processed").select(*ANALYSIS_COLUMNS)
+    archive = RowStore(d.spark, shared_dir(d.spark, "archive"))
+    archive.merge(known.unionAll(known), "load-1")
+    archive.merge(everything, "load-2")
+    return archive.rows()
+
+
+@query(
+    "merge_dedup_frames",
+    f"""SELECT {columns(ANALYSIS_COLUMNS)} FROM sonar_analyses WHERE processed
+        UNION SELECT {columns(ANALYSIS_COLUMNS)} FROM sonar_analyses""",
+    "sonar_analyses",
+)
+def merge_dedup_frames(d: Domain):
+    everything = d.sonar_analyses.select(*ANALYSIS_COLUMNS)
+    return delta.merge_dedup(everything, d.sonar_analyses.where("processed").select(*ANALYSIS_COLUMNS))
 
 
 @query(
@@ -84,6 +104,34 @@ def stamp_processed(d: Domain):
     return stamped.select("organization", "project", "analysis_key", "ingested_at", "processed")
 
 
+@query(
+    "stamp_by_ledger",
+    """SELECT organization, project, analysis_key, ingested_at,
+              CASE WHEN ingested_at <= DATE '1999-06-30' THEN TRUE ELSE processed END AS processed
+       FROM sonar_analyses""",
+    "sonar_analyses",
+)
+def stamp_by_ledger(d: Domain):
+    """Three loads, two runs: the last load arrives while the second run is under way."""
+    root, table = shared_dir(d.spark, "tables"), "sonar_analyses"
+    ledger, store = LoadLedger(d.spark, root), RowStore(d.spark, f"{root}/{table}")
+
+    def load(rows):
+        load_id = new_id("load")
+        store.add(store.unstored(rows, [*ANALYSIS_COLUMNS, "ingested_at"]), load_id, processed=F.lit(False))
+        ledger.enter(load_id, table)
+
+    early = F.col("ingested_at") <= F.lit("1999-06-30").cast("date")
+    load(d.sonar_analyses.where("processed"))
+    ledger.finish(ledger.begin())
+    load(d.sonar_analyses.where(~F.col("processed") & early))
+    run = ledger.begin()
+    load(d.sonar_analyses.where(~F.col("processed") & ~early))
+    ledger.finish(run)
+    stored = LedgerTables(ledger).table(table)
+    return stored.select("organization", "project", "analysis_key", "ingested_at", "processed")
+
+
 @query(
     "high_water_mark",
     """SELECT b.server, b.job, b.build_number FROM jenkins_builds b
@@ -107,7 +155,7 @@ def stream_staged_ingest(d: Domain):
     _stage_by_org(d, "sonar_analyses", root)
     for _ in range(2):  # the second run finds no new file
         ingest.stream_staged_ingest(d.spark, root, "sonar_analyses", path, state).awaitTermination()
-    return d.spark.read.parquet(path).drop("ingested_at")
+    return RowStore(d.spark, path).rows().drop("ingested_at")
 
 
 @query(
@@ -120,9 +168,9 @@ def stream_merge_dedup(d: Domain):
     _stage_by_org(d, "sonar_analyses", root)
     # The archive already holds the processed rows; the stream brings all rows.
     known = d.sonar_analyses.where("processed").select(*ANALYSIS_COLUMNS)
-    known.dropDuplicates().write.parquet(path)
+    RowStore(d.spark, path).merge(known, "load-1")
     ingest.stream_merge_dedup(ingest.staged_stream(d.spark, root, "sonar_analyses"), path, state).awaitTermination()
-    return d.spark.read.parquet(path)
+    return RowStore(d.spark, path).rows()
 
 
 @query(
@@ -156,29 +204,64 @@ def stream_wide_counts(d: Domain):
     return ingest.wide_counts(d.spark, path)
 
 
-CYCLE_TABLES = ["sonar_analyses", "jenkins_builds"]
-
+# Rows that a cycle finds staged; the others arrive while its models run.
+EARLY = {
+    "sonar_analyses": "project NOT IN ('p7', 'p8')",
+    "sonar_measures": "project NOT IN ('p7', 'p8')",
+    "sonar_issues": "project NOT IN ('p7', 'p8')",
+    "jenkins_builds": "job NOT IN ('job7', 'job8')",
+}
 
-@query(
-    "run_cycle",
-    """SELECT 1 AS run, 'sonar_analyses' AS table_name, COUNT(*) AS new_rows, COUNT(*) AS all_rows FROM (SELECT DISTINCT * FROM sonar_analyses) a
-       UNION ALL SELECT 1, 'jenkins_builds', COUNT(*), COUNT(*) FROM (SELECT DISTINCT * FROM jenkins_builds) b
-       UNION ALL SELECT 2, 'sonar_analyses', 0, COUNT(*) FROM (SELECT DISTINCT * FROM sonar_analyses) a
-       UNION ALL SELECT 2, 'jenkins_builds', 0, COUNT(*) FROM (SELECT DISTINCT * FROM jenkins_builds) b""",
-    "sonar_analyses jenkins_builds",
-)
-def run_cycle(d: Domain):
-    """Two cycles over the same staged rows; the second, staged anew, finds nothing new."""
-    staged, root, archive = (shared_dir(d.spark, n) for n in ("stage", "tables", "archive"))
 
-    def amounts(stored):
-        return [
-            (t, *stored.table(t).agg(F.count_if(~F.col("processed")), F.count("*")).first()) for t in CYCLE_TABLES
+def _cycle_sql() -> str:
+    parts = []
+    for table, early in EARLY.items():
+        rows = f"(SELECT DISTINCT {columns(schemas.TABLES[table].names)} FROM {table}) t"
+        parts += [
+            f"SELECT 1 AS run, '{table}' AS table_name, COUNT(*) AS new_rows, COUNT(*) AS all_rows FROM {rows} WHERE {early}",
+            f"SELECT 2, '{table}', COUNT(*) FILTER (WHERE NOT ({early})), COUNT(*) FROM {rows}",
+            f"SELECT 3, '{table}', 0, COUNT(*) FROM {rows}",
         ]
+    # Three classifiers on all and on the ten best features; nothing new gives no report.
+    parts += ["SELECT 1, 'model_performance', 6, 6", "SELECT 2, 'model_performance', 6, 12", "SELECT 3, 'model_performance', 0, 12"]
+    return " UNION ALL ".join(parts)
+
+
+@query("run_cycle", _cycle_sql(), "sonar_analyses sonar_measures sonar_issues jenkins_builds")
+def run_cycle(d: Domain):
+    """Three cycles over all four tables with the quality study.
+
+    While the models of the first one run, the rest of the analyses and issues is staged
+    and the rest of the measures and builds is loaded: both are new to the second cycle.
+    The third, with all analyses and builds staged once more, finds nothing new.
+    """
+    spark = d.spark
+    staged, root, archive, models, results = (shared_dir(spark, n) for n in ("stage", "tables", "archive", "models", "results"))
+    d.source.write.parquet(f"{root}/source")
+    ledger = LoadLedger(spark, root)
+
+    def stage(table: str, where: str, name: str) -> None:
+        scope = server_host(F.col("server")) if table == "jenkins_builds" else F.col("organization")
+        staging.staged_table_write(d.view(table).where(where), staged, table, scope, name)
+
+    def study(run: int):
+        def go(tables):
+            rows = [(run, t, *tables.table(t).agg(F.count_if(~F.col("processed")), F.count("*")).first()) for t in EARLY]
+            if run == 1:
+                for t in ("sonar_analyses", "sonar_issues"):
+                    stage(t, f"NOT ({EARLY[t]})", "late")
+                for t in ("sonar_measures", "jenkins_builds"):
+                    staging.append_load(d.view(t).where(f"NOT ({EARLY[t]})"), f"{root}/{t}", t, ledger)
+            job = jobs.Study(spark, tables, Artefacts(spark, models), ParquetResults(spark, results))
+            report = jobs.job_ml1(job, "first" if run == 1 else "incremental")
+            made = 0 if report is None else report.count()
+            return [*rows, (run, "model_performance", made, job.results.table("model_performance").count())]
+
+        return go
 
     rows = []
-    for run in (1, 2):
-        _stage_by_org(d, "sonar_analyses", staged)
-        _stage_builds(d, staged)
-        rows += [(run, *r) for r in cycle.run_cycle(d.spark, staged, root, archive, amounts, CYCLE_TABLES)]
-    return d.spark.createDataFrame(rows, "run int, table_name string, new_rows bigint, all_rows bigint")
+    for run in (1, 2, 3):
+        for t in {1: list(EARLY), 3: ["sonar_analyses", "jenkins_builds"]}.get(run, ()):
+            stage(t, EARLY[t] if run == 1 else "TRUE", f"early{run}")
+        rows += cycle.run_cycle(spark, staged, root, archive, study(run), list(EARLY))
+    return spark.createDataFrame(rows, "run int, table_name string, new_rows bigint, all_rows bigint")

@@ -9,6 +9,7 @@ from ..domain import Domain
 from ..functions.scalars import server_host
 from ..operators import filters
 from ..session import shared_dir
+from ..sources.store import RowStore
 from ..sources import sinks, staging, tables
 from .registry import query
 from .sqltext import columns
@@ -145,7 +146,7 @@ def append_load(d: Domain):
     path = shared_dir(d.spark, "loaded")
     staging.append_load(d.sonar_analyses, path, "sonar_analyses")
     staging.append_load(d.sonar_analyses, path, "sonar_analyses")
-    return d.spark.read.parquet(path).drop("ingested_at")
+    return RowStore(d.spark, path).rows().drop("ingested_at")
 
 
 @query(

@@ -1,39 +1,14 @@
-"""The full cycle of a study: load what is staged, run the models, archive, stamp."""
+"""The full cycle of a study: load what is staged, run the models, archive, note it down."""
 
 from __future__ import annotations
 
-import datetime as dt
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
 from .. import schemas
-from ..operators.delta import stamp_processed
 from ..sources import staging
-from ..sources.files import exists, move
-from ..sources.tables import ParquetTables
-
-
-def store_snapshot(df: DataFrame, path: str, partition: str = "ingested_at") -> None:
-    """Replace a stored table by its next snapshot.
-
-    The snapshot is written beside the table in full and then takes its place, so a run
-    that fails while writing leaves the table as it was.
-    """
-    made = f"{path.rstrip('/')}.next-{uuid.uuid4().hex[:12]}"
-    df.write.partitionBy(partition).parquet(made)
-    move(df.sparkSession, made, path)
-
-
-def stamp_tables(spark: SparkSession, root: str, read_until: dt.date, tables: list[str] = schemas.STAMPED_TABLES) -> None:
-    """Mark the rows of the stored tables that a run has read; later rows stay new."""
-    for table in tables:
-        path = f"{root.rstrip('/')}/{table}"
-        if exists(spark, path):
-            stored = ParquetTables(spark, root).table(table)
-            store_snapshot(stamp_processed(stored, F.lit(read_until)), path)
+from ..sources.ledger import LedgerTables, LoadLedger
 
 
 def run_cycle(
@@ -41,24 +16,33 @@ def run_cycle(
     staged_root: str,
     root: str,
     archive_root: str,
-    models: Callable[[ParquetTables], object],
+    models: Callable[[LedgerTables], object],
     tables: list[str] = schemas.STAMPED_TABLES,
 ):
-    """Load staged files, call ``models`` on the stored tables, archive, then stamp.
+    """Load staged files, call ``models`` on the stored tables, archive the files.
+
+    Files are listed once: those are loaded, and those alone are merged into the archive
+    and renamed. The models see the loads entered before they start. Both the files staged
+    and the loads entered in the meantime are left to the next cycle, where their rows are
+    new. No table is rewritten: the ledger notes what was read, after everything else, so
+    a cycle that fails is read again as a whole. Rows are loaded once all the same, since
+    a load leaves out what is stored.
 
     Returns what ``models`` returns, for example
-    ``lambda t: jobs.run_all(jobs.Study(spark, t, artefacts, results))``. Its results must
-    be stored or collected by then, as the stamp changes the tables. A cycle repeated
-    after a failure loads nothing twice: rows are compared with those stored.
+    ``lambda t: jobs.run_all(jobs.Study(spark, t, artefacts, results))``.
     """
-    read_until = spark.sql("SELECT current_date() AS d").first().d
+    root, archive_root = root.rstrip("/"), archive_root.rstrip("/")
+    ledger = LoadLedger(spark, root)
+    files = {table: staging.staged_files(spark, staged_root, table) for table in tables}
+    staged = {table: staging.staged_csv_read(spark, paths, table).drop("staged_file") for table, paths in files.items()}
     for table in tables:
-        staging.append_load(staging.staged_csv_scan(spark, staged_root, table), f"{root.rstrip('/')}/{table}", table)
-    out = models(ParquetTables(spark, root))
+        if files[table] or not ledger.loads(table):
+            staging.append_load(staged[table], f"{root}/{table}", table, ledger)
+    run = ledger.begin()
+    out = models(LedgerTables(ledger, run))
     for table in tables:
-        staging.merge_into_archive(
-            staging.staged_csv_scan(spark, staged_root, table), f"{archive_root.rstrip('/')}/{table}"
-        )
-        staging.archive_staged(spark, staged_root, table)
-    stamp_tables(spark, root, read_until, tables)
+        if files[table]:
+            staging.merge_into_archive(staged[table], f"{archive_root}/{table}")
+            staging.archive_staged(spark, files[table])
+    ledger.finish(run)
     return out

@@ -246,6 +246,12 @@ SCOPE_COLUMN = {
 }
 STAMPED_TABLES = list(SCOPE_COLUMN)
 
+
+def stored(table: str) -> T.StructType:
+    """Columns of a staged table once it is loaded."""
+    return T.StructType([*TABLES[table].fields, T.StructField("processed", T.BooleanType()), T.StructField("ingested_at", T.DateType())])
+
+
 # Rows without these keys take no part in modelling.
 KEY_COLUMN = {
     "sonar_analyses": "analysis_key",

@@ -38,3 +38,8 @@ def move(spark: SparkSession, source: str, path: str) -> None:
 def remove(spark: SparkSession, path: str) -> None:
     target, fs = _file_system(spark, path)
     fs.delete(target, True)
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    target, fs = _file_system(spark, path)
+    fs.mkdirs(target)

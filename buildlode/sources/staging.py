@@ -22,9 +22,10 @@ from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions.scalars import slug
-from ..operators.delta import not_in_archive
-from ..session import cut_lineage, intermediates
+from ..session import intermediates
 from .files import exists, listed, move, remove
+from .ledger import LoadLedger, new_id
+from .store import RowStore
 
 # Folder of every staged table below the data root.
 LAYOUT = {
@@ -142,40 +143,37 @@ def staged_csv_write(df: DataFrame, root: str, table: str, scope: Column | str)
     staged_table_write(df, root, table, scope, F.concat(F.coalesce(job, F.lit("unnamed")), F.lit(f"_{kind}")))
 
 
-def append_load(staged: DataFrame, path: str, table: str) -> None:
-    """Append staged rows to a stored table with their defaults.
+def append_load(staged: DataFrame, path: str, table: str, ledger: LoadLedger | None = None) -> str:
+    """Append staged rows to a stored table as one load; returns the load's id.
 
-    Loading the same rows again changes nothing: rows already stored are left out. The
-    files are parsed once; the distinct load is written to the shared folder.
+    Loading the same rows again changes nothing: rows already stored are left out. Only
+    stored rows of the buckets that the load touches are looked at. With a ledger the load
+    is entered there once it is complete, and rows of loads that never were do not count.
     """
+    load_id, store = new_id("load"), RowStore(staged.sparkSession, path)
     columns = [c for c in schemas.TABLES[table].names if c in staged.columns]
     with intermediates(staged.sparkSession):
-        rows = unstored(staged.select(*columns), path)
-        rows.withColumns({"processed": F.lit(False), "ingested_at": F.current_date()}).write.mode(
-            "append"
-        ).partitionBy("ingested_at").parquet(path)
+        rows = store.unstored(staged, columns, None if ledger is None else ledger.loads(table))
+        store.add(rows, load_id, processed=F.lit(False), ingested_at=F.current_date())
+    if ledger is not None:
+        ledger.enter(load_id, table)
+    return load_id
 
 
 def merge_into_archive(new: DataFrame, path: str) -> None:
     """Append the rows that the archive does not hold yet."""
-    with intermediates(new.sparkSession):
-        unstored(new, path).write.mode("append").parquet(path)
+    RowStore(new.sparkSession, path).merge(new, new_id("load"))
 
 
-def unstored(new: DataFrame, path: str) -> DataFrame:
-    """Distinct new rows that the table at ``path``, which may not exist, lacks."""
-    rows = cut_lineage(new.dropDuplicates(), "load")
-    if not exists(new.sparkSession, path):
-        return rows
-    return not_in_archive(rows, new.sparkSession.read.schema(rows.schema).parquet(path), rows.columns)
+def staged_files(spark: SparkSession, root: str, table: str) -> list[str]:
+    """The staged files of a table at this moment."""
+    return listed(spark, staged_path(root, table))
 
 
-def archive_staged(spark: SparkSession, root: str, table: str) -> int:
-    """Take ``_staging`` off the names of the staged files of a table; returns how many."""
-    paths = listed(spark, staged_path(root, table))
+def archive_staged(spark: SparkSession, paths: list[str]) -> None:
+    """Take ``_staging`` off the names of these files, which are merged."""
     for path in paths:
         move(spark, path, path.removesuffix("_staging.csv") + ".csv")
-    return len(paths)
 
 
 def name_list(spark: SparkSession, path: str) -> DataFrame:

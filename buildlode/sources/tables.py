@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators.filters import filter_processed, filter_scope
+from .store import LAYOUT
 
 
 class ParquetTables:
@@ -16,7 +17,7 @@ class ParquetTables:
         self.spark, self.root = spark, root.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}")
+        return self.spark.read.parquet(f"{self.root}/{name}").drop(*LAYOUT)
 
 
 class JdbcTables:

@@ -1,6 +1,7 @@
 """Hand-made rows for the cases the generated tables do not hold."""
 
 import datetime as dt
+import glob
 import json
 import os
 
@@ -261,7 +262,8 @@ def test_load_does_not_need_a_marker_file(spark, folder):
     rows = spark.createDataFrame([("o", "p", "k", day(1), "v", "r")], schemas.TABLES["sonar_analyses"])
     for _ in range(2):
         staging.append_load(rows, f"{folder}/t", "sonar_analyses")
-        os.remove(f"{folder}/t/_SUCCESS")
+        for marker in glob.glob(f"{folder}/t/**/_SUCCESS", recursive=True):
+            os.remove(marker)
     assert spark.read.parquet(f"{folder}/t").count() == 1
 
 
