@@ -185,9 +185,7 @@ def stream_issue_counts(d: Domain):
     _stage_by_org(d, "sonar_issues", root)
     stream = ingest.staged_stream(d.spark, root, "sonar_issues")
     ingest.stream_issue_counts(stream, path, state).awaitTermination()
-    return ingest.latest_counts(d.spark, path)
-
-
+    return ingest.latest_counts(d.spark, path).drop("date")
 
 
 @query(
@@ -200,10 +198,20 @@ def stream_wide_counts(d: Domain):
     _stage_by_org(d, "sonar_issues", root)
     stream = ingest.staged_stream(d.spark, root, "sonar_issues")
     ingest.stream_issue_counts(stream, path, state).awaitTermination()
-    ingest.compact_counts(d.spark, path)
     return ingest.wide_counts(d.spark, path)
 
 
+@query("stream_issue_flows", FLOWS_SQL, "sonar_issues")
+def stream_issue_flows(d: Domain):
+    """Flows with their dates from a stream of many batches that merges its own state."""
+    root, path, state = (shared_dir(d.spark, n) for n in ("stage", "counts", "state"))
+    parts = d.sonar_issues.withColumn("part", F.concat(F.lit("part"), F.crc32("issue_key") % 4))
+    staging.staged_table_write(parts, root, "sonar_issues", "org", F.col("part"))
+    stream = ingest.staged_stream(d.spark, root, "sonar_issues", files_per_batch=1)
+    ingest.stream_issue_counts(stream, path, state, compact_every=2).awaitTermination()
+    return ingest.streamed_flows(d.spark, path)
+
+
 # Rows that a cycle finds staged; the others arrive while its models run.
 EARLY = {
     "sonar_analyses": "project NOT IN ('p7', 'p8')",

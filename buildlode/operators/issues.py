@@ -100,6 +100,15 @@ def issue_flow_counts(issues: DataFrame, with_new_flag: bool = False, keys: list
         *_cells(FLOW_COUNTS),
         *(map(F.expr, fresh) if with_new_flag else ()),
     )
+    return paired_flows(counted, with_new_flag, keys)
+
+
+def paired_flows(counted: DataFrame, with_new_flag: bool = False, keys: list[str] = ()) -> DataFrame:
+    """Flow rows from counts per analysis key and project.
+
+    ``counted`` has keys, analysis_key, project, side (is_open where the key is NULL, else
+    NULL), opened and closed (issues of either side), both dates and the counts.
+    """
     flags = ["new_open", "new_closed"] if with_new_flag else []
     fields = ["project", "creation_date", "update_date", *FLOW_COUNTS, *flags]
     alone = F.expr("CASE WHEN analysis_key IS NULL THEN struct(side, project) END").alias("alone")
