@@ -12,6 +12,7 @@ from ..plans import cycle, jobs
 from ..session import shared_dir
 from ..sources import staging
 from ..sources.ledger import LedgerTables, LoadLedger, new_id
+from ..sources.marks import MarkTable
 from ..sources.sinks import Artefacts, ParquetResults
 from ..sources.store import RowStore
 from ..streaming import ingest
@@ -145,6 +146,23 @@ def high_water_mark(d: Domain):
     return delta.above_high_water_mark(d.jenkins_builds, stored).select("server", "job", "build_number")
 
 
+@query(
+    "high_water_marks",
+    """SELECT b.server, b.job, b.build_number FROM jenkins_builds b
+       LEFT JOIN (SELECT server, job, MAX(build_number) AS latest FROM jenkins_builds
+                  WHERE ingested_at <= DATE '2024-01-10' GROUP BY server, job) s ON b.server = s.server AND b.job = s.job
+       WHERE b.build_number > COALESCE(latest, -1)""",
+    "jenkins_builds",
+)
+def high_water_marks(d: Domain):
+    """The mark table after three loads, one of them repeated, with a merge of its folders."""
+    marks = MarkTable(d.spark, shared_dir(d.spark, "marks"))
+    stored = d.jenkins_builds.where(F.col("ingested_at") <= F.lit("2024-01-10").cast("date"))
+    for load in (2, 0, 1, 0):
+        marks.merge(stored.where(F.col("build_number") % 3 == load), f"load-{load}", folders=2)
+    return marks.new_builds(d.jenkins_builds).select("server", "job", "build_number")
+
+
 @query(
     "stream_staged_ingest",
     f"SELECT DISTINCT {columns(ANALYSIS_COLUMNS)}, FALSE AS processed FROM sonar_analyses",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..domain import Domain
 from ..functions import scalars as S
 from ..operators import landed
-from .registry import query
+from .registry import ORACLES, query
 
 SERVER = "concat('https://ci', CAST(user_id % 3 AS VARCHAR), '.example.com/')"
 JOB = "concat('Folder/Job ', CAST(user_id % 20 AS VARCHAR))"
@@ -164,3 +164,39 @@ def flatten_job_tree(d: Domain):
 @query("exclude_folders", f"SELECT job, kind FROM ({TREE}) t WHERE NOT is_folder")
 def exclude_folders(d: Domain):
     return landed.exclude_folders(landed.flatten_job_tree(d.job_nodes)).select("job", "kind")
+
+
+DEEP_TREE = """WITH RECURSIVE c AS (
+      SELECT c_custkey, c_name, concat('area', c_custkey % 5) AS area, concat('area', c_custkey % 5, '/t', c_custkey % 4) AS team,
+             concat('area', c_custkey % 5, '/t', c_custkey % 4, '/g', c_custkey % 3) AS grp FROM customer
+    ), listed AS (
+      SELECT area AS parent, team AS job, 'OrganizationFolder' AS kind FROM c
+      UNION SELECT team, grp, 'Folder' FROM c
+      UNION SELECT team, concat(team, '/lost'), 'Folder' FROM c
+      UNION SELECT grp, concat(grp, '/', c_name), 'FreeStyleProject' FROM c
+      UNION SELECT grp, concat(grp, '/deep'), 'WorkflowMultiBranchProject' FROM c WHERE c_custkey % 7 = 0
+      UNION SELECT concat(grp, '/deep'), concat(grp, '/deep/b', c_custkey), 'WorkflowJob' FROM c WHERE c_custkey % 7 = 0
+      UNION SELECT concat(grp, '/deep'), area, 'Folder' FROM c WHERE c_custkey % 7 = 0
+    ), landed AS (
+      SELECT area AS job, 'Folder' AS kind FROM c UNION SELECT team, 'Folder' FROM c UNION SELECT grp, 'Folder' FROM c
+      UNION SELECT concat(grp, '/deep'), 'WorkflowMultiBranchProject' FROM c WHERE c_custkey % 7 = 0
+      UNION SELECT concat('Solo/', c_name), 'FreeStyleProject' FROM c WHERE c_custkey % 11 = 0
+    ), tree AS (
+      SELECT job, kind, 0 AS level, [job] AS path FROM landed WHERE job NOT IN ({roots})
+      UNION ALL
+      SELECT l.job, l.kind, t.level + 1, list_append(t.path, l.job) FROM tree t JOIN listed l ON l.parent = t.job
+      WHERE NOT list_contains(t.path, l.job)
+    )
+    SELECT job, kind, kind IN ('Folder', 'OrganizationFolder', 'WorkflowMultiBranchProject') AS is_folder,
+           job IN (SELECT job FROM landed) AS is_landed, MIN(level) AS level FROM tree GROUP BY job, kind"""
+
+
+@query("job_tree", DEEP_TREE.replace("NOT IN ({roots})", "IN (SELECT area FROM c) OR job LIKE 'Solo/%'"), "job_tree_nodes")
+def job_tree(d: Domain):
+    """Areas are named as roots, as deep folders list them again."""
+    roots = d.base("customer").select(F.concat(F.lit("area"), (F.col("c_custkey") % 5).cast("string")).alias("job"))
+    solo = d.base("customer").select(F.concat(F.lit("Solo/"), "c_name"))
+    return landed.job_tree(d.job_tree_nodes, roots.union(solo))
+
+
+ORACLES["job_tree"] = ORACLES["job_tree"][ORACLES["job_tree"].index("WITH RECURSIVE") :]

@@ -194,6 +194,22 @@ from $customer""",
 }
 
 
+# A job tree four folders deep, landed in parts: each row lists one child of its folder.
+# Some folders were never landed and some list their own root again.
+_AREA = "concat('area', cast(c_custkey % 5 as string))"
+_TEAM = f"concat({_AREA}, '/t', cast(c_custkey % 4 as string))"
+_GROUP = f"concat({_TEAM}, '/g', cast(c_custkey % 3 as string))"
+_FOLDER = '{"_class":"com.cloudbees.hudson.plugins.folder.Folder","fullName":"'
+VIEWS["job_tree_nodes"] = f"""
+select distinct concat('{_FOLDER}', {_AREA}, '","jobs":[{{"_class":"jenkins.branch.OrganizationFolder","name":"t', cast(c_custkey % 4 as string), '"}}]}}') node from $customer
+union all select distinct concat('{_FOLDER}', {_TEAM}, '","jobs":[{{"_class":"com.cloudbees.hudson.plugins.folder.Folder","name":"g', cast(c_custkey % 3 as string), '"}},',
+       '{{"_class":"com.cloudbees.hudson.plugins.folder.Folder","fullName":"', {_TEAM}, '/lost"}}]}}') from $customer
+union all select concat('{_FOLDER}', {_GROUP}, '","jobs":[{{"_class":"hudson.model.FreeStyleProject","name":"', c_name, '"}}]}}') from $customer
+union all select distinct concat('{_FOLDER}', {_GROUP}, '","jobs":[{{"_class":"org.x.WorkflowMultiBranchProject","fullName":"', {_GROUP}, '/deep"}}]}}') from $customer where c_custkey % 7 = 0
+union all select concat('{{"_class":"org.x.WorkflowMultiBranchProject","fullName":"', {_GROUP}, '/deep","jobs":[{{"_class":"org.x.WorkflowJob","name":"b', cast(c_custkey as string), '"}},',
+       '{{"_class":"com.cloudbees.hudson.plugins.folder.Folder","fullName":"', {_AREA}, '"}}]}}') from $customer where c_custkey % 7 = 0
+union all select concat('{{"_class":"hudson.model.FreeStyleProject","fullName":"Solo/', c_name, '"}}') from $customer where c_custkey % 11 = 0"""
+
 
 def _shared_key(name: str) -> str:
     number = f"cast(substr({name}, 2) as bigint)"

@@ -92,10 +92,15 @@ def latest_build(builds: DataFrame) -> DataFrame:
 
 def above_high_water_mark(fetched: DataFrame, stored: DataFrame) -> DataFrame:
     """Fetched builds numbered above the latest stored build of their server and job."""
-    marks = latest_build(stored)
+    return above_marks(fetched, latest_build(stored))
+
+
+def above_marks(fetched: DataFrame, marks: DataFrame) -> DataFrame:
+    """Fetched builds numbered above the mark (server, job, latest) of their job; a job
+    without a mark is new."""
     same = fetched["server"].eqNullSafe(marks["server"]) & fetched["job"].eqNullSafe(marks["job"])
     return (
-        fetched.join(marks, same, "left")
+        fetched.join(F.broadcast(marks) if is_small(marks) else marks, same, "left")
         .where(F.col("build_number") > F.coalesce(F.col("latest"), F.lit(-1)))
         .select(*[fetched[c] for c in fetched.columns])
     )

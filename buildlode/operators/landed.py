@@ -78,17 +78,29 @@ def numbered(facts: DataFrame) -> DataFrame:
     return facts.where(F.col("build_number").isNotNull())
 
 
+def _commits(items: str) -> str:
+    """Commits of a build, each once. Mentions are sorted by id and place; where the id
+    changes a run ends and the next begins, so the work is that of the sort."""
+    mentions = f"transform({items}, (x, i) -> struct(x.commitId AS id, i AS at, x.date AS date))"
+    ordered = f"array_sort(filter({mentions}, x -> x.id IS NOT NULL))"
+    # Neighbours side by side; the list is named once per use, never inside a lambda.
+    beside = "(x, y) -> struct(x AS a, y AS b)"
+    after = f"filter(zip_with({ordered}, slice({ordered}, 2, greatest(size({items}), 1)), {beside}), z -> z.b IS NULL OR z.a.id <> z.b.id)"
+    before = f"filter(zip_with({ordered}, concat(slice(transform({ordered}, x -> CAST(NULL AS STRING)), 1, 1), transform({ordered}, x -> x.id)), {beside}), z -> z.a IS NOT NULL AND (z.b IS NULL OR z.a.id <> z.b))"
+    runs = f"zip_with({before}, {after}, (x, y) -> struct(x AS first, y AS last))"
+    placed = f"array_sort(transform({runs}, r -> struct(r.first.a.at AS at, r.last.a.id AS id, r.last.a.date AS date)))"
+    return f"transform({placed}, c -> struct(c.id AS commitId, c.date AS date))"
+
+
 def explode_commits(facts: DataFrame, last_only: bool = False) -> DataFrame:
     """One row per commit of a numbered build; without commits one row of NULLs.
 
-    A commit listed several times is one row with its last date. ``last_only`` keeps only the last commit listed. A build without number gets no
-    array, and its row is dropped after the explode: a filter before it would be
-    pushed down and parse every payload twice.
+    A commit listed several times is one row with its last date, at the place of its first
+    mention. ``last_only`` keeps only the last of them. A build without number gets no
+    array, and its row is dropped after the explode: a filter before it would be pushed
+    down and parse every payload twice.
     """
-    listed = F.filter("build.changeSet.items", lambda i: i["commitId"].isNotNull())
-    # A repeated id is one commit, at the place of its first mention, with its last date.
-    last = lambda i: F.element_at(F.filter(listed, lambda j: j["commitId"] == i["commitId"]), F.lit(-1))
-    commits = F.array_distinct(F.transform(listed, last))
+    commits = F.expr(_commits("build.changeSet.items"))
     if last_only:
         commits = F.slice(commits, F.greatest(F.size(commits), F.lit(1)), F.lit(1))
     none = F.array(F.struct(F.lit(None).cast("string").alias("commitId"), F.lit(None).cast("string").alias("date")))
@@ -172,5 +184,41 @@ def flatten_job_tree(nodes: DataFrame) -> DataFrame:
     return rows.select("j.job", S.class_tail(F.col("j.kind")).alias("kind"), S.is_folder(F.col("j.kind")).alias("is_folder"))
 
 
+def job_tree(nodes: DataFrame, roots: DataFrame | None = None, max_level: int = 100) -> DataFrame:
+    """The whole tree below the roots: job, kind, is_folder, is_landed, level.
+
+    Every landed node is followed from folder to folder until no folder is left. A folder
+    whose node was not landed comes out with ``is_landed`` false, to be fetched. Without
+    ``roots`` (column ``job``) the tree starts from landed nodes that no other node lists.
+    A node may be landed in parts; a folder that lists one of its own ancestors is not
+    followed there again. ``level`` is the shortest way.
+    """
+    parsed = nodes.select(F.from_json("node", schemas.JOB_NODE).alias("node"))
+    known = parsed.select(F.col("node.fullName").alias("job"), F.col("node._class").alias("kind")).where("job IS NOT NULL").distinct()
+    folders = parsed.where(S.is_folder(F.col("node._class"))).select(F.col("node.fullName").alias("parent"), F.explode("node.jobs").alias("j"))
+    listed = folders.select(
+        "parent", F.coalesce("j.fullName", F.concat_ws("/", "parent", "j.name")).alias("job"), F.col("j._class").alias("kind")
+    ).distinct()
+    start = known.join(listed.select("job"), "job", "left_anti") if roots is None else known.join(roots.select("job"), "job", "left_semi")
+    found = nodes.sparkSession.sql(
+        f"""WITH RECURSIVE tree(job, kind, level, path) MAX RECURSION LEVEL {max_level} AS (
+              SELECT job, kind, 0, array(job) FROM {{start}}
+              UNION ALL
+              SELECT l.job, l.kind, t.level + 1, array_append(t.path, l.job)
+              FROM tree t JOIN {{listed}} l ON l.parent = t.job WHERE NOT array_contains(t.path, l.job))
+            SELECT job, kind, min(level) AS level FROM tree GROUP BY job, kind""",
+        start=start,
+        listed=listed,
+    )
+    landed = known.select("job", F.lit(True).alias("landed")).distinct()
+    return found.join(landed, "job", "left").select(
+        "job",
+        S.class_tail(F.col("kind")).alias("kind"),
+        S.is_folder(F.col("kind")).alias("is_folder"),
+        F.coalesce("landed", F.lit(False)).alias("is_landed"),
+        "level",
+    )
+
+
 def exclude_folders(jobs: DataFrame, class_column: str = "kind") -> DataFrame:
     return jobs.where(~S.is_folder(F.col(class_column)))

@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 from .. import schemas
 from ..sources import staging
 from ..sources.ledger import LedgerTables, LoadLedger
+from ..sources.marks import MarkTable
 
 
 def run_cycle(
@@ -37,7 +38,9 @@ def run_cycle(
     staged = {table: staging.staged_csv_read(spark, paths, table).drop("staged_file") for table, paths in files.items()}
     for table in tables:
         if files[table] or not ledger.loads(table):
-            staging.append_load(staged[table], f"{root}/{table}", table, ledger)
+            load_id = staging.append_load(staged[table], f"{root}/{table}", table, ledger)
+            if table == "jenkins_builds":
+                MarkTable(spark, f"{root}/_marks").merge(staged[table], load_id)
     run = ledger.begin()
     out = models(LedgerTables(ledger, run))
     for table in tables:

@@ -21,6 +21,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    # A recursive query over landed data may find more than the default million rows.
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     return spark
 
 
