@@ -9,16 +9,16 @@ from pyspark.ml.feature import StringIndexerModel
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..domain import Domain
+from ..domain import Domain, cte
 from ..operators.balance import TRAIN_SHARE
 from ..operators import features, issues, quality, rules
 from ..plans import jobs, pipelines, training
 from ..session import cut_lineage, shared_dir
 from ..sources.sinks import CLASSIFIERS, LABEL_INDEXER, Artefacts, ParquetResults, classifier_name, selector_name
-from .learning import CATEGORY_INDEX, IMPUTED, KEYS, ML1_VIEWS, SCALED, quality_table, rounded
+from .learning import CATEGORY_INDEX, IMPUTED, KEYS, ML1_VIEWS, SCALED, TAIL, quality_table, rounded
 from .registry import ORACLES, query
 from .relational import RULE_EVENTS
-from .sqltext import CLOSED, OPEN, TOTALS_SQL, columns
+from .sqltext import CLOSED, OPEN, TOTALS_SQL, columns, strings
 
 
 class _DomainTables:
@@ -177,7 +177,14 @@ ORACLES["dense_tests"] = (
 )
 
 
-@query("chi2_select")
+# The statistics unrounded, then ranked as the operator does: p-value and statistic to
+# twelve decimals, slots in the order of the features.
+_SELECT_SQL = f"""SELECT CAST(rank AS INT) AS rank, feature, ROUND(statistic, 6) AS statistic, dof, ROUND(p, 8) AS p_value
+    FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY ROUND(p, 12), ROUND(statistic, 12) DESC, list_position([{strings(DENSE_NAMES)}], feature)) AS rank
+          FROM (SELECT *, {TAIL} AS p FROM (__TESTS__) s) t) r WHERE rank <= 10"""
+
+
+@query("chi2_select", _SELECT_SQL, ML1_VIEWS)
 def chi2_select(d: Domain):
     """The ten quality features that tell most about the outcome."""
     s = study(d)
@@ -186,7 +193,12 @@ def chi2_select(d: Domain):
     samples = cut_lineage(fitted.model.transform(table).select("label", "features"), "samples")
     tests = training.chi2.top10_chi2(training.dense_tests(samples), [])
     names = F.array(*[F.lit(n) for n in fitted.names])
-    return tests.select("rank", names[F.col("feature")].alias("feature"), "statistic", "dof", "p_value")
+    named = tests.select("rank", names[F.col("feature")].alias("feature"), "statistic", "dof", "p_value")
+    return rounded(rounded(named, ["statistic"]), ["p_value"], 8)
+
+
+_TESTS = ORACLES["dense_tests"][len(cte(*ML1_VIEWS.split())) :].replace("ROUND(SUM((o - e) * (o - e) / e), 6)", "SUM((o - e) * (o - e) / e)")
+ORACLES["chi2_select"] = ORACLES["chi2_select"].replace("__TESTS__", _TESTS)
 
 
 # Jobs are checked on what is exact: their models, how many rows each saw by the md5

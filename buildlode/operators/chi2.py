@@ -63,7 +63,7 @@ def chi_square(cells: DataFrame, totals: DataFrame, keys: list[str]) -> DataFram
 
 
 def with_p_value(tests: DataFrame) -> DataFrame:
-    return tests.withColumn("p_value", chi2_p_value(F.col("statistic"), F.col("dof")))
+    return tests.withColumn("p_value", chi2_p_value("statistic", "dof"))
 
 
 def value_cells(samples: DataFrame, features: list[str], keys: list[str] = ()) -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from buildlode import schemas
 from buildlode.catalog.studies import study
 from buildlode.domain import Domain
-from buildlode.functions.stats import chi2_tail
 from buildlode.operators import balance, chi2, features, metrics, trees
 from buildlode.plans import jobs, training
 from buildlode.session import cut_lineage
@@ -115,12 +114,40 @@ def test_areas_of_crowded_scores(spark):
     assert got.area_under_PR == pytest.approx(area.evaluate(df, {area.metricName: "areaUnderPR"}), rel=1e-9)
 
 
-def test_p_values_do_not_hang_on_their_neighbours():
-    statistic, dof = np.array([3.2, 40.0, 900.0, 0.5]), np.array([3.0, 12.0, 700.0, 9.0])
-    together = chi2_tail(statistic, dof)
-    alone = [chi2_tail(statistic[i : i + 1], dof[i : i + 1])[0] for i in range(4)]
-    assert together.tolist() == alone
-
+def exact_tail(statistic, dof):
+    """The same tail in 60 digits: the finite sum, and 1 - P for one degree of freedom."""
+    from decimal import Decimal, localcontext
+
+    with localcontext() as c:
+        c.prec = 60
+        x, pi = Decimal(statistic) / 2, Decimal("3.14159265358979323846264338327950288419716939937510582097494")
+        odd, total, n = dof % 2, Decimal(0), 0
+        if odd:
+            term = low = 2 * (-x).exp() * (x / pi).sqrt()
+            while term > low * Decimal(10) ** -58:
+                n += 1
+                term *= x / (n + Decimal("0.5"))
+                low += term
+            total = 1 - low
+        exponent = Decimal(odd) / 2
+        term = (-x).exp() * (2 * (x / pi).sqrt() if odd else 1)
+        for i in range((dof - odd) // 2):
+            if i:
+                term *= x / (i + exponent)
+            total += term
+        return float(total)
+
+
+def test_p_values_against_sixty_digits(spark):
+    from buildlode.functions.stats import chi2_p_value
+
+    cases = [(s, k) for s in (1e-9, 0.02, 0.7, 2.9, 3.1, 9.5, 42.0, 88.0) for k in (1, 2, 3, 4, 9, 30, 77)]
+    cases += [(900.0, 1000), (1500.0, 1501), (2000.0, 1200), (0.0, 3), (5.0, 0), (4000.0, 2), (None, 3)]
+    df = spark.createDataFrame(cases, "statistic double, dof int").withColumn("p", chi2_p_value("statistic", "dof"))
+    for r in df.collect():
+        want = 1.0 if not r.statistic or not r.dof else exact_tail(r.statistic, r.dof)
+        assert r.p == pytest.approx(want, rel=1e-10, abs=1e-300), r
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
 
 def test_no_failed_rows_means_no_rate(spark):
     df = spark.createDataFrame([(0.0, 1.0)], "label double, prediction double")
