@@ -98,6 +98,56 @@ def staged_csv_scan(d: Domain):
     return staging.staged_csv_scan(d.spark, root, "sonar_issues")
 
 
+# Every 13th effort is no number, every 7th debt is blank, every 17th date is no date.
+_EFFORT_BAD, _DEBT_BLANK, _DATE_BAD = "effort % 13 = 5", "debt % 7 = 3", "debt % 17 = 4"
+
+
+@query(
+    "staged_quarantine",
+    f"""SELECT issue_key, CASE WHEN {_EFFORT_BAD} OR {_DATE_BAD} THEN NULL ELSE effort END AS effort,
+               CASE WHEN {_DEBT_BLANK} OR {_EFFORT_BAD} OR {_DATE_BAD} THEN NULL ELSE debt END AS debt,
+               CASE WHEN {_EFFORT_BAD} AND {_DATE_BAD} THEN 'effort,update_date' WHEN {_EFFORT_BAD} THEN 'effort'
+                    WHEN {_DATE_BAD} THEN 'update_date' END AS problem
+        FROM sonar_issues""",
+    "sonar_issues",
+)
+def staged_quarantine(d: Domain):
+    """Rows with bad cells set aside, the others read with their NULL integers."""
+    root, rejects = shared_dir(d.spark, "staged"), shared_dir(d.spark, "rejects")
+    spoiled = d.sonar_issues.withColumns(
+        {
+            "update_date": F.expr(f"CASE WHEN {_DATE_BAD} THEN '31.12.' ELSE cast(update_date AS string) END"),
+            "debt": F.expr(f"CASE WHEN {_DEBT_BLANK} THEN ' ' ELSE cast(debt AS string) END"),
+            "effort": F.expr(f"CASE WHEN {_EFFORT_BAD} THEN 'n/a' ELSE cast(effort AS string) END"),
+        }
+    )
+    staging.staged_table_write(spoiled, root, "sonar_issues", F.col("organization"), "all")
+    good = staging.staged_csv_split(d.spark, staging.staged_files(d.spark, root, "sonar_issues"), "sonar_issues", rejects)
+    bad = d.spark.read.parquet(f"{rejects}/sonar_issues")
+    aside = bad.select(F.get_json_object("record", "$.issue_key").alias("issue_key"), F.lit(None).cast("int").alias("effort"), F.lit(None).cast("int").alias("debt"), "problem")
+    return good.select("issue_key", "effort", "debt", F.lit(None).cast("string").alias("problem")).unionByName(aside)
+
+
+@query(
+    "staged_reject_counts",
+    f"""SELECT organization AS scope_folder, CASE WHEN {_EFFORT_BAD} THEN 'effort' ELSE '' END AS problem, COUNT(*) AS n
+        FROM sonar_issues GROUP BY ALL""",
+    "sonar_issues",
+)
+def staged_reject_counts(d: Domain):
+    """Counts of both sides per owner, read twice: a repeat adds no rejected row."""
+    root, rejects = shared_dir(d.spark, "staged"), shared_dir(d.spark, "rejects")
+    spoiled = d.sonar_issues.withColumn("effort", F.expr(f"CASE WHEN {_EFFORT_BAD} THEN 'n/a' ELSE cast(effort AS string) END"))
+    staging.staged_table_write(spoiled, root, "sonar_issues", F.col("organization"), "all")
+    files = staging.staged_files(d.spark, root, "sonar_issues")
+    for _ in range(2):
+        good = staging.staged_csv_split(d.spark, files, "sonar_issues", rejects)
+    kept = good.groupBy("staged_file").agg(F.lit("").alias("problem"), F.count("*").alias("n"))
+    owner = F.regexp_extract("staged_file", "/sonarcloud/([^/]+)/issues/", 1).alias("scope_folder")
+    both = kept.unionByName(staging.reject_counts(d.spark, rejects, "sonar_issues"))
+    return both.groupBy(owner, "problem").agg(F.sum("n").alias("n"))
+
+
 @query(
     "staged_layout_scan",
     """SELECT 'sonar_analyses' AS table_name, organization AS scope_folder, COUNT(*) AS row_count

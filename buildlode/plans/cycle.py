@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from .. import schemas
 from ..sources import staging
@@ -19,6 +19,7 @@ def run_cycle(
     archive_root: str,
     models: Callable[[LedgerTables], object],
     tables: list[str] = schemas.STAMPED_TABLES,
+    rejects: str | None = None,
 ):
     """Load staged files, call ``models`` on the stored tables, archive the files.
 
@@ -29,13 +30,16 @@ def run_cycle(
     a cycle that fails is read again as a whole. Rows are loaded once all the same, since
     a load leaves out what is stored.
 
+    A row that cannot be read ends the cycle before anything is stored; with ``rejects``, a
+    folder, such rows are set aside there instead (``staging.staged_csv_split``).
+
     Returns what ``models`` returns, for example
     ``lambda t: jobs.run_all(jobs.Study(spark, t, artefacts, results))``.
     """
     root, archive_root = root.rstrip("/"), archive_root.rstrip("/")
     ledger = LoadLedger(spark, root)
     files = {table: staging.staged_files(spark, staged_root, table) for table in tables}
-    staged = {table: staging.staged_csv_read(spark, paths, table).drop("staged_file") for table, paths in files.items()}
+    staged = {table: _read(spark, paths, table, rejects) for table, paths in files.items()}
     for table in tables:
         if files[table] or not ledger.loads(table):
             load_id = staging.append_load(staged[table], f"{root}/{table}", table, ledger)
@@ -49,3 +53,9 @@ def run_cycle(
             staging.archive_staged(spark, files[table])
     ledger.finish(run)
     return out
+
+
+def _read(spark: SparkSession, paths: list[str], table: str, rejects: str | None) -> DataFrame:
+    if rejects is None:
+        return staging.staged_csv_read(spark, paths, table).drop("staged_file")
+    return staging.staged_csv_split(spark, paths, table, rejects).drop("staged_file")

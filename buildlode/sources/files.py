@@ -43,3 +43,28 @@ def remove(spark: SparkSession, path: str) -> None:
 def make_folder(spark: SparkSession, path: str) -> None:
     target, fs = _file_system(spark, path)
     fs.mkdirs(target)
+
+
+def data_files(spark: SparkSession, path: str) -> list[str]:
+    """The path itself if it is a file, else the files below it that Spark reads; none is empty."""
+    target, fs = _file_system(spark, path)
+    out, open_folders = [], [target]
+    while open_folders:
+        for status in fs.listStatus(open_folders.pop()):
+            name = status.getPath().getName()
+            if status.isDirectory() and not name.startswith(("_", ".")):
+                open_folders.append(status.getPath())
+            elif status.isFile() and status.getLen() and (status.getPath() == target or not name.startswith(("_", "."))):
+                out.append(status.getPath().toString())
+    return sorted(out)
+
+
+def first_line(spark: SparkSession, path: str) -> str:
+    """First line of a text file; no more than its first block is read."""
+    jvm = spark.sparkContext._jvm
+    target, fs = _file_system(spark, path)
+    raw = fs.open(target)
+    try:
+        return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(raw, "UTF-8")).readLine() or ""
+    finally:
+        raw.close()

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import csv
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from urllib.parse import unquote
 
@@ -22,8 +23,8 @@ from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions.scalars import slug
-from ..session import intermediates
-from .files import exists, listed, move, remove
+from ..session import cut_lineage, intermediates
+from .files import data_files, exists, first_line, listed, move, remove
 from .ledger import LoadLedger, new_id
 from .store import RowStore
 
@@ -48,49 +49,84 @@ def staged_path(root: str, table: str, scope: str = "*", all_files: bool = False
 
 
 def _headers(spark: SparkSession, paths: str | list[str]) -> dict[str, list[str]]:
-    """Files by their header line. Files are counted by the crawlers, not by the rows."""
-    lines = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.struct(F.monotonically_increasing_id().alias("place"), "value").alias("line"),
-    )
-    first = lines.where("block = 0").groupBy("file").agg(F.min("line").alias("line"))
+    """Files by their header line, taken from the first bytes of each file. Files are
+    counted by the crawlers, not by the rows; several are opened at a time."""
+    patterns = [paths] if isinstance(paths, str) else paths
+    files = sorted({f for p in patterns for place in listed(spark, p) for f in data_files(spark, place)})
+    with ThreadPoolExecutor(16) as pool:
+        lines = list(pool.map(lambda f: first_line(spark, f), files))
     found: dict[str, list[str]] = {}
-    for r in first.groupBy(F.rtrim("line.value").alias("header")).agg(F.sort_array(F.collect_list("file")).alias("files")).collect():
-        found.setdefault(r.header, []).extend(map(unquote, r.files))
+    for file, line in zip(files, lines, strict=True):
+        found.setdefault(line.rstrip(), []).append(file)
     return found
 
 
-def staged_csv_read(spark: SparkSession, paths: str | list[str], table: str) -> DataFrame:
-    """Rows of staged files with the declared columns and types, and their file.
+#: A row's own text, where it does not fit the header.
+CORRUPT = "_corrupt_record"
 
-    Columns are taken by name: a file may have them in any order and have others. A
-    missing column or a cell that its type cannot hold ends the read.
-    """
+
+def _typed(spark: SparkSession, paths: str | list[str], table: str, lenient: bool) -> DataFrame:
+    """Declared columns and ``staged_file``; if lenient, ``problem`` and ``record`` too."""
     schema = schemas.TABLES[table]
     parts = []
     for header, files in sorted(_headers(spark, paths).items()) if paths else ():
-        names = next(csv.reader([header.lstrip("\ufeff")]))
+        names = next(csv.reader([header.lstrip("\ufeff")]), [])
         missing = set(schema.names) - set(names)
         if missing:
             raise ValueError(f"{files[0]} lacks the columns {sorted(missing)} of {table}")
-        texts = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        rows = spark.read.schema(texts).options(**CSV_OPTIONS).csv(files)
-        parts.append(
-            rows.select(
-                *[
-                    F.col(f"`{f.name}`").cast(f.dataType) if f.dataType == T.StringType()
-                    else F.nullif(F.trim(F.col(f"`{f.name}`")), F.lit("")).cast(f.dataType).alias(f.name)
-                    for f in schema
-                ],
-                F.col("_metadata.file_path").alias("staged_file"),
-            )
-        )
+        texts = [T.StructField(n, T.StringType()) for n in names]
+        options = {**CSV_OPTIONS, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT} if lenient else CSV_OPTIONS
+        whole = [T.StructField(CORRUPT, T.StringType())] if lenient else []
+        rows = spark.read.schema(T.StructType([*texts, *whole])).options(**options).csv(files)
+        cells = {f.name: F.col(f"`{f.name}`") for f in schema}
+        filled = {f.name: c if f.dataType == T.StringType() else F.nullif(F.trim(c), F.lit("")) for f, c in zip(schema, cells.values())}
+        cast = {f.name: filled[f.name].try_cast(f.dataType) if lenient else filled[f.name].cast(f.dataType) for f in schema}
+        more = []
+        if lenient:
+            bad = [F.when(filled[n].isNotNull() & cast[n].isNull(), F.lit(n)) for n in schema.names]
+            unfit = F.when(F.col(CORRUPT).isNotNull(), F.lit("cells"))
+            record = F.coalesce(F.col(CORRUPT), F.to_json(F.struct(*cells.values())))
+            more = [F.nullif(F.concat_ws(",", unfit, *bad), F.lit("")).alias("problem"), record.alias("record")]
+        parts.append(rows.select(*[c.alias(n) for n, c in cast.items()], F.col("_metadata.file_path").alias("staged_file"), *more))
     if not parts:
-        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("staged_file", T.StringType())]))
+        names = ["staged_file", "problem", "record"] if lenient else ["staged_file"]
+        return spark.createDataFrame([], T.StructType([*schema.fields, *(T.StructField(n, T.StringType()) for n in names)]))
     return reduce(DataFrame.unionByName, parts)
 
 
+def staged_csv_read(spark: SparkSession, paths: str | list[str], table: str) -> DataFrame:
+    """Rows of staged files with the declared columns and types, and their file.
+
+    Columns are taken by name: a file may have them in any order and have others. A
+    missing column or a cell that its type cannot hold ends the read.
+    """
+    return _typed(spark, paths, table, lenient=False)
+
+
+def staged_csv_split(spark: SparkSession, paths: str | list[str], table: str, rejects: str) -> DataFrame:
+    """The readable rows; the others go to the table ``rejects`` and do not end the load.
+
+    A rejected row is stored with its file, its problem (the columns whose cell its type
+    cannot hold; ``cells`` if it has too few or too many) and its record as text. Files
+    that lack a declared column still end the read. Blank cells are NULL, not rejected.
+    The files are parsed once: both sides are written, and reading again the files that
+    were read replaces their rejected rows.
+    """
+    read = cut_lineage(_typed(spark, paths, table, lenient=True), "staged-rows")
+    is_bad = F.col("problem").isNotNull()
+    bad = read.where(is_bad).select("staged_file", "problem", "record").withColumn("file_id", F.md5("staged_file"))
+    bad.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file_id").parquet(f"{rejects}/{table}")
+    return read.where(~is_bad).drop("problem", "record")
+
+
+def reject_counts(spark: SparkSession, rejects: str, table: str) -> DataFrame:
+    """Rejected rows per file and problem."""
+    path = f"{rejects}/{table}"
+    if not exists(spark, f"{path}/file_id=*"):
+        return spark.createDataFrame([], "staged_file string, problem string, n bigint")
+    return spark.read.parquet(path).groupBy("staged_file", "problem").agg(F.count("*").alias("n"))
+
+
 def _staged(spark: SparkSession, root: str, table: str, all_files: bool) -> DataFrame:
     path = staged_path(root, table, all_files=all_files)
     return staged_csv_read(spark, path if exists(spark, path) else [], table)
