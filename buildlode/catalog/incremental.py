@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..domain import Domain
-from ..operators import delta, quality
+from ..operators import delta, issues, quality
 from ..functions.scalars import server_host
 from ..plans import cycle, jobs
-from ..session import shared_dir
+from ..session import cut_lineage, shared_dir
 from ..sources import staging
+from ..sources.balances import BalanceStore
 from ..sources.ledger import LedgerTables, LoadLedger, new_id
 from ..sources.marks import MarkTable
 from ..sources.sinks import Artefacts, ParquetResults
@@ -18,7 +19,7 @@ from ..sources.store import RowStore
 from ..streaming import ingest
 from .registry import query
 from .relational import BUILD_FEATURES, MEASURES, ML1_JOIN
-from .sqltext import CLOSED, FLOWS_SQL, OPEN, columns
+from .sqltext import CLOSED, FLOWS_SQL, OPEN, TOTALS_SQL, columns
 from .tables import _stage_by_org
 
 FAILED = "CASE WHEN b.result = 'SUCCESS' THEN 'SUCCESS' ELSE 'FAIL' END AS result"
@@ -230,6 +231,32 @@ def stream_issue_flows(d: Domain):
     return ingest.streamed_flows(d.spark, path)
 
 
+# Flows of which some have no date.
+_DATED = f"""SELECT project, analysis_key, CASE WHEN cast(substr(analysis_key, 2) AS bigint) % 41 = 0 THEN NULL ELSE date END AS date,
+    {columns(schemas.FLOW_COUNTS)} FROM ({FLOWS_SQL}) g"""
+
+
+@query("running_totals_by_steps", TOTALS_SQL.replace(FLOWS_SQL, _DATED), "sonar_issues")
+def running_totals_by_steps(d: Domain):
+    """Totals after four steps with late rows, dates that are missing and corrected dates.
+
+    The first step takes a third of the flows and another third with wrong dates, the
+    second the last third, the third takes the wrong rows back; the fourth is a repeat.
+    """
+    flows = issues.issue_flow_counts(d.sonar_issues)
+    number = F.substring("analysis_key", 2, 20).cast("bigint")
+    flows = cut_lineage(flows.withColumn("date", F.when(number % 41 != 0, F.col("date"))), "flows")
+    part = lambda n: flows.where(number % 3 == n)
+    wrong = part(2).withColumn("date", F.when(number % 5 != 0, F.expr("date + INTERVAL '40' DAY")))
+    store = BalanceStore(d.spark, shared_dir(d.spark, "balances"))
+    store.step(part(0).unionAll(wrong), 0)
+    store.step(part(1), 1)
+    signed = lambda rows, sign: rows.withColumn("sign", F.lit(sign))
+    for _ in range(2):
+        store.step(signed(wrong, -1).unionAll(signed(part(2), 1)), 2)
+    return store.running_issue_totals(flows)
+
+
 # Rows that a cycle finds staged; the others arrive while its models run.
 EARLY = {
     "sonar_analyses": "project NOT IN ('p7', 'p8')",

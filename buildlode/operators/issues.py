@@ -130,6 +130,11 @@ def _paired(fields: list[str]) -> str:
              named_struct('opened', i.opened, 'closed', r.closed, 'project', coalesce(i.project, r.project), {pair})))) END"""
 
 
+def net_flows(factor: str = "1") -> list[str]:
+    """Introduced less removed issues of a flow row, for each of the 24 totals."""
+    return [f"cast({factor} AS bigint) * ({i} - {r}) AS {c}" for i, r, c in zip(INTRODUCED, REMOVED, CURRENT)]
+
+
 def _net_flows() -> list[Column]:
     return [F.expr(f"sum({i} - {r}) AS {c}") for i, r, c in zip(INTRODUCED, REMOVED, CURRENT)]
 
@@ -167,8 +172,13 @@ def _null_safe(names: list[str], prefix: str) -> Column:
     return reduce(and_, [F.col(n).eqNullSafe(F.col(prefix + n)) for n in names])
 
 
-def running_issue_totals(flows: DataFrame, keys: list[str] = ()) -> DataFrame:
-    """Flow rows with the 24 current totals; rows of one date share a total."""
+def with_totals(flows: DataFrame, totals: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """Flow rows with the totals (keys, project, date, totals) of their date."""
     group = [*keys, "project", "date"]
-    totals = running_totals_by_date(flows, keys).withColumnsRenamed({k: f"total_{k}" for k in group})
+    totals = totals.withColumnsRenamed({k: f"total_{k}" for k in group})
     return flows.join(totals, _null_safe(group, "total_")).drop(*[f"total_{k}" for k in group])
+
+
+def running_issue_totals(flows: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """Flow rows with the 24 current totals; rows of one date share a total."""
+    return with_totals(flows, running_totals_by_date(flows, keys), keys)
