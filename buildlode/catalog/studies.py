@@ -14,7 +14,10 @@ from ..operators.balance import TRAIN_SHARE
 from ..operators import features, issues, quality, rules
 from ..plans import jobs, pipelines, training
 from ..session import cut_lineage, shared_dir
+from ..sources import staging
+from ..sources.ledger import LoadLedger
 from ..sources.sinks import CLASSIFIERS, LABEL_INDEXER, Artefacts, ParquetResults, classifier_name, selector_name
+from ..streaming import scoring
 from .learning import CATEGORY_INDEX, IMPUTED, KEYS, ML1_VIEWS, SCALED, TAIL, quality_table, rounded
 from .registry import ORACLES, query
 from .relational import RULE_EVENTS
@@ -290,6 +293,37 @@ def run_all(d: Domain):
     return _checked(s.results.table("model_performance"))
 
 
+_NEW_ROWS = JOB_ROWS[1] + " WHERE b.processed IS NOT DISTINCT FROM FALSE"
+
+
+@query(
+    "stream_scores",
+    f"SELECT model, (SELECT COUNT(*) FROM ({_NEW_ROWS}) r) AS scored, 0 AS differing FROM ({_models(1)}) m",
+    JOB_VIEWS,
+)
+def stream_scores(d: Domain):
+    """Streamed scores of new builds against the scores of the same builds in one batch.
+
+    Two loads of unprocessed builds arrive one after the other; a third run finds no load
+    and the last batch is repeated. ``differing`` counts rows on one side only.
+    """
+    s, spark = study(d), d.spark
+    jobs.job_ml1(s)
+    root, path, state = (shared_dir(spark, n) for n in ("tables", "scores", "state"))
+    ledger = LoadLedger(spark, root)
+    new = d.jenkins_builds.where(~F.col("processed"))
+    for part in (0, 1, None):
+        if part is not None:
+            load = staging.append_load(new.where(F.col("build_number") % 2 == part), f"{root}/jenkins_builds", "jenkins_builds", ledger)
+        scoring.stream_scores(ledger, s, path, state).awaitTermination()
+    scoring.score_loads(ledger, s, [load], path, 1)
+    streamed = cut_lineage(spark.read.parquet(path).drop("batch"), "streamed")
+    whole = cut_lineage(jobs.quality_scores(s, new).select(*streamed.columns), "whole")
+    apart = streamed.exceptAll(whole).unionAll(whole.exceptAll(streamed)).groupBy("model").agg(F.count("*").alias("n"))
+    counts = streamed.groupBy("model").agg(F.count("*").alias("scored"))
+    return counts.join(apart, "model", "left").select("model", "scored", F.coalesce("n", F.lit(0)).cast("int").alias("differing"))
+
+
 # The reports themselves, with every metric and importance: no SQL trains models.
 @query("job_ml1_report")
 def job_ml1_report(d: Domain):

@@ -67,6 +67,20 @@ def quality_rows(study: Study, mode: str) -> DataFrame:
     return cast_double(rows, schemas.QUALITY_NUMERICS)
 
 
+def quality_scores(study: Study, builds: DataFrame) -> DataFrame:
+    """Scores of the saved quality classifiers for the given builds of the study."""
+    joined = builds_x_measures(
+        label_builds(by_batch(builds, study.tables.table("source"), "jenkins_builds")),
+        drop_sparse_measures(study.by_batch("sonar_measures")),
+        study.by_batch("sonar_analyses"),
+        on=BATCH,
+    )
+    rows = joined.select(_row_key(), "result", *schemas.QUALITY_NUMERICS, *schemas.MEASURE_CATEGORIES)
+    model = study.artefacts.load(pipeline_name(1), pipelines.PipelineModel)
+    samples = model.transform(cast_double(rows, schemas.QUALITY_NUMERICS)).select("row_key", "label", "features")
+    return training.score_rows(samples, 1, study.artefacts)
+
+
 def issue_flow_rows(study: Study, mode: str) -> DataFrame:
     """Builds with the issue flow of their revision, over all batches.
 

@@ -119,7 +119,7 @@ def score_all(models: dict, samples: DataFrame) -> DataFrame:
                 vector_to_array(columns["probability"])[1].alias("score"),
             )
         )
-    keep = [c for c in ("is_train", "weight", "label") if c in samples.columns]
+    keep = [c for c in ("row_key", "is_train", "weight", "label") if c in samples.columns]
     return scored.select(*keep, F.inline(F.array(*parts)))
 
 
@@ -182,8 +182,19 @@ def train(samples: DataFrame, names: list[str], study: int, artefacts: Artefacts
 
 def score_incremental(samples: DataFrame, study: int, artefacts: Artefacts, top10: bool = False) -> DataFrame:
     """Metrics of the saved classifiers on new rows, as ``model_performance`` rows."""
-    models = {
+    return performance_rows(evaluate(score_all(saved_models(study, artefacts, top10), samples), ["model"]))
+
+
+def saved_models(study: int, artefacts: Artefacts, top10: bool = False) -> dict:
+    return {
         classifier_name(kind, study, top10): artefacts.load(classifier_name(kind, study, top10), loader)
         for kind, loader in LOADERS.items()
     }
-    return performance_rows(evaluate(score_all(models, samples), ["model"]))
+
+
+def score_rows(samples: DataFrame, study: int, artefacts: Artefacts) -> DataFrame:
+    """(row_key, label, model, prediction, score) of all saved classifiers of a study, those
+    on all features and those on the ten best."""
+    selector = artefacts.load(selector_name(study), VectorSlicer)
+    every = score_all(saved_models(study, artefacts), samples)
+    return every.unionByName(score_all(saved_models(study, artefacts, True), selected(samples, selector)))
