@@ -69,3 +69,39 @@ def contaminated(text, items, window=10):
         for at in range(len(w) - n + 1 if n else 0):
             grams.setdefault(n, set()).add(tuple(w[at : at + n]))
     return any(tuple(doc[at : at + n]) in grams[n] for n in grams for at in range(len(doc) - n + 1))
+
+
+def shingles(text, size=5):
+    """Distinct word shingles; fewer words are one shingle, no words none."""
+    w = words(text)
+    return frozenset(b" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))) if w else frozenset()
+
+
+def similar_pairs(texts, least=0.8):
+    """Pairs of ids whose texts share so many of their distinct shingles."""
+    sets, ids = {i: shingles(t) for i, t in texts.items()}, sorted(texts)
+    out = set()
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            x, y = sets[a], sets[b]
+            if min(len(x), len(y)) < least * max(len(x), len(y)):
+                continue
+            shared = len(x & y)
+            if shared >= least * (len(x) + len(y) - shared):
+                out.add((a, b))
+    return out
+
+
+def joined(ids, pairs):
+    """{id: smallest id reachable over the pairs}."""
+    parent = {i: i for i in ids}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
