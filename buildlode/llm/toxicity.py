@@ -39,10 +39,13 @@ READINGS = {
 SIGNS = re.escape("".join(READINGS))
 #: Spans that may be obfuscated: signs inside or at the ends of words, digits with other
 #: signs, spaced single letters, repetition. Digits alone are a number.
-SPACED = rf"(?<![^\W_])(?:[a-z{SIGNS}][ ._-]+){{2,}}[a-z{SIGNS}](?![^\W_])"
-MIXED = rf"(?=[a-z]*[{SIGNS}])[{SIGNS}]*[a-z][a-z{SIGNS}]*"
-ALL_SIGNS = rf"(?<![^\W_{SIGNS}])(?=[{SIGNS}]*[0-9])(?![0-9]+(?![{SIGNS}]))[{SIGNS}]{{3,}}(?![^\W_])"
-SUSPECT = re.compile(rf"{SPACED}|{MIXED}|{ALL_SIGNS}|[a-z]*([a-z])\1\1[a-z]*")
+#: Each starts where a run of its characters starts and never gives back what it took, so a
+#: search reads a text a fixed number of times, whatever runs it holds.
+SPACED = rf"(?<![^\W_])(?:[a-z{SIGNS}][ ._-]++){{2,}}[a-z{SIGNS}](?![^\W_])"
+MIXED = rf"(?<![a-z{SIGNS}])(?=[a-z]*+[{SIGNS}])[{SIGNS}]*+[a-z][a-z{SIGNS}]*+"
+UNNUMBERED = re.escape("".join(c for c in READINGS if not c.isdigit()))
+ALL_SIGNS = rf"(?<![^\W_])(?<![{SIGNS}])(?=[{UNNUMBERED}]*+[0-9])(?![0-9]++(?![{SIGNS}]))[{SIGNS}]{{3,}}(?![^\W_])"
+SUSPECT = re.compile(rf"{SPACED}|{MIXED}|{ALL_SIGNS}|(?<![a-z])[a-z]*([a-z])\1\1[a-z]*+")
 #: Logarithms of the channel: a sign read as a letter, or left as it is inside a word or at
 #: an end; a separator between single letters as filler or as a gap; a repeated letter as
 #: one or as two.
@@ -107,7 +110,7 @@ def _options(span: str) -> tuple[list[list[tuple[str, float]]], list[str], list[
         c, j = span[i], i
         signs.append(c)
         at.append(i)
-        while j < len(span) and span[j] == c:
+        while j < len(span) and span[j] == c and c not in READINGS:
             j += 1
         if c in " ._-":
             while j < len(span) and span[j] in " ._-":
@@ -130,14 +133,23 @@ def _symbol(c: str) -> int:
     return ord(c) - 96 if "a" <= c <= "z" else 0
 
 
+def _unchained(text: tuple | None) -> str:
+    parts = []
+    while text is not None:
+        text, part = text
+        parts.append(part)
+    return "".join(reversed(parts))
+
+
 def decode(span: str, model: np.ndarray) -> str:
     """The most probable reading of a lower-cased span (Viterbi over two symbols).
 
     Signs before the word and after it may be left as they are: then nothing follows or
     precedes them but more of these. The phase of a state is 0 before the word, 1 in it,
-    2 after it. A repeated sign that is no digit is left for the price of one.
+    2 after it. A repeated sign that is no digit is left for the price of one. Readings are
+    chains that share their beginnings, so time and memory grow with the span.
     """
-    best: dict[tuple[int, int, int], tuple[float, str]] = {(0, 0, 0): (0.0, "")}
+    best: dict[tuple[int, int, int], tuple[float, tuple | None]] = {(0, 0, 0): (0.0, None)}
     first, last = _core(span)
 
     def better(reached, state, value, text):
@@ -145,14 +157,14 @@ def decode(span: str, model: np.ndarray) -> str:
             reached[state] = (value, text)
 
     for options, c, start in zip(*_options(span), strict=True):
-        reached: dict[tuple[int, int, int], tuple[float, str]] = {}
+        reached: dict[tuple[int, int, int], tuple[float, tuple | None]] = {}
         again = start > 0 and span[start - 1] == c and not c.isdigit()
         for (phase, a, b), (value, text) in best.items():
             if c in READINGS and (phase == 0 and start < first or phase and start > last):
                 if first == len(span) and phase == 0:
-                    better(reached, (0, 0, 0), value + NO_WORD, text + c)
+                    better(reached, (0, 0, 0), value + NO_WORD, (text, c))
                 elif first < len(span) and not (phase == 1 and start > last + 1 and (again or c not in CLOSING)):
-                    better(reached, (phase and 2, 0, 0), value + (0.0 if again else AS_IS), text + c)
+                    better(reached, (phase and 2, 0, 0), value + (0.0 if again else AS_IS), (text, c))
             for letters, cost in options if phase < 2 and not (first == len(span) and phase == 0 and text) else ():
                 x, y, v = a, b, value + cost
                 for letter in letters:
@@ -162,9 +174,11 @@ def decode(span: str, model: np.ndarray) -> str:
                         x, y = y, z
                 if y == 0:
                     x = 0  # the next word starts afresh
-                better(reached, (1, x, y), v, text + letters)
+                better(reached, (1, x, y), v, (text, letters) if letters else text)
         best = reached
-    return max((v + (model[a, b, 0] if b and phase < 2 else 0.0), t) for (phase, a, b), (v, t) in best.items())[1]
+    ends = [(v + (model[a, b, 0] if b and phase < 2 else 0.0), t) for (phase, a, b), (v, t) in best.items()]
+    highest = max(v for v, _ in ends)
+    return max(_unchained(t) for v, t in ends if v == highest)
 
 
 class Restorer:
