@@ -2,8 +2,8 @@
 
 Every text, its white space normalised, is cut into fixed-size blocks. Distinct blocks
 are sorted into integer names; then adjacent names are paired and the distinct pairs
-sorted into names again, until each document has one name. Two documents of as many
-blocks have the same name if and only if their texts are equal.
+sorted into names again, until each document has one name and leaves. Two documents of as
+many blocks have the same name if and only if their texts are equal.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACES, cut_lineage
-from .naming import proven_keys, sorted_names
+from .naming import key_sql, proven_keys, sorted_names
 
 BLOCK = 2048
 
@@ -27,42 +27,50 @@ def _blocks(text: str, block: int) -> str:
     return f"transform(sequence(0, {count} - 1), i -> substring({text}, i * {block} + 1, {block}))"
 
 
-def _block_table(docs: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+def _block_table(docs: DataFrame, block: int, bits: int) -> tuple[DataFrame, DataFrame]:
     """Documents with the keys of their blocks, and all distinct block keys."""
     text = docs.select(docs["doc_id"].cast("long").alias("doc_id"), normalised(docs["text"]).cast("binary").alias("b"))
-    seed, keys = proven_keys(text.select(F.explode(F.expr(_blocks("b", block))).alias("x")), "block-keys")
+    width, keys = proven_keys(text.select(F.explode(F.expr(_blocks("b", block))).alias("x")), "block-keys", bits)
     base = text.select(
         F.monotonically_increasing_id().alias("row"),
         "doc_id",
         F.sha2("b", 256).alias("text_sha256"),
-        F.expr(f"transform({_blocks('b', block)}, x -> xxhash64({seed}, x))").alias("keys"),
+        F.expr(f"transform({_blocks('b', block)}, x -> {key_sql(width, bits=bits)})").alias("keys"),
     )
     return cut_lineage(base, "block-rows"), keys.select("key")
 
 
-def document_names(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def document_names(docs: DataFrame, block: int = BLOCK, bits: int = 64) -> DataFrame:
     """``row, doc_id, text_sha256, blocks, name`` for every row of ``docs``.
 
     Rounds: the binary logarithm of the blocks of the longest text. Each halves the
-    rows; a frequent block or pair is combined before it is shuffled and joined by an
-    inner join, which Spark splits if it is skewed.
+    rows; a text with one name left is settled and leaves, so late rounds hold the names
+    of very long texts only. A frequent block or pair is combined before it is shuffled
+    and joined by an inner join, which Spark splits if it is skewed. ``bits`` are those of
+    a hash of a block; results do not hang on them.
     """
-    base, keys = _block_table(docs, block)
+    base, keys = _block_table(docs, block, bits)
     names = sorted_names(keys, ["key"], "name", "block-names")
-    rows = base.select("row", F.posexplode("keys").alias("at", "key")).join(names, "key").select("row", "at", "name")
+    rows = base.select("row", F.size("keys").alias("left"), F.posexplode("keys").alias("at", "key"))
+    rows = rows.join(names, "key").select("row", "left", "at", "name")
     longest = base.agg(F.max(F.size("keys"))).first()[0] or 1
+    settled = None
     while longest > 1:
-        pairs = rows.groupBy("row", F.expr("at div 2").alias("at")).agg(
+        rows = cut_lineage(rows, "block-ranks")
+        done = rows.filter("left = 1").select("row", "name")
+        settled = done if settled is None else settled.union(done)
+        pairs = rows.filter("left > 1").groupBy("row", F.expr("at div 2").alias("at")).agg(
+            F.expr("(first(left) + 1) div 2").cast("int").alias("left"),
             F.max(F.when(F.col("at") % 2 == 0, F.col("name"))).alias("a"),
             F.coalesce(F.max(F.when(F.col("at") % 2 == 1, F.col("name"))), F.lit(-1)).alias("b"),
         )
         pairs = cut_lineage(pairs, "block-pairs")
         names = sorted_names(pairs.select("a", "b").distinct(), ["a", "b"], "name", "pair-names")
-        rows = pairs.join(names, ["a", "b"]).select("row", "at", "name")
+        rows = pairs.join(names, ["a", "b"]).select("row", "left", "at", "name")
         longest = (longest + 1) // 2
-    return base.select("row", "doc_id", "text_sha256", F.size("keys").alias("blocks")).join(
-        rows.select("row", "name"), "row"
-    )
+    rows = rows.select("row", "name")
+    rows = rows if settled is None else settled.union(rows)
+    return base.select("row", "doc_id", "text_sha256", F.size("keys").alias("blocks")).join(rows, "row")
 
 
 def exact_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import KEY, PLAIN, cut_lineage, join_key, keyed, plain_key, wrapped
-from .naming import proven_keys, sorted_names
+from .naming import key_sql, proven_keys, sorted_names
 
 #: A repeated run of 2**k lines is deleted if it has at least so many words.
 MIN_WORDS = 5
@@ -33,20 +33,21 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def later_copies(texts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def later_copies(texts: DataFrame, min_words: int = MIN_WORDS, bits: int = 64) -> DataFrame:
     """Document key, ``at`` and ``length`` of runs of 2**k lines that occurred before.
 
     ``texts`` are keyed documents. They come in the order of doc_id (null last) and,
-    where it repeats, of the text's hash; lines in the order of the text.
+    where it repeats, of the text's hash; lines in the order of the text. ``bits`` are
+    those of a hash of a line; results do not hang on them.
     """
-    seed, keys = proven_keys(texts.select(F.explode(_lines(F.col("text"))).alias("x")), "line-keys")
+    width, keys = proven_keys(texts.select(F.explode(_lines(F.col("text"))).alias("x")), "line-keys", bits)
     # A line that occurs once is settled before the first round.
     names = sorted_names(keys.filter("n > 1").select("key"), ["key"], "rank", "line-names")
     order = sorted_names(
         texts.select(F.col("_doc").isNull().alias("last"), *KEY).distinct(), ["last", *KEY], "doc", "document-order"
     )
     words = f"regexp_count(x, '[^ \\\\t-\\\\r]+')"
-    entries = F.expr(f"transform(split(text, '\\\\n', -1), x -> struct(xxhash64({seed}, x) as key, {words} as words))")
+    entries = F.expr(f"transform(split(text, '\\\\n', -1), x -> struct({key_sql(width, bits=bits)} as key, {words} as words))")
     listed = cut_lineage(texts.select(*KEY, entries.alias("lines")), "line-rows")
     listed = join_key(listed, order.drop("last")).dropDuplicates(["doc"])
     rows = listed.select("doc", F.posexplode("lines").alias("at", "line")).select("doc", "at", "line.key", "line.words")

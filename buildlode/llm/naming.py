@@ -8,23 +8,33 @@ from pyspark.sql import functions as F
 from .common import cut_lineage
 
 
-def proven_keys(values: DataFrame, label: str) -> tuple[int, DataFrame]:
-    """A seed for which xxhash64(seed, x) differs for all distinct ``x``, and those keys.
-
-    The values behind each key are compared; should two ever share a key, all keys are
-    made anew with the next seed. So values cross the network once, later steps carry
-    8-byte keys, and keys are free of collisions. Copies are combined before the shuffle.
-    Returns the keys with ``n``, how often each value occurs.
+def key_sql(width: int, value: str = "x", bits: int = 64) -> str:
+    """The key of ``value``: one hash, or a struct of ``width`` hashes of ``bits`` bits each."""
+    parts = [f"xxhash64({seed}, {value})" for seed in range(width)]
+    if bits < 64:
+        parts = [f"shiftrightunsigned({part}, {64 - bits})" for part in parts]
+    return parts[0] if width == 1 else f"struct({', '.join(f'{part} AS h{i}' for i, part in enumerate(parts))})"
+
+
+def proven_keys(values: DataFrame, label: str, bits: int = 64) -> tuple[int, DataFrame]:
+    """The least number of hashes that tell all distinct ``x`` apart, and their keys.
+
+    The values behind each key are compared. If two share a key, another hash is added to
+    all keys, so the search ends at any number of values: one hash does for some 1e9 of
+    them, two for any table there is. So values cross the network once or twice, later
+    steps carry short keys, and keys are free of collisions. Copies are combined before the
+    shuffle. Returns the keys with ``n``, how often each value occurs. ``key_sql`` of the
+    width makes the key; fewer ``bits`` are for tests.
     """
-    seed = 0
+    width = 1
     while True:
-        keys = values.groupBy(F.expr(f"xxhash64({seed}, x)").alias("key")).agg(
+        keys = values.groupBy(F.expr(key_sql(width, bits=bits)).alias("key")).agg(
             F.size(F.collect_set("x")).alias("distinct"), F.count("*").alias("n")
         )
         keys = cut_lineage(keys, label)
         if keys.filter("distinct > 1").isEmpty():
-            return seed, keys.select("key", "n")
-        seed += 1
+            return width, keys.select("key", "n")
+        width += 1
 
 
 def sorted_names(keys: DataFrame, columns: list[str], name: str, label: str) -> DataFrame:
