@@ -33,6 +33,11 @@ ALNUM = table((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
 LETTER = table((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 
 
+def whole(column: pa.ChunkedArray) -> pa.Array:
+    """All chunks as one array; 64-bit offsets, so that texts of over 2 GB stay together."""
+    return column.cast(pa.large_string()).combine_chunks()
+
+
 def buffers(column: pa.Array, chunk: int = CHUNK):
     """Yield ``(first row, bytes, offsets)`` of runs of rows; a null counts as empty."""
     column = column.fill_null("") if column.null_count else column

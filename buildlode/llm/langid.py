@@ -211,8 +211,8 @@ def fit(column, langs: np.ndarray, pieces: list[bytes]) -> tuple[list[str], np.n
 
 def _fit_task(pieces):
     def run(batches):
-        got = pa.Table.from_batches(list(batches), pa.schema([("text", pa.string()), ("lang", pa.string())])).combine_chunks()
-        column = got.column("text").chunk(0) if got.num_rows else pa.array([], pa.string())
+        got = pa.Table.from_batches(list(batches), pa.schema([("text", pa.string()), ("lang", pa.string())]))
+        column = K.whole(got.column("text"))
         langs = np.array(got.column("lang").to_pylist(), dtype=object)
         names, share, probability = fit(column, langs, pieces.value)
         yield pa.RecordBatch.from_arrays(

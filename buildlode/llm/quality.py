@@ -171,8 +171,7 @@ def fit(column, given: np.ndarray) -> OrdinalModel:
 
 def _fit_task(batches):
     got = pa.Table.from_batches(list(batches), pa.schema([("text", pa.string()), ("grade", pa.int64())]))
-    got = got.combine_chunks()
-    column = got.column("text").chunk(0) if got.num_rows else pa.array([], pa.string())
+    column = K.whole(got.column("text"))
     model = fit(column, got.column("grade").to_numpy())
     yield pa.RecordBatch.from_arrays(
         [pa.array([model.grades], pa.list_(pa.int64())), pa.array([model.weights.tobytes()], pa.binary()),
