@@ -65,6 +65,11 @@ def by_id(df):
     return out
 
 
+def word_scores(docs):
+    counts = pseudolm.word_counts(docs)
+    return pseudolm.score_words(docs, pseudolm.train(docs, counts), counts)
+
+
 REPORTS = {
     "decontaminate": lambda d, l, i: decontaminate.decontamination_report(d, i),
     "mix": lambda d, l, i: mixing.mix(d),
@@ -72,6 +77,7 @@ REPORTS = {
     "toxicity": lambda d, l, i: toxicity.score(d, l),
     "substrings": lambda d, l, i: substrings.remove_repeated(d),
     "pseudolm": lambda d, l, i: pseudolm.score(d, pseudolm.train(d)),
+    "pseudolm words": lambda d, l, i: word_scores(d),
     "simhash": lambda d, l, i: simhash.simhash_components(d),
     "langid": lambda d, l, i: langid.language_report(d),
     "exact": lambda d, l, i: exact.exact_duplicates(d),
@@ -167,5 +173,5 @@ def test_scores_are_probabilities(docs, labels):
         assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3)
     for r in rows_of(quality.quality_report(docs, labels)):
         assert 0 <= r["p_tail"] <= 1 and 0 <= r["expected_grade"] <= 2
-    for r in rows_of(pseudolm.score(docs, pseudolm.train(docs))):
+    for r in rows_of(pseudolm.score(docs, pseudolm.train(docs))) + rows_of(word_scores(docs)):
         assert r["log_likelihood"] <= 0 and (r["n_tokens"] > 0 or r["mean_log_likelihood"] is None)

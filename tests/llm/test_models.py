@@ -173,7 +173,7 @@ def test_pseudo_likelihood_beats_token_frequencies(spark):
         counts += np.bincount(model.tokens(h), minlength=pseudolm.TOKENS)
     p = counts[counts > 0] / counts.sum()
     assert total > (p * np.log(p)).sum()
-    # Shuffled words lose what both sides told.
+    # Every word of the longest text has a finite score.
     text = docs.orderBy("n_chars", ascending=False).first().text
     scorer = pseudolm.Scorer(model)
     (_, first, h), = list(pseudolm._hashes(pa.array([text])))

@@ -11,7 +11,7 @@ TEXTS = ["a b c", "one", "", "x y z w v u t s r q p o n"] + [f"word{i} and word{
 
 
 def test_every_position_is_learned_from():
-    model = pseudolm.PseudoModel(np.zeros(0, np.uint64), pseudolm._start(np.zeros(pseudolm.TOKENS)))
+    model = pseudolm.PseudoModel(np.zeros(0, np.uint64), np.zeros(0, np.uint16), pseudolm._start(np.zeros(pseudolm.TOKENS)))
     batch = pa.RecordBatch.from_pydict({"text": TEXTS, "_text_hash": list(range(len(TEXTS)))})
     out = next(pseudolm._learn(SimpleNamespace(value=model))([batch]))
     assert set(out.column("seen").to_pylist()) == {sum(len(t.split()) for t in TEXTS)}
@@ -56,3 +56,78 @@ def test_words_are_scored_and_not_their_classes(spark):
             assert abs(r.log_likelihood - want[r.doc_id]) < 1e-3
             assert r.mean_log_likelihood is None if r.doc_id == 3 else r.mean_log_likelihood < 0
     assert want[2] < want[1] - 20
+
+
+def plain_logs(params, tokens):
+    """Log-probability of each token of one text, by the whole distribution in doubles."""
+    embedding, w1, b1, w2, b2, w3 = pseudolm._split(params)
+    out = []
+    for i, token in enumerate(tokens):
+        near = [tokens[i + d] if 0 <= i + d < len(tokens) else pseudolm.TOKENS for d in pseudolm.OFFSETS]
+        hidden = np.tanh(np.concatenate(embedding[near]) @ w1 + b1)
+        groups = np.exp(hidden @ w2 + b2)
+        inside = np.exp(np.append(hidden, 1) @ w3)
+        p = ((groups / groups.sum())[:, None] * inside / inside.sum(1, keepdims=True)).ravel()
+        assert abs(p.sum() - 1) < 1e-9
+        out.append(np.log(p[token]))
+    return np.array(out)
+
+
+def random_model(rng):
+    words = np.unique(rng.integers(0, 1 << 63, pseudolm.WORDS, dtype=np.int64).astype(np.uint64) * np.uint64(2))
+    params = pseudolm._start(rng.integers(0, 50, pseudolm.TOKENS)) + rng.normal(0, 0.2, sum(int(np.prod(s)) for s in pseudolm.SHAPES))
+    return pseudolm.PseudoModel(words, rng.permutation(len(words)).astype(np.uint16), params.astype(np.float32))
+
+
+def test_scores_equal_a_plain_softmax():
+    rng = np.random.default_rng(8)
+    model = random_model(rng)
+    lengths = [1, 0, 2, 3, 40, 0]
+    hashes = np.where(rng.random(46) < 0.6, rng.choice(model.words, 46), rng.integers(0, 1 << 63, 46).astype(np.uint64))
+    first = np.concatenate([[0], np.cumsum(lengths)])
+    tokens = [int(model.ranks[list(model.words).index(h)]) if h in model.words else pseudolm.WORDS + int(h >> np.uint64(58)) for h in hashes]
+    assert model.tokens(hashes).tolist() == tokens
+    want = np.concatenate([plain_logs(model.params.astype(float), tokens[a:b]) for a, b in zip(first, first[1:])])
+    assert np.allclose(pseudolm.Scorer(model)(first, hashes), want, atol=1e-4)
+
+
+def test_gradient_equals_the_slope_of_the_loss():
+    rng = np.random.default_rng(9)
+    params = random_model(rng).params
+    texts = [rng.integers(0, pseudolm.TOKENS, n).tolist() for n in (12, 1, 5)]
+    first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    stream, _ = pseudolm._stream(np.concatenate(texts), first)
+    n, grad = pseudolm.Learner(params).gradient(stream)
+    assert n == 18
+
+    def loss(p):
+        return -sum(plain_logs(p, t).sum() for t in texts) / n
+
+    start, double, eps = 0, params.astype(float), 1e-5
+    for shape in pseudolm.SHAPES:  # each part of the parameters by itself
+        size = int(np.prod(shape))
+        step = np.zeros(len(double))
+        step[start : start + size] = rng.normal(size=size)
+        slope = (loss(double + eps * step) - loss(double - eps * step)) / (2 * eps)
+        assert abs(slope - grad @ step) < 1e-3 * max(1, abs(slope))
+        start += size
+
+
+def test_shuffled_words_lose_what_both_sides_told():
+    rng = np.random.default_rng(3)
+    pairs = [(f"l{i}", f"m{i}", f"r{i}") for i in range(12)]
+    texts = [" ".join(" ".join(pairs[k]) for k in rng.integers(0, 12, 60)) for _ in range(400)]
+    (_, first, h), = pseudolm._hashes(pa.array(texts))
+    words, n = np.unique(h, return_counts=True)
+    counts = np.zeros(pseudolm.TOKENS)
+    counts[: len(words)] = n
+    model = pseudolm.PseudoModel(words, np.arange(len(words), dtype=np.uint16), pseudolm._start(counts), counts)
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    out = next(pseudolm._learn(SimpleNamespace(value=model))([batch]))
+    learned = np.concatenate([np.frombuffer(b, np.float32) for b in out.column("params").to_pylist()])
+    model = pseudolm.PseudoModel(words, model.ranks, learned, counts)
+    order = texts[0].split()
+    shuffled = rng.permutation(order).tolist()
+    (_, first, h), = pseudolm._hashes(pa.array([" ".join(order), " ".join(shuffled)]))
+    logs = pseudolm.Scorer(model)(first, h)
+    assert logs[: len(order)].sum() > logs[len(order) :].sum() + 100
