@@ -15,6 +15,7 @@ one, a maximal run stays where its runs of 2**k lines have too few words.
 from __future__ import annotations
 
 import hashlib
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ from .naming import key_sql, proven_keys, sorted_names
 
 #: A repeated run of 2**k lines is deleted if it has at least so many words.
 MIN_WORDS = 5
+#: Characters of texts that a task holds at a time when it removes lines.
+PIECE = 1 << 20
 
 
 def _lines(text: Column) -> Column:
@@ -75,28 +78,38 @@ def later_copies(texts: DataFrame, min_words: int = MIN_WORDS, bits: int = 64) -
     return cuts.join(order.select("doc", *KEY), "doc").select(*KEY, "at", "length")
 
 
+def _stay(text: str, runs: list[dict] | None) -> tuple[int, int, str, str]:
+    """Lines, lines removed, the text that is left and its hash."""
+    count, gone = text.count("\n") + 1, 0
+    if runs:
+        steps = np.zeros(count + 1, np.int64)
+        for r in runs:
+            steps[r["at"]] += 1
+            steps[r["at"] + r["length"]] -= 1
+        stay = np.cumsum(steps)[:-1] == 0
+        gone, text = count - int(stay.sum()), "\n".join(compress(text.split("\n"), stay.tolist()))
+    return count, gone, text, hashlib.sha256(text.encode()).hexdigest()
+
+
 def _drop_lines(passed: list[str]):
-    """Texts without the lines of their runs; the ``passed`` columns go along."""
+    """Texts without the lines of their runs; the ``passed`` columns go along.
+
+    Rows leave in pieces of about PIECE characters or one longer text.
+    """
 
     def run(batches):
         for batch in batches:
-            n = batch.num_rows
-            texts, runs = batch.column("text").to_pylist(), batch.column("runs").to_pylist()
-            counts, removed, kept, sums = np.zeros(n, np.int64), np.zeros(n, np.int64), [], []
-            for i, (text, found) in enumerate(zip(texts, runs, strict=True)):
-                lines = text.split("\n")
-                gone = np.zeros(len(lines) + 1, np.int64)
-                for r in found or ():
-                    gone[r["at"]] += 1
-                    gone[r["at"] + r["length"]] -= 1
-                stay = np.flatnonzero(np.cumsum(gone)[:-1] == 0)
-                text = "\n".join([lines[j] for j in stay.tolist()])
-                counts[i], removed[i] = len(lines), len(lines) - len(stay)
-                kept.append(text)
-                sums.append(hashlib.sha256(text.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in passed), pa.array(counts), pa.array(removed), pa.array(kept, pa.string()), pa.array(sums, pa.string())],
-                names=[*passed, *(f.name for f in RESULT)])
+            texts, runs = batch.column("text"), batch.column("runs")
+            found, size, low = [], 0, 0
+            for i in range(batch.num_rows):
+                found.append(_stay(texts[i].as_py(), runs[i].as_py()))
+                size += len(found[-1][2])
+                if size >= PIECE or i + 1 == batch.num_rows:
+                    counts, removed, kept, sums = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [*(batch.column(c).slice(low, len(found)) for c in passed), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), pa.array(sums, pa.string())],
+                        names=[*passed, *(f.name for f in RESULT)])
+                    found, size, low = [], 0, i + 1
 
     return run
 
