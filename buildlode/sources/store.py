@@ -1,8 +1,9 @@
 """Stored rows without copies, laid out by row hash.
 
 A row lies in the folder of its bucket, a remainder of its hash, and keeps the hash as a
-column. A load is compared with the buckets it touches only: first by hash, which reads
-eight bytes a stored row, then column by column for the rows whose hash was found.
+column. A load is shuffled once, to the layout, and its copies go there. It is compared
+with the buckets it touches only: first by hash, which reads eight bytes a stored row, then
+column by column for the rows whose hash was found.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.delta import HASH_ROWS, not_in_archive
+from ..operators.delta import HASH_ROWS
 from ..session import cut_lineage, intermediates, is_small
 from .files import exists, listed, make_folder
 
@@ -49,6 +50,17 @@ class RowStore:
         hashed = rows.withColumn("row_hash", row_hash(columns))
         return hashed.withColumn("bucket", F.pmod("row_hash", F.lit(self.buckets)).cast("int"))
 
+    def distinct_rows(self, new: DataFrame, columns: list[str]) -> DataFrame:
+        """Distinct placed rows of ``new``, those of a bucket together in a few tasks.
+
+        One shuffle by bucket and slice of the hash serves the copies and the layout, so
+        what it gives is written as it lies.
+        """
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        slices = 4 * -(-tasks // self.buckets)
+        rows = self.placed(new.select(*columns), columns).withColumn("slice", F.pmod(F.xxhash64("row_hash"), F.lit(slices)))
+        return rows.repartition("bucket", "slice").dropDuplicates().drop("slice")
+
     def touched(self, load: DataFrame) -> DataFrame:
         """Stored rows of the buckets in which ``load``, placed rows, has any."""
         numbers = [r.bucket for r in load.select("bucket").distinct().collect()]
@@ -59,9 +71,10 @@ class RowStore:
 
         ``loads`` names the loads that count as stored; without it all do.
         """
-        load = cut_lineage(self.placed(new.select(*columns).dropDuplicates(), columns), "load")
+        load = self.distinct_rows(new, columns)
         if not self.exists() or loads == []:
             return load
+        load = cut_lineage(load.sortWithinPartitions("bucket"), "load")
         old = self.touched(load)
         if loads is not None:
             old = old.where(F.col("load_id").isin(loads))
@@ -73,14 +86,16 @@ class RowStore:
             return load
         # Only rows with a hash on both sides are compared; all others are new.
         both = F.broadcast(found) if is_small(found, HASH_ROWS) else found
-        maybe = load.join(both, "row_hash", "left_semi")
-        same = not_in_archive(maybe, old.join(both, "row_hash", "left_semi"), columns)
-        return load.join(both, "row_hash", "left_anti").unionByName(self.placed(same, columns).select(*load.columns))
+        maybe = load.join(both, "row_hash", "left_semi").alias("n")
+        known = old.join(both, "row_hash", "left_semi").alias("o")
+        same = " AND ".join(["n.row_hash = o.row_hash", *[f"n.`{c}` <=> o.`{c}`" for c in columns]])
+        rest = load.join(both, "row_hash", "left_anti").unionByName(maybe.join(known, F.expr(same), "left_anti"))
+        return rest.hint("rebalance", "bucket")
 
     def add(self, rows: DataFrame, load_id: str, **more: Column) -> None:
-        """Append placed rows as one load; a load written again replaces its files."""
+        """Append rows of ``unstored`` as one load; a load written again replaces its files."""
         make_folder(self.spark, f"{self.path}/_buckets/{self.buckets}")
-        placed = rows.withColumns(more).hint("rebalance", "bucket").sortWithinPartitions("bucket", "row_hash")
+        placed = rows.withColumns(more).sortWithinPartitions("bucket", "row_hash")
         placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/load_id={load_id}")
 
     def merge(self, new: DataFrame, load_id: str) -> None:
@@ -89,6 +104,6 @@ class RowStore:
         if self.exists():
             columns = [c for c in self.stored().columns if c not in LAYOUT]
         with intermediates(self.spark):
-            rows = self.unstored(new, columns)
-            if not rows.isEmpty():
+            known, rows = self.exists(), self.unstored(new, columns)
+            if not known or not rows.isEmpty():
                 self.add(rows, load_id)

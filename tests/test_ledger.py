@@ -106,3 +106,19 @@ def test_a_file_staged_while_models_run_is_neither_lost_nor_archived(spark, fold
 def test_a_cycle_without_files_has_empty_tables(spark, folder):
     count = lambda t: t.table(TABLE).count()
     assert cycle.run_cycle(spark, f"{folder}/in", f"{folder}/t", f"{folder}/a", count, [TABLE]) == 0
+
+
+def test_a_first_load_is_shuffled_once_and_written_once(spark, folder, monkeypatch):
+    from buildlode.sources import store as module
+
+    made = []
+    monkeypatch.setattr(module, "cut_lineage", lambda df, label: made.append(label) or df)
+    store = RowStore(spark, f"{folder}/s", buckets=4)
+    new = spark.range(1000).selectExpr("id % 400 AS a", "concat('x', id % 400) AS b")
+    rows = store.unstored(new, ["a", "b"])
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert made == [] and plan.count("Exchange") == 1
+    store.merge(new, "load-1")
+    assert made == [] and store.rows().count() == 400
+    # Every bucket lies in the file of one task or a few, not in one of each.
+    assert len(store.stored().inputFiles()) <= 4 * 16
