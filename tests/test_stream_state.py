@@ -81,3 +81,20 @@ def test_an_unfinished_merge_is_not_read(spark, streamed):
 def test_a_stream_without_files_has_an_empty_state(spark, folder):
     assert ingest._folders(spark, f"{folder}/none", "batch") == {}
     assert issues.issue_flow_counts(rows(spark, 0).where(F.lit(False))).isEmpty()
+
+
+def test_counts_are_merged_again_a_logarithmic_number_of_times(spark, folder, monkeypatch):
+    path, merged, want = f"{folder}/counts", [], None
+    whole = ingest._merged
+    for batch in range(16):
+        ingest.cell_counts(rows(spark, batch % 3)).write.parquet(f"{path}/batch={batch}")
+        if batch and batch % 2 == 0:
+            monkeypatch.setattr(ingest, "_merged", lambda s, folders: merged.append(list(folders)) or whole(s, folders))
+            ingest.compact_counts(spark, path, batch)
+            monkeypatch.setattr(ingest, "_merged", whole)
+        want = rows(spark, batch % 3) if want is None else want.unionAll(rows(spark, batch % 3))
+    # Merges of 2, 4, 2, 8, 2, 4 and 2 batches: 24, where merging all every time takes 56.
+    spans = [last - first + 1 for first, last, _ in ingest._merges(spark, path)]
+    assert spans == [2, 4, 8] and sum(len(m) for m in merged) == 18
+    assert same(ingest.streamed_flows(spark, path), issues.issue_flow_counts(want))
+    assert len(listed(spark, f"{path}/batch=*")) <= 4
