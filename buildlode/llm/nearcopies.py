@@ -7,7 +7,9 @@ bring ``RECALL`` of such pairs together in one sample or more. The fingerprints
 are searched in a BK-tree within ``RADIUS``. A text that has ``CROWD`` neighbours in the
 tree already is not filed itself, so a group of thousands of near copies costs no more
 than its size; it is linked to those neighbours. Candidates are then verified by the exact
-share of shingles, and only verified links join texts.
+share of shingles, and only verified links join texts. What a crowd left out is made good
+exactly: in a value that had one, all pairs within ``RADIUS`` whose texts are not joined yet
+are verified too, so every such pair of a value is either verified or joined without it.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import is_small
@@ -36,6 +38,8 @@ CROWD = 4
 #: Least hashes kept of each text. Unrelated candidates are told by them and need no text:
 #: a pair goes if they estimate under half the similarity, six deviations below it.
 SKETCH = 32
+#: Texts of a crowded value that are compared at once with as many others, and a step of these.
+BLOCK, STEP = 4096, 128
 
 
 def samples(texts: int) -> tuple[int, int]:
@@ -56,15 +60,20 @@ def _masks(bits: int, count: int) -> list[int]:
 
 
 def _neighbours(radius: int, crowd: int):
+    """Pairs of near texts, and each value that left out a text or a neighbour of one."""
+
     def run(batches):
-        current, tree, names = None, BKTree(), []
+        current, tree, names, marked = None, BKTree(), [], False
         for batch in batches:
-            out = []
+            out, crowded = [], []
             for value, fp, name in zip(*(batch.column(c).to_pylist() for c in ("value", "fp", "text_id")), strict=True):
                 if value != current:
-                    current, tree, names = value, BKTree(), []
+                    current, tree, names, marked = value, BKTree(), [], False
                 fp &= 0xFFFFFFFFFFFFFFFF
                 near = tree.within(fp, radius)
+                if len(near) >= crowd and not marked:
+                    crowded.append(value)
+                    marked = True
                 if len(near) > 2 * crowd:
                     near = sorted(near, key=lambda n: ((fp ^ tree.values[n]).bit_count(), n))[: 2 * crowd]
                 out += [(name, names[n]) for n in near]
@@ -72,7 +81,45 @@ def _neighbours(radius: int, crowd: int):
                     tree.add(fp)
                     names.append(name)
             pairs = np.array(out, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+            ends = [pa.concat_arrays([pa.array(pairs[:, i].copy()), pa.nulls(len(crowded), pa.int64())]) for i in (0, 1)]
+            values = pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(crowded, pa.int64())])
+            yield pa.RecordBatch.from_arrays([*ends, values], names=["a", "b", "crowded"])
+
+    return run
+
+
+def _block_pairs(radius: int):
+    """Pairs within the radius, of different roots, between two blocks of a value."""
+
+    def compare(rows: list[np.ndarray]):
+        fp, name, root, side = (np.concatenate(c) for c in zip(*rows))
+        fp = fp.view(np.uint64)
+        # Side 0 is a block met by itself, 1 and 2 are two blocks.
+        left = np.flatnonzero(side < 2)
+        right = left if not side.any() else np.flatnonzero(side == 2)
+        for low in range(0, len(left), STEP):
+            own = left[low : low + STEP]
+            near = np.bitwise_count(fp[own, None] ^ fp[None, right]) <= radius
+            i, j = np.nonzero(near & (root[own, None] != root[None, right]))
+            yield pa.RecordBatch.from_arrays([pa.array(name[own[i]]), pa.array(name[right[j]])], names=["a", "b"])
+
+    def run(batches):
+        rows, current = [], None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("value", "i", "j")], axis=1)
+            columns = [batch.column(c).to_numpy() for c in ("fp", "text_id", "root", "side")]
+            ends = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for low, high in zip(ends[:-1], ends[1:], strict=True):
+                if low == high:
+                    continue
+                key = tuple(keys[low].tolist())
+                if key != current and rows:
+                    yield from compare(rows)
+                    rows = []
+                current = key
+                rows.append([c[low:high] for c in columns])
+        if rows:
+            yield from compare(rows)
 
     return run
 
@@ -123,14 +170,46 @@ def _prints(shingle: int):
     return run
 
 
-def candidates(texts: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of ``texts`` (text_id, fp, place); place orders a tree."""
+def _dealt(texts: DataFrame) -> DataFrame:
+    """``texts`` once for each value of a sample of bits."""
     bits, count = samples(texts.count())
     values = F.array(*(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(_masks(bits, count))))
-    dealt = texts.select("text_id", "fp", "place", F.explode(values).alias("value"))
-    ordered = spread(dealt, "value").sortWithinPartitions("value", "place")
-    pairs = ordered.select("value", "fp", "text_id").mapInArrow(_neighbours(radius, crowd), "a long, b long")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return texts.select("*", F.explode(values).alias("value"))
+
+
+def _pairs(found: DataFrame) -> DataFrame:
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def candidates(texts: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a, b), a < b, of ``texts`` (text_id, fp, place), and the values that
+    had a crowd, of which pairs are left out; place orders a tree."""
+    ordered = spread(_dealt(texts), "value").sortWithinPartitions("value", "place")
+    found = ordered.select("value", "fp", "text_id").mapInArrow(_neighbours(radius, crowd), "a long, b long, crowded long")
+    found = cut_lineage(found, "neighbours")
+    crowded = found.where("crowded IS NOT NULL").select(F.col("crowded").alias("value")).distinct()
+    return _pairs(found.where("crowded IS NULL")), crowded
+
+
+def crowd_pairs(texts: DataFrame, crowded: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """All distinct pairs within the radius in the crowded values, of texts (text_id, fp,
+    root) with different roots.
+
+    The texts of a value are numbered by root and cut into blocks; two blocks meet in a
+    task of their own, unless all their texts have one root. A task holds two blocks.
+    """
+    dealt = _dealt(texts)
+    dealt = dealt.join(F.broadcast(crowded) if is_small(crowded) else crowded, "value", "left_semi")
+    number = F.row_number().over(Window.partitionBy("value").orderBy("root", "text_id")) - 1
+    placed = cut_lineage(dealt.select("value", "fp", "text_id", "root", F.floor(number / BLOCK).alias("block")), "crowded")
+    blocks = placed.groupBy("value", "block").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    x, y = (blocks.select("value", *(F.col(c).alias(f"{c}_{k}") for c in ("block", "low", "high"))) for k in "xy")
+    meet = x.join(y, "value").where("block_x <= block_y AND (low_x <> high_x OR low_y <> high_y OR low_x <> low_y)")
+    meet = meet.select("value", F.col("block_x").alias("i"), F.col("block_y").alias("j"))
+    sides = meet.selectExpr("value", "i", "j", "inline(IF(i = j, array(named_struct('block', i, 'side', 0)), array(named_struct('block', i, 'side', 1), named_struct('block', j, 'side', 2))))")
+    sent = placed.join(sides, ["value", "block"]).repartition("value", "i", "j").sortWithinPartitions("value", "i", "j")
+    rows = sent.select("value", "i", "j", "fp", "text_id", "root", "side")
+    return _pairs(rows.mapInArrow(_block_pairs(radius), "a long, b long"))
 
 
 def likely(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -152,6 +231,16 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
     return both.where(shared >= similarity * whole).select("a", "b")
 
 
+def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs that share enough; only texts of a likely pair are read again, each once."""
+    pairs = cut_lineage(likely(pairs, classes, similarity), "likely-pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("text_id")).distinct().join(classes, "text_id").select("first._doc", "first._text_hash")
+    ends = cut_lineage(ends, "paired-texts")
+    paired = join_key(keyed(docs), F.broadcast(ends) if is_small(ends) else ends, "left_semi").dropDuplicates(["_text_hash"])
+    texts = paired.select(F.col("_text_hash").alias("text_id"), "text")
+    return cut_lineage(verified(pairs, texts, shingle, similarity), "verified")
+
+
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """Document key and ``first``, the first key of the group its links join it to.
 
@@ -163,14 +252,15 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     first = F.min(F.struct(F.col("_doc").isNull().alias("last"), "_doc", "_text_hash")).alias("first")
     classes = prints.groupBy(F.col("_text_hash").alias("text_id")).agg(F.min("fp").alias("fp"), F.first("sketch").alias("sketch"), first)
     classes = cut_lineage(classes, "distinct-texts")
-    pairs = candidates(classes.select("text_id", "fp", F.col("first").alias("place")))
-    pairs = cut_lineage(likely(cut_lineage(pairs, "candidates"), classes, similarity), "likely-pairs")
-    # Only texts of a likely pair are read again, each once.
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("text_id")).distinct().join(classes, "text_id").select("first._doc", "first._text_hash")
-    ends = cut_lineage(ends, "paired-texts")
-    paired = join_key(keyed(docs), F.broadcast(ends) if is_small(ends) else ends, "left_semi").dropDuplicates(["_text_hash"])
-    texts = paired.select(F.col("_text_hash").alias("text_id"), "text")
-    roots = cut_lineage(components(cut_lineage(verified(pairs, texts, shingle, similarity), "verified")), "roots")
+    pairs, crowded = candidates(classes.select("text_id", "fp", F.col("first").alias("place")))
+    pairs = cut_lineage(pairs, "candidates")
+    edges = _linked(pairs, docs, classes, shingle, similarity)
+    roots = cut_lineage(components(edges), "roots")
+    if not crowded.isEmpty():
+        named = classes.join(roots, classes["text_id"] == roots["node"], "left").select("text_id", "fp", F.coalesce("root", "text_id").alias("root"))
+        rest = crowd_pairs(cut_lineage(named, "joined-texts"), crowded).join(pairs, ["a", "b"], "left_anti")
+        more = _linked(cut_lineage(rest, "crowd-pairs"), docs, classes, shingle, similarity)
+        roots = cut_lineage(components(edges.unionByName(more)), "roots")
     rooted = classes.join(roots, classes["text_id"] == roots["node"], "left").select("text_id", "first", F.coalesce("root", "text_id").alias("root"))
     rooted = cut_lineage(rooted, "rooted")
     firsts = rooted.groupBy("root").agg(F.min("first").alias("first"))

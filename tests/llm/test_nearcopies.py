@@ -64,3 +64,49 @@ def test_samples_keep_the_recall_at_every_size():
     for texts in (1, 1000, 10**6, 10**9):
         bits, count = nearcopies.samples(texts)
         assert 1 - (1 - (1 - nearcopies.DIFFERING) ** bits) ** count >= nearcopies.RECALL
+
+
+def test_a_text_hidden_by_a_crowd_keeps_its_links(spark):
+    rnd = random.Random(3)
+    base, rows = text(rnd, 400), []
+    for i in range(30):
+        own = list(base)
+        own[rnd.randrange(400)] = f"x{i}"
+        rows.append((i, " ".join(own)))
+    for i in range(40):
+        # The first is a near copy of the crowd, the second one of the first alone.
+        low = 5 + 9 * rnd.randrange(20)
+        own = list(base)
+        own[low : low + 30] = [f"y{i}-{n}" for n in range(30)]
+        rows.append((100 + 2 * i, " ".join(own)))
+        own[low + 120 : low + 150] = [f"z{i}-{n}" for n in range(30)]
+        rows.append((101 + 2 * i, " ".join(own)))
+    texts = dict(rows)
+    pairs, table = similar_pairs(texts), docs(spark, rows)
+    assert all((100 + 2 * i, 101 + 2 * i) in pairs for i in range(40))
+    # All pairs of a value within the radius, verified: nothing is left out.
+    made = nearcopies.keyed(table).mapInArrow(nearcopies._prints(5), "_doc long, _text_hash long, fp long, sketch array<long>")
+    dealt = nearcopies._dealt(made.select("_doc", "fp").localCheckpoint()).collect()
+    prints, values = {r._doc: r.fp & (1 << 64) - 1 for r in dealt}, {}
+    for r in dealt:
+        values.setdefault(r._doc, set()).add(r.value)
+    met = [(a, b) for a, b in pairs if values[a] & values[b] and (prints[a] ^ prints[b]).bit_count() <= nearcopies.RADIUS]
+    assert groups(table) == joined(texts, met)
+
+
+def test_crowded_values_are_compared_whole_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies, "BLOCK", 7)
+    monkeypatch.setattr(nearcopies, "STEP", 3)
+    rnd = random.Random(5)
+    near = [rnd.getrandbits(64)]
+    near += [near[0] ^ (1 << rnd.randrange(64)) ^ (1 << rnd.randrange(64)) for _ in range(59)]
+    signed = [v - (1 << 64) if v >> 63 else v for v in near]
+    root = [rnd.randrange(4) for _ in near]
+    texts = spark.createDataFrame([(i, f, r) for i, (f, r) in enumerate(zip(signed, root))], "text_id long, fp long, root long")
+    values = nearcopies._dealt(texts).select("value").distinct()
+    shared = {}
+    for r in nearcopies._dealt(texts).collect():
+        shared.setdefault(r.value, []).append(r.text_id)
+    want = {(a, b) for ids in shared.values() for a in ids for b in ids if a < b and root[a] != root[b] and (near[a] ^ near[b]).bit_count() <= 3}
+    got = nearcopies.crowd_pairs(texts, values, radius=3).collect()
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want) > 50
