@@ -56,3 +56,10 @@ def test_a_cycle_sets_bad_rows_aside_or_stops_before_it_stores(spark, folder):
         run()
     assert run(rejects=f"{folder}/rejects") == [("k1", dt.datetime(2020, 1, 1))]
     assert [r.n for r in staging.reject_counts(spark, f"{folder}/rejects", TABLE).collect()] == [1]
+
+
+def test_only_rejected_rows_are_kept_as_text(spark, folder):
+    write(f"{folder}/in", "a", f"{HEADER}\no,p,k1,2020-01-01 00:00:00,v,r\no,p,k2,never,v,r\n")
+    read = staging._typed(spark, staging.staged_files(spark, f"{folder}/in", TABLE), TABLE, lenient=True)
+    records = {r.analysis_key: r.record for r in read.collect()}
+    assert records["k1"] is None and "never" in records["k2"]
