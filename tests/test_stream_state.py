@@ -98,3 +98,12 @@ def test_counts_are_merged_again_a_logarithmic_number_of_times(spark, folder, mo
     assert spans == [2, 4, 8] and sum(len(m) for m in merged) == 18
     assert same(ingest.streamed_flows(spark, path), issues.issue_flow_counts(want))
     assert len(listed(spark, f"{path}/batch=*")) <= 4
+
+
+def test_wide_counts_are_shuffled_once_into_tasks_of_bounded_bytes(spark, streamed, monkeypatch):
+    path, _ = streamed
+    monkeypatch.setattr(ingest, "TASK_BYTES", 64)
+    for wide in (ingest.wide_counts(spark, path), ingest.streamed_flows(spark, path)):
+        plan = wide._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1
+        assert wide.rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))
