@@ -10,6 +10,8 @@ than its size; it is linked to those neighbours. Candidates are then verified by
 share of shingles, and only verified links join texts. What a crowd left out is made good
 exactly: in a value that had one, all pairs within ``RADIUS`` whose texts are not joined yet
 are verified too, so every such pair of a value is either verified or joined without it.
+These are verified where they meet, and a task returns a forest of links: the pairs of a
+crowd, as many as its square, are compared in blocks but never become rows.
 """
 
 from __future__ import annotations
@@ -38,8 +40,9 @@ CROWD = 4
 #: Least hashes kept of each text. Unrelated candidates are told by them and need no text:
 #: a pair goes if they estimate under half the similarity, six deviations below it.
 SKETCH = 32
-#: Texts of a crowded value that are compared at once with as many others, and a step of these.
-BLOCK, STEP = 4096, 128
+#: Texts of a crowded value that are compared at once with as many others, a step of these,
+#: and shingles after which a block ends where they are compared whole.
+BLOCK, STEP, BLOCK_SHINGLES = 4096, 128, 1 << 20
 
 
 def samples(texts: int) -> tuple[int, int]:
@@ -88,15 +91,47 @@ def _neighbours(radius: int, crowd: int):
     return run
 
 
-def _block_pairs(radius: int):
-    """Pairs within the radius, of different roots, between two blocks of a value."""
-
-    def compare(rows: list[np.ndarray]):
-        fp, name, root, side = (np.concatenate(c) for c in zip(*rows))
+def _shared(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many values of the sorted set ``own`` each of the other sets holds; none is empty."""
+    if not len(own):
+        return np.zeros(len(others), np.int64)
+    values = np.concatenate(others)
+    found = own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
+    return np.add.reduceat(found.astype(np.int64), np.cumsum([0, *(len(o) for o in others[:-1])]))
+
+
+def _links(fp, root, left, right, sets, radius: int, similarity: float):
+    """Index pairs of texts that share enough of their shingles, each joining two roots that
+    no earlier pair has joined."""
+    root, sizes = root.copy(), np.array([len(s) for s in sets])
+    for i in left.tolist():
+        # Two texts without shingles share all of them.
+        alike = np.minimum(sizes[right], sizes[i]) >= similarity * np.maximum(sizes[right], sizes[i])
+        near = right[alike & (root[right] != root[i]) & (np.bitwise_count(fp[right] ^ fp[i]) <= radius)]
+        for low in range(0, len(near), STEP):
+            part = near[low : low + STEP]
+            shared = _shared(sets[i], [sets[j] for j in part.tolist()]) if sizes[i] else np.zeros(len(part), np.int64)
+            for j in part[shared >= similarity * (sizes[i] + sizes[part] - shared)].tolist():
+                if root[j] != root[i]:
+                    root[root == root[j]] = root[i]
+                    yield i, j
+
+
+def _block_pairs(radius: int, similarity: float | None):
+    """Pairs within the radius, of different roots, between two blocks of a value; with a
+    similarity, a forest of those that share as much of their shingles."""
+
+    def compare(rows: list[tuple]):
+        *columns, sets = zip(*rows)
+        fp, name, root, side = (np.concatenate(c) for c in columns)
         fp = fp.view(np.uint64)
         # Side 0 is a block met by itself, 1 and 2 are two blocks.
         left = np.flatnonzero(side < 2)
         right = left if not side.any() else np.flatnonzero(side == 2)
+        if similarity is not None:
+            found = np.array([*_links(fp, root, left, right, [s for part in sets for s in part], radius, similarity)], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(name[found[:, c]]) for c in (0, 1)], names=["a", "b"])
+            return
         for low in range(0, len(left), STEP):
             own = left[low : low + STEP]
             near = np.bitwise_count(fp[own, None] ^ fp[None, right]) <= radius
@@ -108,6 +143,7 @@ def _block_pairs(radius: int):
         for batch in batches:
             keys = np.stack([batch.column(c).to_numpy() for c in ("value", "i", "j")], axis=1)
             columns = [batch.column(c).to_numpy() for c in ("fp", "text_id", "root", "side")]
+            sets = _arrays(batch.column("shingles")) if similarity is not None else []
             ends = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
             for low, high in zip(ends[:-1], ends[1:], strict=True):
                 if low == high:
@@ -117,7 +153,7 @@ def _block_pairs(radius: int):
                     yield from compare(rows)
                     rows = []
                 current = key
-                rows.append([c[low:high] for c in columns])
+                rows.append((*(c[low:high] for c in columns), sets[low:high]))
         if rows:
             yield from compare(rows)
 
@@ -144,10 +180,16 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)))
 
 
+def _arrays(column: pa.ListArray) -> list[np.ndarray]:
+    """The lists of a column, each as an array."""
+    offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
+    return [values[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+
+
 def _sets(shingle: int):
     def run(batches):
         for batch in batches:
-            rows = [r.view(np.int64) for r in shingle_sets(batch.column("text"), shingle)]
+            rows = [np.sort(r.view(np.int64)) for r in shingle_sets(batch.column("text"), shingle)]
             yield pa.RecordBatch.from_arrays([batch.column("text_id"), _lists(rows)], names=["text_id", "shingles"])
 
     return run
@@ -191,25 +233,33 @@ def candidates(texts: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> tu
     return _pairs(found.where("crowded IS NULL")), crowded
 
 
-def crowd_pairs(texts: DataFrame, crowded: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """All distinct pairs within the radius in the crowded values, of texts (text_id, fp,
-    root) with different roots.
+def crowd_pairs(texts: DataFrame, crowded: DataFrame, radius: int = RADIUS, sets: DataFrame | None = None, similarity: float = SIMILARITY) -> DataFrame:
+    """Distinct pairs within the radius in the crowded values, of texts (text_id, fp, root)
+    with different roots.
 
     The texts of a value are numbered by root and cut into blocks; two blocks meet in a
     task of their own, unless all their texts have one root. A task holds two blocks.
+    Without ``sets`` these are all pairs. With ``sets`` (text_id, shingles sorted) they are
+    verified links that join the same texts as all verified pairs: of one task, a forest.
     """
     dealt = _dealt(texts)
     dealt = dealt.join(F.broadcast(crowded) if is_small(crowded) else crowded, "value", "left_semi")
-    number = F.row_number().over(Window.partitionBy("value").orderBy("root", "text_id")) - 1
-    placed = cut_lineage(dealt.select("value", "fp", "text_id", "root", F.floor(number / BLOCK).alias("block")), "crowded")
+    order = Window.partitionBy("value").orderBy("root", "text_id")
+    block = F.floor((F.row_number().over(order) - 1) / BLOCK)
+    if sets is not None:
+        dealt = dealt.join(sets.select("text_id", F.size("shingles").alias("size")), "text_id")
+        block += F.floor(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) / BLOCK_SHINGLES)
+    placed = cut_lineage(dealt.select("value", "fp", "text_id", "root", block.alias("block")), "crowded")
     blocks = placed.groupBy("value", "block").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     x, y = (blocks.select("value", *(F.col(c).alias(f"{c}_{k}") for c in ("block", "low", "high"))) for k in "xy")
     meet = x.join(y, "value").where("block_x <= block_y AND (low_x <> high_x OR low_y <> high_y OR low_x <> low_y)")
     meet = meet.select("value", F.col("block_x").alias("i"), F.col("block_y").alias("j"))
     sides = meet.selectExpr("value", "i", "j", "inline(IF(i = j, array(named_struct('block', i, 'side', 0)), array(named_struct('block', i, 'side', 1), named_struct('block', j, 'side', 2))))")
-    sent = placed.join(sides, ["value", "block"]).repartition("value", "i", "j").sortWithinPartitions("value", "i", "j")
-    rows = sent.select("value", "i", "j", "fp", "text_id", "root", "side")
-    return _pairs(rows.mapInArrow(_block_pairs(radius), "a long, b long"))
+    sent = placed.join(sides, ["value", "block"]).select("value", "i", "j", "fp", "text_id", "root", "side")
+    if sets is not None:
+        sent = sent.join(sets, "text_id").select(*sent.columns, "shingles")
+    sent = sent.repartition("value", "i", "j").sortWithinPartitions("value", "i", "j")
+    return _pairs(sent.mapInArrow(_block_pairs(radius, None if sets is None else similarity), "a long, b long"))
 
 
 def likely(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -221,9 +271,15 @@ def likely(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return both.where(shared >= similarity / 2 * F.size("least")).select("a", "b")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs whose texts (text_id, text) share enough of their distinct shingles."""
-    sets = cut_lineage(texts.mapInArrow(_sets(shingle), "text_id long, shingles array<long>"), "shingle-sets")
+def _sets_of(ends: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """Distinct shingles, sorted, of the texts with these first keys (_doc, _text_hash)."""
+    paired = join_key(keyed(docs), F.broadcast(ends) if is_small(ends) else ends, "left_semi").dropDuplicates(["_text_hash"])
+    texts = paired.select(F.col("_text_hash").alias("text_id"), "text")
+    return cut_lineage(texts.mapInArrow(_sets(shingle), "text_id long, shingles array<long>"), "shingle-sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose texts share enough of their distinct shingles (text_id, shingles)."""
     a, b = (sets.select(F.col("text_id").alias(c), F.col("shingles").alias(f"of_{c}")) for c in ("a", "b"))
     both = pairs.join(a, "a").join(b, "b")
     shared = F.size(F.array_intersect("of_a", "of_b"))
@@ -235,10 +291,22 @@ def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int,
     """The pairs that share enough; only texts of a likely pair are read again, each once."""
     pairs = cut_lineage(likely(pairs, classes, similarity), "likely-pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("text_id")).distinct().join(classes, "text_id").select("first._doc", "first._text_hash")
-    ends = cut_lineage(ends, "paired-texts")
-    paired = join_key(keyed(docs), F.broadcast(ends) if is_small(ends) else ends, "left_semi").dropDuplicates(["_text_hash"])
-    texts = paired.select(F.col("_text_hash").alias("text_id"), "text")
-    return cut_lineage(verified(pairs, texts, shingle, similarity), "verified")
+    sets = _sets_of(cut_lineage(ends, "paired-texts"), docs, shingle)
+    return cut_lineage(verified(pairs, sets, similarity), "verified")
+
+
+def _crowd_links(crowded: DataFrame, docs: DataFrame, classes: DataFrame, roots: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links in the crowded values between texts that ``roots`` has not joined yet."""
+    named = classes.join(roots, classes["text_id"] == roots["node"], "left").select("text_id", "fp", F.coalesce("root", "text_id").alias("root"), "first")
+    named = cut_lineage(named, "joined-texts")
+    dealt = _dealt(named).join(F.broadcast(crowded) if is_small(crowded) else crowded, "value", "left_semi")
+    # Only values whose texts have several roots have a pair left.
+    several = dealt.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("value")
+    several = cut_lineage(several, "open-values")
+    ends = dealt.join(F.broadcast(several) if is_small(several) else several, "value", "left_semi").select("first._doc", "first._text_hash").distinct()
+    sets = _sets_of(cut_lineage(ends, "crowd-texts"), docs, shingle)
+    links = crowd_pairs(named.drop("first"), several, RADIUS, sets, similarity)
+    return cut_lineage(links, "crowd-links")
 
 
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -257,9 +325,7 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     edges = _linked(pairs, docs, classes, shingle, similarity)
     roots = cut_lineage(components(edges), "roots")
     if not crowded.isEmpty():
-        named = classes.join(roots, classes["text_id"] == roots["node"], "left").select("text_id", "fp", F.coalesce("root", "text_id").alias("root"))
-        rest = crowd_pairs(cut_lineage(named, "joined-texts"), crowded).join(pairs, ["a", "b"], "left_anti")
-        more = _linked(cut_lineage(rest, "crowd-pairs"), docs, classes, shingle, similarity)
+        more = _crowd_links(crowded, docs, classes, roots, shingle, similarity)
         roots = cut_lineage(components(edges.unionByName(more)), "roots")
     rooted = classes.join(roots, classes["text_id"] == roots["node"], "left").select("text_id", "first", F.coalesce("root", "text_id").alias("root"))
     rooted = cut_lineage(rooted, "rooted")

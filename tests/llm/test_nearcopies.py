@@ -110,3 +110,30 @@ def test_crowded_values_are_compared_whole_in_blocks(spark, monkeypatch):
     want = {(a, b) for ids in shared.values() for a in ids for b in ids if a < b and root[a] != root[b] and (near[a] ^ near[b]).bit_count() <= 3}
     got = nearcopies.crowd_pairs(texts, values, radius=3).collect()
     assert {(r.a, r.b) for r in got} == want and len(got) == len(want) > 50
+
+
+def test_a_crowd_that_is_near_in_bits_alone_makes_no_rows_and_a_linked_one_a_forest(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies, "BLOCK_SHINGLES", 6000)
+    rnd = random.Random(7)
+    base = rnd.getrandbits(63)
+    rows = [(i, base ^ (1 << rnd.randrange(62)), i, i % 4) for i in range(480)]
+    # Kind 0 shares half of its shingles, kind 1 nearly all; kinds 2 and 3 have none and one.
+    common = sorted(rnd.randrange(1 << 62) for _ in range(40))
+    own = {0: lambda i: sorted(common[:20] + [10**6 * i + n for n in range(20)]), 1: lambda i: sorted([*common, i]), 2: lambda i: [], 3: lambda i: [i]}
+    sets = {i: own[kind](i) for i, _, _, kind in rows}
+    texts = spark.createDataFrame([r[:3] for r in rows], "text_id long, fp long, root long")
+    table = spark.createDataFrame(list(sets.items()), "text_id long, shingles array<long>")
+    values = nearcopies._dealt(texts).select("value").distinct()
+    got = [(r.a, r.b) for r in nearcopies.crowd_pairs(texts, values, 15, table, 0.8).collect()]
+
+    def alike(a, b):
+        return len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a], *sets[b]})
+
+    assert all(alike(a, b) for a, b in got)
+    shared = {}
+    for r in nearcopies._dealt(texts).collect():
+        shared.setdefault(r.value, []).append(r.text_id)
+    want = {(a, b) for ids in shared.values() for a in ids for b in ids if a < b and alike(a, b)}
+    names = {i: i for i in sets}
+    assert joined(names, set(got)) == joined(names, want)
+    assert len(got) < len(want) / 2
