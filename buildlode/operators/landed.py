@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import scalars as S
+from ..session import cut_lineage
 
 ACTION_COUNTS = "TestResultAction"
 ACTION_REVISION = "BuildData"
@@ -199,7 +200,10 @@ def job_tree(nodes: DataFrame, roots: DataFrame | None = None, max_level: int =
     listed = folders.select(
         "parent", F.coalesce("j.fullName", F.concat_ws("/", "parent", "j.name")).alias("job"), F.col("j._class").alias("kind")
     ).distinct()
+    # Every level of the recursion reads what was listed: it is parsed once, not once a level.
+    known, listed = cut_lineage(known, "landed-nodes"), cut_lineage(listed, "listed-nodes")
     start = known.join(listed.select("job"), "job", "left_anti") if roots is None else known.join(roots.select("job"), "job", "left_semi")
+    start = cut_lineage(start, "tree-roots")
     found = nodes.sparkSession.sql(
         f"""WITH RECURSIVE tree(job, kind, level, path) MAX RECURSION LEVEL {max_level} AS (
               SELECT job, kind, 0, array(job) FROM {{start}}
