@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..domain import Domain
+from ..functions import scalars
 from ..operators import balance, chi2, features, issues, metrics, quality, reports, rules
 from ..operators.filters import cast_double
 from ..plans.training import count_tests
@@ -30,7 +31,7 @@ def quality_table(d: Domain):
 
 def rounded(df, names, digits: int = 6):
     names = set(names)
-    return df.selectExpr(*[f"round({c}, {digits}) AS {c}" if c in names else c for c in df.columns])
+    return df.selectExpr(*[f"{scalars.rounded(c, digits)} AS {c}" if c in names else c for c in df.columns])
 
 
 IMPUTED = f"""SELECT {columns(KEYS)}, result, alert_status,
