@@ -91,13 +91,48 @@ def _gini(ok: Column, failed: Column) -> Column:
     return 1.0 - (ok / total) ** 2 - (failed / total) ** 2
 
 
-def _best_splits(rows: DataFrame, cells: DataFrame, keys: list[str], subsets: DataFrame | None) -> DataFrame:
+def _packed(rows: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per analysis: its ``trees`` (tree, node, ok, failed) and its ``cells`` (slot to n).
+
+    An array holds at most a row per tree, a map at most a cell per feature. All levels
+    read this table; the two sides are shuffled and joined once.
+    """
+    analysis = [*keys, "analysis_key"]
+    trees = rows.groupBy(*analysis).agg(
+        F.collect_list(F.struct("tree", F.lit(1).alias("node"), "ok", "failed")).alias("trees")
+    )
+    seen = cells.groupBy(*analysis).agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("cells"))
+    return trees.join(seen, analysis, "left")
+
+
+def _moved(packed: DataFrame, splits: DataFrame, keys: list[str], depth: int) -> DataFrame:
+    """The packed rows with their trees in the child nodes; a tree whose node has no split goes."""
+    # A project's splits as an array, to be read by the place of a tree's node.
+    place = f"cast((tree - {SINGLE}) * {2**depth} + node AS int)"
+    by_key = splits.groupBy(*keys).agg(
+        F.expr(f"map_from_entries(collect_list(struct({place}, struct(slot, cut)))) AS placed"),
+        F.expr(f"max({place}) AS last"),
+    ).selectExpr(*keys, "transform(sequence(0, last), i -> try_element_at(placed, i)) AS splits")
+    joined = packed.join(by_key, keys) if keys else packed.crossJoin(by_key)
+    at = place.replace("tree", "t.tree").replace("node", "t.node")
+    met = f"""filter(transform(trees, t -> named_struct('t', t, 'split', get(splits, {at}))), m -> m.split IS NOT NULL)"""
+    right = "CASE WHEN coalesce(try_element_at(cells, m.split.slot), 0L) > m.split.cut THEN 1 ELSE 0 END"
+    return joined.selectExpr(
+        *keys,
+        "analysis_key",
+        f"transform({met}, m -> struct(m.t.tree AS tree, m.t.node * 2 + {right} AS node, m.t.ok AS ok, m.t.failed AS failed)) AS trees",
+        "cells",
+    ).where("size(trees) > 0")
+
+
+def _best_splits(packed: DataFrame, keys: list[str], subsets: DataFrame | None) -> DataFrame:
     """(keys, tree, node, slot, cut, gain, weight) of every node that gains by a split."""
     node, feature = [*keys, "tree", "node"], [*keys, "tree", "node", "slot"]
+    rows = packed.selectExpr(*keys, "cells", "inline(trees)")
     totals = rows.groupBy(*node).agg(F.sum("ok").alias("all_ok"), F.sum("failed").alias("all_failed")).where(
         (F.col("all_ok") > 0) & (F.col("all_failed") > 0)
     )
-    joined = rows.join(cells, [*keys, "analysis_key"])
+    joined = rows.selectExpr(*node, "ok", "failed", "explode(cells) AS (slot, n)")
     if subsets is not None:
         joined = joined.join(F.broadcast(subsets), ["tree", "node", "slot"])
     values = joined.groupBy(*feature, "n").agg(F.sum("ok").alias("ok"), F.sum("failed").alias("failed"))
@@ -141,22 +176,19 @@ def _best_splits(rows: DataFrame, cells: DataFrame, keys: list[str], subsets: Da
 def grow(rows: DataFrame, cells: DataFrame, keys: list[str], depth: int, subsets: DataFrame | None = None) -> DataFrame:
     """All splits of all trees: (keys, tree, node, slot, cut, gain, weight).
 
-    ``rows``: (keys, tree, analysis_key, ok, failed); ``cells``: (keys, analysis_key,
-    slot, n) with n > 0. Node 1 is the root, node i has children 2i and 2i + 1. Rows
-    and splits are written to the shared folder after each level.
+    ``rows``: (keys, tree, analysis_key, ok, failed), one per tree of an analysis;
+    ``cells``: (keys, analysis_key, slot, n) with n > 0, one per slot. Node 1 is the root,
+    node i has children 2i and 2i + 1. Rows and splits are written to the shared folder
+    after each level.
     """
-    node = [*keys, "tree", "node"]
-    rows = rows.withColumn("node", F.lit(1))
+    packed = _packed(rows, cells, keys)
     levels = []
     for level in range(depth):
-        rows = cut_lineage(rows, "tree-rows")
-        splits = cut_lineage(_best_splits(rows, cells, keys, subsets), "tree-splits")
+        packed = cut_lineage(packed, "tree-rows")
+        splits = cut_lineage(_best_splits(packed, keys, subsets), "tree-splits")
         levels.append(splits)
         if level + 1 < depth:
-            moved = rows.join(splits.select(*node, "slot", "cut"), node)
-            valued = moved.join(cells.select(*keys, "analysis_key", "slot", "n"), [*keys, "analysis_key", "slot"], "left")
-            right = F.when(F.coalesce(F.col("n"), F.lit(0)) > F.col("cut"), 1).otherwise(0)
-            rows = valued.withColumn("node", F.col("node") * 2 + right).drop("slot", "cut", "n")
+            packed = _moved(packed, splits, keys, depth)
     grown = levels[0]
     for more in levels[1:]:
         grown = grown.unionByName(more)
