@@ -37,6 +37,12 @@ ROUNDS, RATE, BATCH = 2, 0.1, 4096
 START = 1e-6
 #: Positions scored at a time.
 BLOCK = 8192
+#: Rows multiplied at a time: a small product needs no copies of its factors.
+ROWS = 256
+#: Parameters changed at a time, so that they stay in a core's cache.
+SLICE = 1 << 15
+#: Bytes of encoded texts, two a word, that are taken at a time.
+ENCODED = 1 << 17
 #: Words whose shares are sent to all tasks; rarer ones are joined to the table of counts.
 LISTED = 1 << 16
 #: Count of all the words of a class together that the corpus does not hold.
@@ -99,6 +105,16 @@ def _hashes(column):
         yield low, first, K.hash_words(data, starts, ends)
 
 
+def _streams(model: PseudoModel, batch: pa.RecordBatch):
+    """First row, first word of each text and tokens of the buffers of texts or of encoded rows."""
+    if "tokens" not in batch.schema.names:
+        for low, first, h in _hashes(batch.column("text")):
+            yield low, first, model.tokens(h)
+        return
+    for low, data, offsets in K.buffers(batch.column("tokens"), ENCODED):
+        yield low, offsets // 2, data.view(np.uint16)
+
+
 def _stream(tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The tokens with SIDE times TOKENS before, between and after texts, and where they lie.
 
@@ -110,21 +126,62 @@ def _stream(tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, at
 
 
+def _times(a: np.ndarray, b: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """``a @ b``, ROWS rows of ``a`` at a time."""
+    if len(a) <= ROWS:
+        return np.matmul(a, b, out=out)
+    n = len(a) - len(a) % ROWS
+    np.matmul(a[:n].reshape(-1, ROWS, a.shape[1]), b, out=out[:n].reshape(-1, ROWS, out.shape[1]))
+    if n < len(a):
+        np.matmul(a[n:], b, out=out[n:])
+    return out
+
+
+def _cross(a: np.ndarray, b: np.ndarray, out: np.ndarray) -> None:
+    """``a.T @ b``, ROWS rows of both at a time."""
+    if len(a) <= ROWS:
+        np.matmul(a.T, b, out=out)
+        return
+    n = len(a) - len(a) % ROWS
+    blocks = a[:n].reshape(-1, ROWS, a.shape[1]).transpose(0, 2, 1) @ b[:n].reshape(-1, ROWS, b.shape[1])
+    np.add.reduce(blocks, axis=0, out=out)
+    if n < len(a):
+        out += a[n:].T @ b[n:]
+
+
+def _biased(params: np.ndarray) -> np.ndarray:
+    """The weights of the groups with their biases as the last row, which lies behind them."""
+    start = sum(int(np.prod(s)) for s in SHAPES[:3])
+    return params[start : start + (HIDDEN + 1) * GROUPS].reshape(HIDDEN + 1, GROUPS)
+
+
 def _hidden(parts: list[np.ndarray], stream: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Inputs and hidden layer, with a last column of ones, of the tokens SIDE + ``order``."""
     embedding, w1, b1 = parts[:3]
-    near, size = embedding.take(stream, 0), len(stream) - 2 * SIDE
-    x = np.concatenate([near[SIDE + d : SIDE + d + size] for d in OFFSETS], axis=1).take(order, 0)
-    inner = x @ w1
+    near = np.empty((len(order), len(OFFSETS)), np.intp)
+    for j, d in enumerate(OFFSETS):
+        near[:, j] = stream[SIDE + d :].take(order)
+    x = embedding.take(near.ravel(), 0).reshape(len(order), len(OFFSETS) * WIDTH)
+    inner = _times(x, w1, np.empty((len(order), HIDDEN), np.float32))
     inner += b1
     hidden = np.ones((len(order), HIDDEN + 1), np.float32)
-    np.tanh(inner, out=hidden[:, :HIDDEN])
+    hidden[:, :HIDDEN] = np.tanh(inner, out=inner)
     return x, hidden
 
 
+def _logits(biased: np.ndarray, w3: np.ndarray, hidden: np.ndarray, own: list[tuple[int, slice]]) -> tuple[np.ndarray, np.ndarray]:
+    """Logits of all groups and of the tokens of a position's own group."""
+    outer = _times(hidden, biased, np.empty((len(hidden), GROUPS), np.float32))
+    inner = np.empty((len(hidden), GROUP), np.float32)
+    for g, part in own:
+        _times(hidden[part], w3[g], inner[part])
+    return outer, inner
+
+
 def _exp(logits: np.ndarray) -> np.ndarray:
     """Exponentials in place and their sums by row. Logits stay within 60 of zero."""
-    np.clip(logits, -60, 60, out=logits)
+    if logits.size and not (logits.max() <= 60 and logits.min() >= -60):
+        np.clip(logits, -60, 60, out=logits)
     np.exp(logits, out=logits)
     return logits @ np.ones(logits.shape[1], np.float32)
 
@@ -171,57 +228,75 @@ class Learner:
 
     def __init__(self, params: np.ndarray):
         self.params, self.squares, self.seen = params.copy(), np.full(len(params), START, np.float32), 0
+        self.parts, self.biased = _split(self.params), _biased(self.params)
 
     def gradient(self, stream: np.ndarray) -> tuple[int, np.ndarray]:
         """Tokens of the stream but for SIDE at both ends, and the mean slope of their loss."""
-        parts, grad = _split(self.params), np.zeros_like(self.params)
-        _, w1, _, w2, b2, w3 = parts
-        g_embedding, g_w1, g_b1, g_w2, g_b2, g_w3 = _split(grad)
+        grad = np.zeros_like(self.params)
+        return self._slopes(stream, grad)[0], grad
+
+    def _slopes(self, stream: np.ndarray, grad: np.ndarray) -> tuple[int, np.ndarray]:
+        """Tokens learned from, and those whose embeddings have a slope; ``grad`` comes as zeros."""
+        _, w1, _, w2, _, w3 = self.parts
+        g_embedding, g_w1, g_b1, _, _, g_w3 = _split(grad)
         target = stream[SIDE:-SIDE]
         order = np.argsort(target, kind="stable")
         order = order[: np.searchsorted(target[order], np.uint16(TOKENS))]
         n, rows, target = len(order), np.arange(len(order)), target[order]
         if not n:
-            return 0, grad
-        x, hidden = _hidden(parts, stream, order)
+            return 0, np.zeros(0, np.uint16)
+        x, hidden = _hidden(self.parts, stream, order)
         group, own = target // GROUP, _groups(target // GROUP)
-        outer, error = hidden[:, :HIDDEN] @ w2, np.empty((n, GROUP), np.float32)
-        outer += b2
-        for g, part in own:
-            np.matmul(hidden[part], w3[g], out=error[part])
+        outer, error = _logits(self.biased, w3, hidden, own)
         for probability, column in ((outer, group), (error, target % GROUP)):
             probability *= (1 / (n * _exp(probability)))[:, None]
             probability[rows, column] -= 1 / n
-        inner, more = outer @ w2.T, np.empty((n, HIDDEN), np.float32)
+        inner, more = _times(outer, w2.T.copy(), np.empty((n, HIDDEN), np.float32)), np.empty((n, HIDDEN), np.float32)
         for g, part in own:
-            np.matmul(error[part], w3[g, :HIDDEN].T, out=more[part])
-            np.matmul(hidden[part].T, error[part], out=g_w3[g])
+            _times(error[part], w3[g, :HIDDEN].T, more[part])
+            _cross(hidden[part], error[part], g_w3[g])
+        _cross(hidden, outer, _biased(grad))
         inner += more
-        hidden = hidden[:, :HIDDEN]
-        inner *= 1 - hidden * hidden
-        ones = np.ones(n, np.float32)
-        g_w1[:], g_b1[:], g_w2[:], g_b2[:] = x.T @ inner, ones @ inner, hidden.T @ outer, ones @ outer
+        hidden = hidden[:, :HIDDEN].copy()
+        hidden *= hidden
+        inner *= np.subtract(1, hidden, out=hidden)
+        _cross(x, inner, g_w1)
+        g_b1[:] = np.ones(n, np.float32) @ inner
         # The slope of an embedding is gathered per place of the stream, then per token.
         size = len(stream) - 2 * SIDE
-        back = np.zeros((size, x.shape[1]), np.float32)
-        back[order] = inner @ w1.T
-        slope = np.zeros((len(stream), WIDTH), np.float32)
+        back = np.zeros((size, HIDDEN), np.float32)
+        back[order] = inner
+        slope, one = np.zeros((len(stream), WIDTH), np.float32), np.empty((size, WIDTH), np.float32)
         for j, d in enumerate(OFFSETS):
-            slope[SIDE + d : SIDE + d + size] += back[:, j * WIDTH : (j + 1) * WIDTH]
+            slope[SIDE + d : SIDE + d + size] += _times(back, w1[j * WIDTH : (j + 1) * WIDTH].T.copy(), one)
         order = np.argsort(stream, kind="stable")
         names = stream[order]
         begin = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
-        g_embedding[names[begin]] = np.add.reduceat(slope.take(order, 0), begin, axis=0)
-        return n, grad
+        names = names[begin]
+        g_embedding[names] = np.add.reduceat(slope.take(order, 0), begin, axis=0)
+        return n, names
 
     def step(self, stream: np.ndarray) -> None:
-        n, grad = self.gradient(stream)
+        grad = np.zeros_like(self.params)
+        n, names = self._slopes(stream, grad)
         self.seen += n
-        square = grad * grad
-        self.squares += square
-        grad /= np.sqrt(self.squares, out=square)
-        grad *= RATE
-        self.params -= grad
+        # Nothing changes where the slope is zero, so only the embeddings met are visited.
+        size = int(np.prod(SHAPES[0]))
+        params, squares, slopes = (a[:size].reshape(SHAPES[0]) for a in (self.params, self.squares, grad))
+        met = params[names], squares[names]
+        _descend(*met, slopes[names])
+        params[names], squares[names] = met
+        for a in range(size, len(grad), SLICE):
+            _descend(*(v[a : a + SLICE] for v in (self.params, self.squares, grad)))
+
+
+def _descend(params: np.ndarray, squares: np.ndarray, grad: np.ndarray) -> None:
+    """A step of Adagrad in place; ``grad`` is overwritten."""
+    square = grad * grad
+    squares += square
+    grad /= np.sqrt(squares, out=square)
+    grad *= RATE
+    params -= grad
 
 
 def _learn(model):
@@ -230,8 +305,8 @@ def _learn(model):
     def run(batches):
         learner, held, size = Learner(model.value.params), [], 0
         for batch in batches:
-            for _, first, h in _hashes(batch.column("text")):
-                held.append(_stream(model.value.tokens(h), first)[0])
+            for _, first, tokens in _streams(model.value, batch):
+                held.append(_stream(tokens, first)[0])
                 size += len(held[-1])
                 if size >= BATCH + 2 * SIDE:
                     stream, a = np.concatenate(held), 0
@@ -262,14 +337,24 @@ def _average(batches):
         names=["block", "params"])
 
 
+def start(counts: DataFrame) -> PseudoModel:
+    """The tokens of a corpus by its ``word_counts``, with parameters that learned nothing yet."""
+    words, ranks, tokens = count_words(counts)
+    return PseudoModel(words, ranks, _start(tokens), tokens)
+
+
 def train(docs: DataFrame, counts: DataFrame | None = None) -> PseudoModel:
     """Counts words and learns over all documents; texts stay in their tasks.
 
     ``counts`` are the ``word_counts`` of the documents, if they are there. The driver gets the frequent words and the averaged parameters, both of fixed size.
     """
-    texts, context = keyed(docs), docs.sparkSession.sparkContext
-    words, ranks, tokens = count_words(word_counts(docs) if counts is None else counts)
-    model = PseudoModel(words, ranks, _start(tokens), tokens)
+    return learn(keyed(docs), start(word_counts(docs) if counts is None else counts))
+
+
+def learn(rows: DataFrame, model: PseudoModel) -> PseudoModel:
+    """The model after ROUNDS over all ``rows``, keyed texts or those that ``encode`` wrote."""
+    context = rows.sparkSession.sparkContext
+    texts = rows.select("tokens" if "tokens" in rows.columns else "text")
     for _ in range(ROUNDS):
         learned = texts.mapInArrow(_learn(context.broadcast(model)), "block int, seen long, params binary")
         # Written once, in an order that does not hang on which task came first.
@@ -277,7 +362,7 @@ def train(docs: DataFrame, counts: DataFrame | None = None) -> PseudoModel:
         merged = spread(learned, "block").sortWithinPartitions("block", "seen", "params")
         rows = merged.mapInArrow(_average, "block int, params array<double>").orderBy("block").collect()
         if rows:
-            model = PseudoModel(words, ranks, np.concatenate([r.params for r in rows]).astype(np.float32), tokens)
+            model = PseudoModel(model.words, model.ranks, np.concatenate([r.params for r in rows]).astype(np.float32), model.counts)
     return model
 
 
@@ -288,8 +373,10 @@ class Scorer:
         self.model, self.parts = model, _split(model.params)
 
     def __call__(self, first: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        *_, w2, b2, w3 = self.parts
-        tokens = self.model.tokens(hashes)
+        return self.of_tokens(first, self.model.tokens(hashes))
+
+    def of_tokens(self, first: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        biased = _biased(self.model.params)
         stream, at = _stream(tokens, first)
         out = np.zeros(len(tokens), np.float32)
         for a in range(0, len(tokens), BLOCK):
@@ -297,10 +384,7 @@ class Scorer:
             order = np.argsort(target, kind="stable")
             target = target[order]
             _, hidden = _hidden(self.parts, stream[place[0] - SIDE : place[-1] + SIDE + 1], place[order] - place[0])
-            outer, inner = hidden[:, :HIDDEN] @ w2, np.empty((len(order), GROUP), np.float32)
-            outer += b2
-            for g, part in _groups(target // GROUP):
-                np.matmul(hidden[part], w3[g], out=inner[part])
+            outer, inner = _logits(biased, self.parts[5], hidden, _groups(target // GROUP))
             out[a + order] = _logs(outer, target // GROUP) + _logs(inner, target % GROUP)
         return out
 
@@ -356,25 +440,25 @@ def _listed(counts: DataFrame, model: PseudoModel, most: int) -> tuple[np.ndarra
     return words[rare], n[rare]
 
 
-def _word_task(model, listed):
-    """Scores of whole texts, and the words left to be joined with how often each occurs."""
+def _encode(model, listed):
+    """Tokens of whole texts, the logarithms of the shares of their listed words, and the words
+    of classes left to be joined with how often each occurs."""
 
     def run(batches):
-        scorer, (words, logs) = Scorer(model.value), listed.value
+        words, logs = listed.value
         for batch in batches:
-            n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+            n, shares, tokens = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows), [np.zeros(0, np.uint16)]
             found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
             for low, first, h in _hashes(batch.column("text")):
                 rows, text = len(first) - 1, K.owners(first)
                 n[low : low + rows] = np.diff(first)
-                score = scorer(first, h).astype(float)
-                other = np.flatnonzero(model.value.tokens(h) >= WORDS)
+                tokens.append(model.value.tokens(h))
+                other = np.flatnonzero(tokens[-1] >= WORDS)
                 if len(words):
                     place = np.minimum(np.searchsorted(words, h[other]), len(words) - 1)
                     known = words[place] == h[other]
-                    score[other[known]] += logs[place[known]]
+                    shares[low : low + rows] = np.bincount(text[other[known]], logs[place[known]], rows)
                     other = other[~known]
-                total[low : low + rows] = np.bincount(text, score, rows)
                 other = other[np.lexsort((h[other], text[other]))]
                 t, w = text[other], h[other]
                 begin = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (w[1:] != w[:-1])]))[: len(t)]
@@ -383,8 +467,40 @@ def _word_task(model, listed):
             each = pa.StructArray.from_arrays([pa.array(word.view(np.int64)), pa.array(times)], names=["word", "times"])
             offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=batch.num_rows))])
             rest = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), each)
+            ends = np.concatenate([[0], np.cumsum(2 * n)]).astype(np.int32)
+            encoded = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(np.concatenate(tokens))])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(KEY[0]), pa.array(n), pa.array(total), rest], names=["doc_id", "n_tokens", "sum", "rest"])
+                [batch.column(KEY[0]), pa.array(n), pa.array(shares), rest, encoded],
+                names=["doc_id", "n_tokens", "shares", "rest", "tokens"])
+
+    return run
+
+
+def encode(docs: DataFrame, model: PseudoModel, counts: DataFrame, most: int = LISTED) -> DataFrame:
+    """Every row as tokens and shares of words in their classes; a written table.
+
+    Words are hashed here only: rounds of learning and the scores read two bytes a word. At
+    most ``most`` words are sent to all tasks; the others of a class lie in ``rest``.
+    """
+    words, n = _listed(counts, model, most)
+    logs = np.log(n / (model.counts[model.tokens(words)] + UNSEEN))
+    context = docs.sparkSession.sparkContext
+    task = _encode(context.broadcast(model), context.broadcast((words, logs)))
+    schema = "doc_id long, n_tokens long, shares double, rest array<struct<word: long, times: long>>, tokens binary"
+    found = keyed(docs).mapInArrow(task, schema).withColumn("row", F.monotonically_increasing_id())
+    return cut_lineage(found, "encoded")
+
+
+def _encoded_task(model):
+    def run(batches):
+        scorer = Scorer(model.value)
+        for batch in batches:
+            total = np.zeros(batch.num_rows)
+            for low, first, tokens in _streams(model.value, batch):
+                rows = len(first) - 1
+                total[low : low + rows] = np.bincount(K.owners(first), scorer.of_tokens(first, tokens), rows)
+            names = ["row", "doc_id", "n_tokens", "shares"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(total)], names=[*names, "sum"])
 
     return run
 
@@ -397,19 +513,19 @@ def score_words(docs: DataFrame, model: PseudoModel, counts: DataFrame, most: in
     ``counts`` are the ``word_counts`` that the model was trained with. At most ``most`` words
     are sent to all tasks; how many does not change a result.
     """
-    spark = docs.sparkSession
-    words, n = _listed(counts, model, most)
-    logs = np.log(n / (model.counts[model.tokens(words)] + UNSEEN))
-    context = spark.sparkContext
-    task = _word_task(context.broadcast(model), context.broadcast((words, logs)))
-    schema = "doc_id long, n_tokens long, sum double, rest array<struct<word: long, times: long>>"
-    found = keyed(docs).mapInArrow(task, schema).withColumn("row", F.monotonically_increasing_id())
-    found = cut_lineage(found, "word-scores")
-    rest = found.select("row", F.explode("rest").alias("rest")).select("row", "rest.word", "rest.times")
+    return score_encoded(encode(docs, model, counts, most), model, counts)
+
+
+def score_encoded(encoded: DataFrame, model: PseudoModel, counts: DataFrame) -> DataFrame:
+    """``score_words`` of the rows that ``encode`` wrote with the words of this model."""
+    task = _encoded_task(encoded.sparkSession.sparkContext.broadcast(model))
+    schema = "row long, doc_id long, n_tokens long, shares double, sum double"
+    found = encoded.select("row", "doc_id", "n_tokens", "shares", "tokens").mapInArrow(task, schema)
+    rest = encoded.select("row", F.explode("rest").alias("rest")).select("row", "rest.word", "rest.times")
     classes = F.array(*(F.lit(float(c) + UNSEEN) for c in model.counts[WORDS:]))
     size = classes.getItem(F.shiftrightunsigned("word", 58).cast("int"))
     log = F.log(F.coalesce(F.col("n").cast("double"), F.lit(UNSEEN)) / size)
     sums = rest.join(counts, "word", "left").groupBy("row").agg(F.sum(F.col("times") * log).alias("more"))
-    total = F.col("sum") + F.coalesce("more", F.lit(0.0))
-    out = found.drop("rest").join(sums, "row", "left").select("doc_id", "n_tokens", total.alias("log_likelihood"))
+    total = F.col("sum") + F.col("shares") + F.coalesce("more", F.lit(0.0))
+    out = found.join(sums, "row", "left").select("doc_id", "n_tokens", total.alias("log_likelihood"))
     return out.withColumn("mean_log_likelihood", F.col("log_likelihood") / F.nullif(F.col("n_tokens"), F.lit(0)))

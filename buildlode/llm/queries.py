@@ -225,7 +225,9 @@ def op4(spark, sf_dir):
 def op6(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents")
     counts = pseudolm.word_counts(docs)
-    return pseudolm.score_words(docs, pseudolm.train(docs, counts), counts)
+    model = pseudolm.start(counts)
+    encoded = pseudolm.encode(docs, model, counts)
+    return pseudolm.score_encoded(encoded, pseudolm.learn(encoded, model), counts)
 
 
 @query("op11_host_rules", HOST_SQL)

@@ -131,3 +131,23 @@ def test_shuffled_words_lose_what_both_sides_told():
     (_, first, h), = pseudolm._hashes(pa.array([" ".join(order), " ".join(shuffled)]))
     logs = pseudolm.Scorer(model)(first, h)
     assert logs[: len(order)].sum() > logs[len(order) :].sum() + 100
+
+
+def test_texts_are_hashed_once_for_all_rounds_and_scores(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(9000)], n)) for n in (300, 0, 4, 60, 1)] + [None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    counts = pseudolm.word_counts(docs)
+    model = pseudolm.start(counts)
+    encoded = pseudolm.encode(docs, model, counts, 20)
+    assert "text" not in encoded.columns
+    # Learning and scoring from the encoded rows is learning and scoring from the texts.
+    learned = pseudolm.learn(encoded.coalesce(1), model)
+    assert np.allclose(learned.params, pseudolm.train(docs, counts).params, atol=1e-4)
+    assert not np.allclose(learned.params, model.params, atol=1e-2)
+    want = {r.doc_id: r for r in pseudolm.score_words(docs, learned, counts).collect()}
+    got = pseudolm.score_encoded(encoded, learned, counts).collect()
+    assert sorted(r.doc_id for r in got) == list(range(6))
+    for r in got:
+        assert r.n_tokens == want[r.doc_id].n_tokens == len((texts[r.doc_id] or "").split())
+        assert abs(r.log_likelihood - want[r.doc_id].log_likelihood) < 1e-3
