@@ -47,8 +47,10 @@ class RowStore:
 
     def placed(self, rows: DataFrame, columns: list[str]) -> DataFrame:
         """``rows`` with hash and bucket, by the values of ``columns``."""
-        hashed = rows.withColumn("row_hash", row_hash(columns))
-        return hashed.withColumn("bucket", F.pmod("row_hash", F.lit(self.buckets)).cast("int"))
+        return rows.withColumn("row_hash", row_hash(columns)).withColumn("bucket", self.bucket())
+
+    def bucket(self) -> Column:
+        return F.pmod("row_hash", F.lit(self.buckets)).cast("int")
 
     def distinct_rows(self, new: DataFrame, columns: list[str]) -> DataFrame:
         """Distinct placed rows of ``new``, those of a bucket together in a few tasks.
@@ -74,7 +76,11 @@ class RowStore:
         load = self.distinct_rows(new, columns)
         if not self.exists() or loads == []:
             return load
-        load = cut_lineage(load.sortWithinPartitions("bucket"), "load")
+        return self.lacking(cut_lineage(load.sortWithinPartitions("bucket"), "load"), columns, loads)
+
+    def lacking(self, load: DataFrame, columns: list[str], loads: list[str] | None = None) -> DataFrame:
+        """Rows of ``load`` that the store, which has rows, lacks; ``load`` holds distinct
+        placed rows that are written out."""
         old = self.touched(load)
         if loads is not None:
             old = old.where(F.col("load_id").isin(loads))
@@ -98,12 +104,36 @@ class RowStore:
         placed = rows.withColumns(more).sortWithinPartitions("bucket", "row_hash")
         placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/load_id={load_id}")
 
-    def merge(self, new: DataFrame, load_id: str) -> None:
-        """Add the rows of ``new`` that the store lacks. Copies inside ``new`` are stored once."""
-        columns = new.columns
-        if self.exists():
-            columns = [c for c in self.stored().columns if c not in LAYOUT]
+    def take(self, new: DataFrame, columns: list[str], load_id: str, loads: list[str] | None = None, **more: Column) -> DataFrame:
+        """Add the rows of ``new`` that the store lacks as one load.
+
+        Returns the distinct rows of ``new`` with their hash, whether stored before or not,
+        from where they lie: in the load itself if nothing was stored, else in the table of
+        the shared folder from which they were compared.
+        """
+        load = self.distinct_rows(new, columns)
+        if not self.exists() or loads == []:
+            self.add(load, load_id, **more)
+            written = self.spark.read.schema(load.drop("bucket").schema).parquet(f"{self.path}/load_id={load_id}")
+            return written.drop("bucket")
+        load = cut_lineage(load.sortWithinPartitions("bucket"), "load")
+        self.add(self.lacking(load, columns, loads), load_id, **more)
+        return load.drop("bucket")
+
+    def merge(self, new: DataFrame, load_id: str, taken: bool = False) -> None:
+        """Add the rows of ``new`` that the store lacks. Copies inside ``new`` are stored once.
+
+        With ``taken``, ``new`` is what ``take`` of another store returned: it has no copies
+        and is written out, so it is read as it lies, without a shuffle.
+        """
+        given = [c for c in new.columns if c not in LAYOUT]
+        columns = [c for c in self.stored().columns if c not in LAYOUT] if self.exists() else given
         with intermediates(self.spark):
-            known, rows = self.exists(), self.unstored(new, columns)
+            known = self.exists()
+            if taken and columns == given:
+                rows = new.withColumn("bucket", self.bucket())
+                rows = self.lacking(rows, columns) if known else rows
+            else:
+                rows = self.unstored(new, columns)
             if not known or not rows.isEmpty():
                 self.add(rows, load_id)
