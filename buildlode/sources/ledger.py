@@ -9,6 +9,7 @@ belongs to no such list and is new to the next run.
 from __future__ import annotations
 
 import uuid
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from .store import LAYOUT, RowStore
 LOADS = "load_id string, table_name string"
 PINNED = "run_id string, load_id string, table_name string"
 FINISHED = "run_id string"
+_WRITER = Lock()
 
 
 def new_id(kind: str) -> str:
@@ -39,7 +41,9 @@ class LoadLedger:
         return self.spark.read.schema(schema).parquet(path)
 
     def _append(self, name: str, rows: DataFrame) -> None:
-        rows.coalesce(1).write.mode("append").parquet(f"{self.root}/_ledger/{name}")
+        # Two writers of one folder would share, and remove, its temporary files.
+        with _WRITER:
+            rows.coalesce(1).write.mode("append").parquet(f"{self.root}/_ledger/{name}")
 
     def loads(self, table: str) -> list[str]:
         """Ids of the loads of a table."""
